@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import common, mixing, packing, quality, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,5 +17,30 @@ def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op7_line_first_quality": op7_line_first_quality}
-ORACLE = {"op7_line_first_quality": quality.oracle()}
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.derivatives(warc.page_responses(_read(spark, sf_dir, "pages")))
+    return out.withColumns({"n_bytes": F.length("block").cast("long"), "block": F.decode("block", "UTF-8")})
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _read(spark, sf_dir, "documents").select("doc_id", "source", common.word_array(F.col("text")).alias("_w"))
+    df = df.select("doc_id", "source", F.size("_w").cast("long").alias("size"), mixing.lexical_weight(F.col("_w")).alias("weight"))
+    df = common.saved(df, "sizes")
+    return mixing.apply_mix(df, mixing.plan_mix(df)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _read(spark, sf_dir, "documents").select("doc_id", common.word_count(F.col("text")).alias("n_words"))
+    return packing.pack(df)
+
+
+QUERIES = {
+    "op1_warc_derivatives": op1_warc_derivatives,
+    "op3_mix_sources": op3_mix_sources,
+    "op7_line_first_quality": op7_line_first_quality,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
+ORACLE = {
+    "op3_mix_sources": mixing.ORACLE,
+    "op7_line_first_quality": quality.oracle(),
+}
