@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, quality, warc
+from . import common, jaccard, mixing, packing, quality, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,9 +34,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(df)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_read(spark, sf_dir, "documents"))
+
+
+def op6_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op3_mix_sources": op3_mix_sources,
+    "op5_token_counts": op5_token_counts,
+    "op6_partenum_jaccard": op6_partenum_jaccard,
     "op7_line_first_quality": op7_line_first_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
