@@ -34,8 +34,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
+    """Powers of the base and of its inverse, at least n of each; the largest table so far is kept."""
+    size = max(_powers, default=0)
+    if n > size:
+        size = 1 << max(16, int(n).bit_length())
         _powers.clear()
         both = []
         for b in (_BASE, _INVERSE):
