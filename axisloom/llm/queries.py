@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard, mixing, packing, quality, tokens, warc
+from . import common, jaccard, mixing, packing, quality, secrets, substring, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,12 +42,31 @@ def op6_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_neural_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"), redact=False)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_neural", "probabilities")
+
+
+def op8_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(*toxicity.sample(docs, _read(spark, sf_dir, "labels")))
+    df = toxicity.score(docs, model)
+    return df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op3_mix_sources": op3_mix_sources,
+    "op4_neural_secret_scan": op4_neural_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op6_partenum_jaccard": op6_partenum_jaccard,
     "op7_line_first_quality": op7_line_first_quality,
+    "op8_debruijn_repeats": op8_debruijn_repeats,
+    "op9_subword_toxicity": op9_subword_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE = {

@@ -24,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bounds of the training sample: rows of either label, and characters of a row.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2000, 4000, 200_000
-BITS, SIZES = 18, (3, 4, 5)
+BITS, SIZES = 20, (3, 4, 5, 6)
 _KEEP = np.zeros(128, bool)
 _KEEP[[*range(48, 58), *range(97, 123)]] = True
 _A, _B = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -40,7 +41,7 @@ class Model:
     slope: float
     shift: float
     prior: float
-    span: int = 24
+    span: int = 6
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +172,14 @@ def _pick(texts: list[str], value: np.ndarray, span: int, top: int, extra: int,
 
 
 def _train(bags: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, dim: int = 8, epochs: int = 5, rate: float = 0.3, batch: int = 512) -> tuple[np.ndarray, float]:
-    """Embeddings and softmax by Adagrad; returns the logit of each bucket and the bias."""
+    """Embeddings and softmax by Adagrad; returns the logit of each bucket (0 where training had none) and the bias."""
     E = rng.normal(0, 0.05, (1 << BITS, dim)).astype(np.float32)
     W = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     gE, gW, gb = np.full(1 << BITS, 1e-6, np.float32), np.full_like(W, 1e-6), np.full_like(b, 1e-6)
+    seen = np.zeros(1 << BITS, bool)
+    for bag in bags:
+        seen[bag] = True
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     for _ in range(epochs):
         order = rng.permutation(len(bags))
@@ -201,7 +205,7 @@ def _train(bags: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, dim:
             W -= 0.1 * dW / np.sqrt(gW)
             gb += db * db
             b -= 0.1 * db / np.sqrt(gb)
-    return (E @ (W[:, 1] - W[:, 0])).astype(np.float64), float(b[1] - b[0])
+    return np.where(seen, E @ (W[:, 1] - W[:, 0]), 0).astype(np.float32), float(b[1] - b[0])
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -222,10 +226,10 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7, span: int = 24, rounds: int = 2) -> Model:
+def fit(texts: list[str], labels: list[int], seed: int = 7, span: int = 6, rounds: int = 1) -> Model:
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.int64)
-    flat = Model(np.zeros(1 << BITS), 0.0, 1.0, -40.0, float(y.mean()) if len(y) else 0.0, span)
+    flat = Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, -40.0, float(y.mean()) if len(y) else 0.0, span)
     if len(set(labels)) < 2:
         return flat
     apart = np.zeros(len(y), bool)  # every fifth of either label is kept for calibration
@@ -245,7 +249,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, span: int = 24, roun
     value = np.log((seen[1] + 0.5) / (seen[1].sum() + 1) * (seen[0].sum() + 1) / (seen[0] + 0.5))
     bias = 0.0
     for _ in range(rounds):
-        tops = [_pick([t], value, span, 2, 0 if label else 2, rng)[0] for t, label in zip(own, of)]
+        tops = [_pick([t], value, span, *((2, 0) if label else (3, 4)), rng)[0] for t, label in zip(own, of)]
         bags = _bags(own, tops)
         value, bias = _train(bags, np.repeat(of, [len(p) for p in tops]), rng)
     model = Model(value, bias, 1.0, 0.0, flat.prior, span)
@@ -283,4 +287,4 @@ def score(df: DataFrame, model: Model, text: str = "text", column: str = "score"
                 p = scores([t or "" for t in part.column(text).to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*names, column])
 
-    return df.mapInArrow(run, df.schema.add(column, "double"))
+    return df.mapInArrow(run, StructType(df.schema.fields).add(column, "double"))
