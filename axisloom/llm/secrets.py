@@ -222,10 +222,7 @@ def find_secrets(df: DataFrame, text: str = "text", redact: bool = True) -> Data
     df = df.drop(*names)
     columns = df.columns
     net = trained()
-    schema = StructType(df.schema.fields)
-    for c in RESULT.split(", "):
-        name, kind = c.split()
-        schema = schema.add(name, kind)
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(RESULT).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

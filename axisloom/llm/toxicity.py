@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Bounds of the training sample: rows of either label, and characters of a row.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2000, 4000, 200_000
@@ -287,4 +287,4 @@ def score(df: DataFrame, model: Model, text: str = "text", column: str = "score"
                 p = scores([t or "" for t in part.column(text).to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*names, column])
 
-    return df.mapInArrow(run, StructType(df.schema.fields).add(column, "double"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(column, DoubleType())]))
