@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard, mixing, packing, quality, secrets, substring, tokens, toxicity, warc
+from . import common, jaccard, mixing, neardup, packing, quality, secrets, substring, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"n_bytes": F.length("block").cast("long"), "block": F.decode("block", "UTF-8")})
 
 
+def op2_pruned_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_dedup(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _read(spark, sf_dir, "documents").select("doc_id", "source", common.word_array(F.col("text")).alias("_w"))
     df = df.select("doc_id", "source", F.size("_w").cast("long").alias("size"), mixing.lexical_weight(F.col("_w")).alias("weight"))
@@ -60,6 +64,7 @@ def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_pruned_graph_dedup": op2_pruned_graph_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_neural_secret_scan": op4_neural_secret_scan,
     "op5_token_counts": op5_token_counts,
