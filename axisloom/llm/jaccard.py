@@ -15,8 +15,9 @@ Three steps keep this in bounds, none of which loses a link:
   block is sent once.
 * Equal sets have one representative.
 * Of a signature's group each member is first held against the group's least member only.
-  Groups whose members are then all connected are done; members of the others that are not
-  yet connected are compared in full, large groups in blocks.
+  Groups whose members are then all connected are done. In the others each set leaves out the
+  largest groups as far as the guarantee allows, and members not yet connected meet in blocks,
+  where sketches that bound the sets' difference choose the pairs to compare in full.
 
 Defined results: null and empty texts, and texts without words, have empty sets and link with
 nothing; texts with fewer words than a shingle have their whole word sequence as one feature;
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import buckets_for, exchange, runs
@@ -40,7 +41,9 @@ from .words import batch_rows, grams, mix, utf8, words
 
 _U = np.uint64
 #: Members of a signature's group that are compared within one row of a join; larger groups are dealt in blocks of it.
-GROUP_BLOCK = 128
+GROUP_BLOCK = 256
+#: 64-bit words of a set's sketch.
+SKETCH = 16
 
 
 def shingle_sets(arr: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
@@ -72,10 +75,15 @@ class Bands:
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
 
-def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of a set: of its filled parts under its own band and the one below, and single features where it fills too few."""
+def signatures(h: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray, int]]:
+    """(instance, signatures, spare) of a set under its own band and the one below.
+
+    A similar set agrees with all but ``differ`` of the filled parts. So any ``spare`` signatures may be left
+    out, if all sets leave them out by one order of the signatures: the last agreement in that order remains.
+    Where a set fills too few parts, its single features are a further instance.
+    """
     out = []
-    own = bands.of(len(h))
+    n, own = len(h), bands.of(len(h))
     for band in (own, own - 1):
         if band < 0:
             continue
@@ -86,10 +94,19 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
         order = np.argsort(part, kind="stable")
         cut = runs(part[order])
         sums = np.add.reduceat(mix(m[order]), cut[:-1])
-        out.append(mix(sums + mix(part[order][cut[:-1]] + tag)))
-        if len(cut) - 1 <= bands.k[band]:
-            out.append(mix(m + _U(1)))
-    return np.unique(np.concatenate(out))
+        most = n * bands.den // bands.num if band == own else min(n, bands.high[band])
+        differ = (n + most) * (bands.den - bands.num) // (bands.den + bands.num)
+        spare = len(cut) - 2 - differ
+        out.append((2 * band, mix(sums + mix(part[order][cut[:-1]] + tag)), max(0, spare)))
+        if spare < 0:
+            out.append((2 * band + 1, mix(m + _U(1)), max(0, n - 1 - differ)))
+    return out
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parity of the features in each of 1024 cells. Two sketches differ in at most as many bits as the sets differ in features."""
+    odd = np.bincount((mix(h + _U(0x2545F491)) >> _U(54)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -168,31 +185,35 @@ def _candidates(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, k: int) -> DataFrame:
-    kinds = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("h", pa.binary())])
+    """(sid, n, h, p0 ...): each set with its sketch."""
+    kinds = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), *((f"p{i}", pa.int64()) for i in range(SKETCH))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch_rows(batch, 2 << 20):
                 made = list(shingle_sets(part.column("text"), k))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(h) for h in made], pa.int64()), pa.array([h.tobytes() for h in made], pa.binary())], schema=kinds)
+                p = np.array([sketch(h) for h in made], np.int64).reshape(-1, SKETCH)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(h) for h in made], pa.int64()), pa.array([h.tobytes() for h in made], pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in p.T)], schema=kinds)
 
-    return df.mapInArrow(run, "sid long, n long, h binary")
+    return df.mapInArrow(run, "sid long, n long, h binary, " + ", ".join(f"p{i} long" for i in range(SKETCH)))
 
 
 def _signed(sets: DataFrame, num: int, den: int) -> DataFrame:
-    kinds = pa.schema([("sig", pa.int64()), ("sid", pa.int64())])
+    """(sig, sid, inst, spare) of every set."""
+    names = ["sig", "sid", "inst", "spare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [signatures(np.frombuffer(h.as_buffer(), np.uint64), bands) for h in part.column("h")]
+                made = [(sid, *x) for sid, h in zip(part.column("sid").to_pylist(), part.column("h")) for x in signatures(np.frombuffer(h.as_buffer(), np.uint64), bands)]
                 if made:
-                    sid = np.repeat(part.column("sid").to_numpy(), [len(x) for x in made])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(sid)], schema=kinds)
+                    size = [len(x[2]) for x in made]
+                    sid, inst, spare = (np.repeat(np.array([x[i] for x in made], t), size) for i, t in ((0, np.int64), (1, np.int32), (3, np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[2] for x in made]).view(np.int64)), pa.array(sid), pa.array(inst), pa.array(spare)], names=names)
 
-    return sets.select("sid", "h").mapInArrow(run, "sig long, sid long")
+    return sets.select("sid", "h").mapInArrow(run, "sig long, sid long, inst int, spare int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_copy: int = 500) -> DataFrame:
@@ -217,18 +238,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_copy: i
     return both.select("u", "v", "hu", "hv").mapInArrow(run, "u long, v long")
 
 
-def _rest(signed: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (u, v) that share a signature and aren't connected yet."""
-    named = signed.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("c"))
-    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("sig", "m")
-    rows = saved(named.join(mixed, "sig"), "mixed")
+def _mixed(rows: DataFrame) -> DataFrame:
+    """rows (sig, sid, c, ...) of signatures whose members are of several components, with their number m."""
+    groups = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"))
+    return rows.join(groups.where("lo < hi").select("sig", "m"), "sig")
+
+
+def _rest(signed: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) that share a signature, aren't connected yet, and may be similar by their sizes and sketches."""
+    named = signed.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid")).drop("component")
+    # Each set leaves out as many signatures as it can spare, those of the largest groups first.
+    nth = F.row_number().over(Window.partitionBy("sid", "inst").orderBy(F.desc("m"), "sig"))
+    rows = _mixed(named).withColumn("nth", nth).where("nth > spare").select("sig", "sid", "c")
+    rows = _mixed(saved(rows, "mixed"))
     # A large group is dealt in blocks; each member meets each block once.
-    cells = F.ceil(F.col("m") / GROUP_BLOCK).cast("int")
-    rows = rows.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int"))
-    right = rows.select("sig", "cell", F.col("sid").alias("v"), F.col("c").alias("cv"))
-    left = rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("sig", "cell", F.col("sid").alias("u"), F.col("c").alias("cu"))
-    pairs = left.join(right, ["sig", "cell"]).where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")))
-    return pairs.select("u", "v").distinct()
+    rows = rows.withColumn("cells", F.ceil(F.col("m") / GROUP_BLOCK).cast("int")).withColumn("cell", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int"))
+    bits = [f"p{i}" for i in range(SKETCH)]
+    rows = rows.join(sets.select("sid", "n", *bits), "sid")
+    side = lambda x, df: df.select("sig", "cell", *(F.col(c).alias(f"{c}{x}") for c in ("sid", "c", "n", *bits)))
+    left = side("u", rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))).withColumnsRenamed({"sig": "sig_", "cell": "cell_"})
+    right = side("v", rows)
+    apart = sum((F.bit_count(F.col(f"{c}u").bitwiseXOR(F.col(f"{c}v"))) for c in bits), F.lit(0))
+    alike = (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num) & (apart * (den + num) <= (F.col("nu") + F.col("nv")) * (den - num))
+    pairs = left.join(right, (F.col("sig") == F.col("sig_")) & (F.col("cell") == F.col("cell_")) & (F.col("sidu") < F.col("sidv")) & (F.col("cu") != F.col("cv")) & alike)
+    return pairs.select(F.col("sidu").alias("u"), F.col("sidv").alias("v")).distinct()
 
 
 def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
@@ -244,7 +277,7 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     stars = saved(signed.join(center, "sig").where("u < sid").select("u", F.col("sid").alias("v")).distinct(), "stars")
     links = saved(_verified(stars, sets, num, den), "links")
     comps = components(links)
-    more = saved(_rest(signed, comps), "rest")
+    more = saved(_rest(signed, comps, sets, num, den), "rest")
     found = saved(_verified(more, sets, num, den), "links")
     comps = saved(components(links.unionByName(found)), "components")
     # Rows of equal sets share their representative; a component is named by its least id.
