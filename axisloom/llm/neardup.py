@@ -79,7 +79,14 @@ def connected(adjacency: list[np.ndarray], x: np.ndarray, medoid: int) -> list[n
     dst = np.concatenate(adjacency) if m else src
     both = np.unique(np.concatenate([src * m + dst, dst * m + src]))
     cut = np.searchsorted(both // m, np.arange(m + 1))
-    lists = [(both % m)[cut[i] : cut[i + 1]] for i in range(m)]
+    lists = np.split(both % m, cut[1:-1]) if m else []
+    for i in np.flatnonzero(np.diff(cut) > 2 * DEGREE):  # hubs keep their nearest, so that a step of the search stays small
+        lists[i] = lists[i][np.argsort(-(x[lists[i]] @ x[i]), kind="stable")[: 2 * DEGREE]]
+    near = [lists[i][np.argsort(-(x[lists[i]] @ x[i]), kind="stable")[:4]] for i in range(m)]
+    for i in range(m):  # and every vector stays in reach of its own nearest
+        for j in near[i]:
+            if i not in lists[j]:
+                lists[j] = np.append(lists[j], i)
     seen = np.zeros(m, bool)
 
     def flood(start: int) -> None:
@@ -94,7 +101,8 @@ def connected(adjacency: list[np.ndarray], x: np.ndarray, medoid: int) -> list[n
     while not seen.all():
         lost = int(np.flatnonzero(~seen)[0])
         reached = np.flatnonzero(seen)
-        to = int(reached[(x[reached] @ x[lost]).argmax()])
+        spare = reached[[len(lists[i]) < 3 * DEGREE for i in reached]]
+        to = int(max(spare if len(spare) else reached, key=lambda i: float(x[i] @ x[lost])))
         lists[to] = np.append(lists[to], lost)
         lists[lost] = np.append(lists[lost], to)
         flood(lost)
