@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,11 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def saved(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
+def saved(df: DataFrame, name: str = "t", free: bool = True) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends there and lost executors cost nothing.
+
+    With ``free`` the driver then lets go of the shuffles behind it, whose files would stay until its next collection.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/axisloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     was = _state(e)
     for _ in range(rounds):
-        e = saved(_small(saved(_large(e), "large")), "small")
+        e = saved(_small(saved(_large(e), "large", False)), "small", False)
         now = _state(e)
         if now == was:
             break

@@ -14,7 +14,8 @@ Three steps keep this in bounds, none of which loses a link:
   exchanged between blocks of rows (see ``blocks``), where a feature that is frequent in a
   block is sent once.
 * Equal sets have one representative.
-* Of a signature's group each member is first held against the group's least member only.
+* Of a signature's group each member is first held against the group's least member only
+  (a quarter of the signatures does for this step, as it need not be complete).
   Groups whose members are then all connected are done. In the others each set leaves out the
   largest groups as far as the guarantee allows, and members not yet connected meet in blocks,
   where sketches that bound the sets' difference choose the pairs to compare in full.
@@ -198,8 +199,8 @@ def _sets(df: DataFrame, k: int) -> DataFrame:
     return df.mapInArrow(run, "sid long, n long, h binary, " + ", ".join(f"p{i} long" for i in range(SKETCH)))
 
 
-def _signed(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, sid, inst, spare) of every set."""
+def _signed(sets: DataFrame, num: int, den: int, some: bool = False) -> DataFrame:
+    """(sig, sid, inst, spare) of every set. some: a quarter of the signatures of sets with many."""
     names = ["sig", "sid", "inst", "spare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +209,8 @@ def _signed(sets: DataFrame, num: int, den: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 made = [(sid, *x) for sid, h in zip(part.column("sid").to_pylist(), part.column("h")) for x in signatures(np.frombuffer(h.as_buffer(), np.uint64), bands)]
+                if some:
+                    made = [(sid, i, sig[sig % _U(4) == 0] if len(sig) > 64 else sig, spare) for sid, i, sig, spare in made]
                 if made:
                     size = [len(x[2]) for x in made]
                     sid, inst, spare = (np.repeat(np.array([x[i] for x in made], t), size) for i, t in ((0, np.int64), (1, np.int32), (3, np.int32)))
@@ -273,8 +276,9 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     reps = saved(reps, "reps")
     sets = saved(_sets(docs.select("key", "text").join(reps.select(F.col("rep").alias("key")), "key", "left_semi"), k).dropDuplicates(["sid"]), "shingles")
     signed = _signed(sets, num, den)
-    center = signed.groupBy("sig").agg(F.min("sid").alias("u"), F.max("sid").alias("top")).where("u < top").select("sig", "u")
-    stars = saved(signed.join(center, "sig").where("u < sid").select("u", F.col("sid").alias("v")).distinct(), "stars")
+    few = _signed(sets, num, den, some=True)
+    center = few.groupBy("sig").agg(F.min("sid").alias("u"), F.max("sid").alias("top")).where("u < top").select("sig", "u")
+    stars = saved(few.join(center, "sig").where("u < sid").select("u", F.col("sid").alias("v")).distinct(), "stars")
     links = saved(_verified(stars, sets, num, den), "links")
     comps = components(links)
     more = saved(_rest(signed, comps, sets, num, den), "rest")
