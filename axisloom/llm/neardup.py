@@ -38,6 +38,21 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def thinned(x: np.ndarray, reach: float) -> np.ndarray:
+    """Unit vectors without those in reach of an earlier one, so that a group of near copies has one pivot and stays in one shard."""
+    keep = x[:1]
+    for lo in range(1, len(x), 256):
+        part = x[lo : lo + 256]
+        part = part[(part @ keep.T).max(1) < reach]
+        own = part @ part.T
+        alive = np.ones(len(part), bool)
+        for i in range(len(part)):
+            if alive[i]:
+                alive[i + 1 :] &= own[i, i + 1 :] < reach
+        keep = np.concatenate([keep, part[alive]])
+    return keep
+
+
 def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA, seed: int = 3) -> np.ndarray:
     """Adjacency (-1 where fewer) of unit vectors: the nearest of a pool, leaving out what a chosen neighbour is closer to by ``alpha``."""
     m = len(x)
@@ -187,7 +202,7 @@ def _links(reps: DataFrame, dim: int, reach: float, overlap: int, beam: int, sha
         draw = F.pmod(F.xxhash64("rep", "label"), F.lit(1 << 20)) < F.ceil(F.element_at(rate, F.col("label")) * (1 << 20))
         for r in reps.where(draw).orderBy(F.xxhash64("rep", "label")).limit(MAX_PIVOTS).select("label", "vec").collect():
             pivots.setdefault(r[0], []).append(np.array(r[1], np.float32))
-    pivots = {k: unit(np.stack(v)) for k, v in pivots.items()}
+    pivots = {k: thinned(unit(np.stack(v)), reach - 0.1) for k, v in pivots.items()}
     base, total = {}, 0
     for k in sorted(pivots, key=str):
         base[k] = total
