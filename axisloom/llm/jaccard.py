@@ -14,8 +14,8 @@ Three steps keep this in bounds, none of which loses a link:
   exchanged between blocks of rows (see ``blocks``), where a feature that is frequent in a
   block is sent once.
 * Equal sets have one representative.
-* Of a signature's group each member is first held against the group's least member only
-  (a quarter of the signatures does for this step, as it need not be complete).
+* Of a signature's group each member is first held against one member only, in a few rounds
+  (a quarter of the signatures and two pairs a member do for this step, as it need not be complete).
   Groups whose members are then all connected are done. In the others each set leaves out the
   largest groups as far as the guarantee allows, and members not yet connected meet in blocks,
   where sketches that bound the sets' difference choose the pairs to compare in full.
@@ -43,6 +43,8 @@ from .words import batch_rows, grams, mix, utf8, words
 _U = np.uint64
 #: Members of a signature's group that are compared within one row of a join; larger groups are dealt in blocks of it.
 GROUP_BLOCK = 256
+#: Rounds of comparing with one member of a group before the exact rest; they only save work there.
+STAR_ROUNDS = 2
 #: 64-bit words of a set's sketch.
 SKETCH = 16
 
@@ -247,6 +249,20 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(groups.where("lo < hi").select("sig", "m"), "sig")
 
 
+def _stars(signed: DataFrame, comps: DataFrame | None, seed: int, most: int = 2) -> DataFrame:
+    """(u, v): members of a signature's group and the group's first member in an order drawn by ``seed``, if not
+    connected yet; of each member the ``most`` pairs that stand in the most groups."""
+    if comps is not None:
+        signed = signed.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("c"))
+    else:
+        signed = signed.select("sig", "sid", F.col("sid").alias("c"))
+    first = F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("r"), "c", "sid"))
+    center = signed.groupBy("sig").agg(first.alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", F.col("first.sid").alias("u"), F.col("first.c").alias("cu"))
+    pairs = signed.join(center, "sig").where("c <> cu").groupBy("u", F.col("sid").alias("v")).agg(F.count(F.lit(1)).alias("groups"))
+    nth = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("groups"), "u"))
+    return pairs.withColumn("nth", nth).where(F.col("nth") <= most).select("u", "v")
+
+
 def _rest(signed: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (u, v) that share a signature, aren't connected yet, and may be similar by their sizes and sketches."""
     named = signed.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid")).drop("component")
@@ -274,13 +290,16 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     info = saved(_candidates(docs, k, num, den), "sets")
     reps = info.where("maybe").groupBy("sa", "sb", "n").agg(F.min("key").alias("rep"))
     reps = saved(reps, "reps")
-    sets = saved(_sets(docs.select("key", "text").join(reps.select(F.col("rep").alias("key")), "key", "left_semi"), k).dropDuplicates(["sid"]), "shingles")
+    sets = saved(_sets(docs.select("key", "text").join(reps.select(F.col("rep").alias("key")), "key", "left_semi"), k), "shingles")
+    if not sets.groupBy("sid").count().where("count > 1").isEmpty():  # rows that repeat with their id
+        sets = saved(sets.dropDuplicates(["sid"]), "shingles")
     signed = _signed(sets, num, den)
     few = _signed(sets, num, den, some=True)
-    center = few.groupBy("sig").agg(F.min("sid").alias("u"), F.max("sid").alias("top")).where("u < top").select("sig", "u")
-    stars = saved(few.join(center, "sig").where("u < sid").select("u", F.col("sid").alias("v")).distinct(), "stars")
-    links = saved(_verified(stars, sets, num, den), "links")
-    comps = components(links)
+    links, comps = None, None
+    for seed in range(STAR_ROUNDS):
+        found = saved(_verified(saved(_stars(few, comps, seed), "stars"), sets, num, den), "links")
+        links = found if links is None else links.unionByName(found)
+        comps = components(links)
     more = saved(_rest(signed, comps, sets, num, den), "rest")
     found = saved(_verified(more, sets, num, den), "links")
     comps = saved(components(links.unionByName(found)), "components")
