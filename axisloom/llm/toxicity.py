@@ -76,7 +76,8 @@ def word_features(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     turn = np.flatnonzero(inner[1:] != inner[:-1])
     start, end = turn[::2], turn[1::2]
     weights = np.multiply.accumulate(np.full(len(c) + 1, np.uint64(0x9E3779B97F4A7C15)))
-    total = np.concatenate([[0], np.cumsum(c.astype(np.uint64) * weights[: len(c)])]).astype(np.uint64)
+    total = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(c.astype(np.uint64) * weights[: len(c)], out=total[1:])
     back = np.multiply.accumulate(np.full(len(c) + 1, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))))
     h = (total[end] - total[start]) * back[start]
     return start, end, ((h >> np.uint64(64 - BITS)) ^ np.uint64(0x1F3D)).astype(np.uint32)
