@@ -83,7 +83,7 @@ def first_seen_codes(labels: DataFrame) -> DataFrame:
     """(i, v) -> (i, code): labels numbered in the order of their first position; missing ones -1."""
     first = labels.where("v is not null").groupBy("v").agg(F.min("i").alias("first"))
     codes = first.select("v", (F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("code"))
-    return labels.join(F.broadcast(codes), "v", "left").select("i", F.coalesce("code", F.lit(-1)).alias("code"))
+    return labels.join(codes, "v", "left").select("i", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
 def factor_levels(labels: DataFrame) -> DataFrame:

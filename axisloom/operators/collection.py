@@ -61,7 +61,7 @@ def collection_pseudobulk(measure: DataFrame, groups: DataFrame) -> DataFrame:
     """
     sums = measure.join(groups.where("g is not null"), "row").groupBy("g", "col").agg(F.sum(F.col("v").cast("double")).alias("s"), F.count("v").alias("e"))
     sizes = groups.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    return sums.join(F.broadcast(sizes), "g").select("g", "col", (F.col("s") / F.col("n")).alias("mean"), (F.col("e") / F.col("n")).alias("frac"))
+    return sums.join(sizes, "g").select("g", "col", (F.col("s") / F.col("n")).alias("mean"), (F.col("e") / F.col("n")).alias("frac"))
 
 
 def flatten(measure: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from .measure import view
 
 def markers(stats: DataFrame, sizes: DataFrame, n: int | None = None) -> DataFrame:
     """One group against the rest: (g, j, lfc, padj). stats: (g, j, sum, n_expr) on the full grid; n: all rows, ungrouped ones too."""
-    s = stats.join(F.broadcast(sizes.withColumnRenamed("n", "n_g")), "g")
+    s = stats.join(sizes.withColumnRenamed("n", "n_g"), "g")
     rows = F.lit(n).cast("double") if n is not None else F.lit(None)
     if n is None:
         s = s.crossJoin(F.broadcast(sizes.agg(F.sum("n").cast("double").alias("_all"))))

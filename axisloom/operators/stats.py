@@ -44,8 +44,8 @@ def group_stats(m: DataFrame, groups: DataFrame, lognorm: bool = False, depth: D
     x = _viewed(m, depth, scale, lognorm)
     out = x.join(groups.where("g is not null").select("i", "g"), "i").groupBy("g", "j").agg(F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("sumsq"), F.count("x").alias("n_expr"))
     if columns is not None and levels is not None:
-        # The grid is asked for by its size: levels are few (at most 60 in a grouping).
-        grid = columns.select("j").crossJoin(F.broadcast(levels.select("g")))
+        # Only on request: the caller asks for a row per cell. Catalyst broadcasts the levels if they are small.
+        grid = columns.select("j").crossJoin(levels.select("g"))
         out = grid.join(out, ["g", "j"], "left").select("g", "j", F.coalesce("sum", F.lit(0.0)).alias("sum"), F.coalesce("sumsq", F.lit(0.0)).alias("sumsq"), F.coalesce("n_expr", F.lit(0)).alias("n_expr"))
     return out
 
@@ -62,7 +62,7 @@ def pseudobulk(m: DataFrame, groups: DataFrame, **kwargs) -> DataFrame:
     """(g, j, mean, frac): mean over the group's rows, and the share that express; groups without rows have none."""
     s = group_stats(m, groups, **kwargs)
     sizes = group_sizes(groups)
-    return s.join(F.broadcast(sizes), "g", "left").select("g", "j", F.coalesce(F.try_divide("sum", "n"), F.lit(0.0)).alias("mean"), F.coalesce(F.try_divide("n_expr", "n"), F.lit(0.0)).alias("frac"))
+    return s.join(sizes, "g", "left").select("g", "j", F.coalesce(F.try_divide("sum", "n"), F.lit(0.0)).alias("mean"), F.coalesce(F.try_divide("n_expr", "n"), F.lit(0.0)).alias("frac"))
 
 
 def uniqueness(df: DataFrame, key: str) -> DataFrame:
