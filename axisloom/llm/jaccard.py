@@ -45,6 +45,8 @@ _U = np.uint64
 GROUP_BLOCK = 256
 #: Rounds of comparing with one member of a group before the exact rest; they only save work there.
 STAR_ROUNDS = 2
+#: Signatures of a set before one at which a pair would have met already.
+BEFORE = 6
 #: 64-bit words of a set's sketch.
 SKETCH = 16
 
@@ -221,14 +223,19 @@ def _signed(sets: DataFrame, num: int, den: int, some: bool = False) -> DataFram
     return sets.select("sid", "h").mapInArrow(run, "sig long, sid long, inst int, spare int")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side that grows with the input: joined by a shuffle at every size, rather than broadcast as long as it is small."""
+    return df.hint("shuffle_hash")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_copy: int = 500) -> DataFrame:
     """Of pairs (u, v), those that are similar. A set with many partners is copied, so that its pairs are dealt to several tasks."""
     sizes = sets.select("sid", "n", "h")
     often = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / per_copy).cast("int").alias("copies"))
-    left = sizes.join(often, sizes.sid == often.u).select("u", "copies", F.col("n").alias("nu"), F.col("h").alias("hu"))
+    left = sizes.join(_dealt(often), sizes.sid == often.u).select("u", "copies", F.col("n").alias("nu"), F.col("h").alias("hu"))
     left = left.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     dealt = pairs.join(often, "u").withColumn("copy", F.pmod(F.xxhash64("v"), F.col("copies")).cast("int")).select("u", "v", "copy")
-    right = dealt.join(sizes, dealt.v == sizes.sid).select("u", "copy", "v", F.col("n").alias("nv"), F.col("h").alias("hv"))
+    right = sizes.join(_dealt(dealt), dealt.v == sizes.sid).select("u", "copy", "v", F.col("n").alias("nv"), F.col("h").alias("hv"))
     both = right.join(left.drop("copies"), ["u", "copy"]).where(F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,39 +253,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_copy: i
 def _mixed(rows: DataFrame) -> DataFrame:
     """rows (sig, sid, c, ...) of signatures whose members are of several components, with their number m."""
     groups = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"))
-    return rows.join(groups.where("lo < hi").select("sig", "m"), "sig")
+    return rows.join(_dealt(groups.where("lo < hi").select("sig", "m")), "sig")
 
 
 def _stars(signed: DataFrame, comps: DataFrame | None, seed: int, most: int = 2) -> DataFrame:
     """(u, v): members of a signature's group and the group's first member in an order drawn by ``seed``, if not
     connected yet; of each member the ``most`` pairs that stand in the most groups."""
     if comps is not None:
-        signed = signed.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("c"))
+        signed = signed.join(_dealt(comps.withColumnRenamed("node", "sid")), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("c"))
     else:
         signed = signed.select("sig", "sid", F.col("sid").alias("c"))
     first = F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("r"), "c", "sid"))
     center = signed.groupBy("sig").agg(first.alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", F.col("first.sid").alias("u"), F.col("first.c").alias("cu"))
-    pairs = signed.join(center, "sig").where("c <> cu").groupBy("u", F.col("sid").alias("v")).agg(F.count(F.lit(1)).alias("groups"))
+    pairs = signed.join(_dealt(center), "sig").where("c <> cu").groupBy("u", F.col("sid").alias("v")).agg(F.count(F.lit(1)).alias("groups"))
     nth = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("groups"), "u"))
     return pairs.withColumn("nth", nth).where(F.col("nth") <= most).select("u", "v")
 
 
 def _rest(signed: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (u, v) that share a signature, aren't connected yet, and may be similar by their sizes and sketches."""
-    named = signed.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid")).drop("component")
+    named = signed.join(_dealt(comps.withColumnRenamed("node", "sid")), "sid", "left").withColumn("c", F.coalesce("component", "sid")).drop("component")
     # Each set leaves out as many signatures as it can spare, those of the largest groups first.
-    nth = F.row_number().over(Window.partitionBy("sid", "inst").orderBy(F.desc("m"), "sig"))
-    rows = _mixed(named).withColumn("nth", nth).where("nth > spare").select("sig", "sid", "c")
+    by_set = Window.partitionBy("sid", "inst").orderBy(F.desc("m"), "sig")
+    rows = _mixed(named).withColumn("nth", F.row_number().over(by_set)).where("nth > spare")
+    # A pair is made at its first common signature: those that have one just before have met there.
+    rows = rows.withColumn("before", F.collect_list("sig").over(by_set.rowsBetween(-BEFORE, -1))).select("sig", "sid", "c", "before")
     rows = _mixed(saved(rows, "mixed"))
     # A large group is dealt in blocks; each member meets each block once.
     rows = rows.withColumn("cells", F.ceil(F.col("m") / GROUP_BLOCK).cast("int")).withColumn("cell", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int"))
     bits = [f"p{i}" for i in range(SKETCH)]
     rows = rows.join(sets.select("sid", "n", *bits), "sid")
-    side = lambda x, df: df.select("sig", "cell", *(F.col(c).alias(f"{c}{x}") for c in ("sid", "c", "n", *bits)))
+    side = lambda x, df: df.select("sig", "cell", *(F.col(c).alias(f"{c}{x}") for c in ("sid", "c", "n", "before", *bits)))
     left = side("u", rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))).withColumnsRenamed({"sig": "sig_", "cell": "cell_"})
     right = side("v", rows)
     apart = sum((F.bit_count(F.col(f"{c}u").bitwiseXOR(F.col(f"{c}v"))) for c in bits), F.lit(0))
     alike = (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num) & (apart * (den + num) <= (F.col("nu") + F.col("nv")) * (den - num))
+    alike &= ~F.arrays_overlap("beforeu", "beforev")
     pairs = left.join(right, (F.col("sig") == F.col("sig_")) & (F.col("cell") == F.col("cell_")) & (F.col("sidu") < F.col("sidv")) & (F.col("cu") != F.col("cv")) & alike)
     return pairs.select(F.col("sidu").alias("u"), F.col("sidv").alias("v")).distinct()
 
@@ -290,7 +300,7 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     info = saved(_candidates(docs, k, num, den), "sets")
     reps = info.where("maybe").groupBy("sa", "sb", "n").agg(F.min("key").alias("rep"))
     reps = saved(reps, "reps")
-    sets = saved(_sets(docs.select("key", "text").join(reps.select(F.col("rep").alias("key")), "key", "left_semi"), k), "shingles")
+    sets = saved(_sets(docs.select("key", "text").join(_dealt(reps.select(F.col("rep").alias("key"))), "key", "left_semi"), k), "shingles")
     if not sets.groupBy("sid").count().where("count > 1").isEmpty():  # rows that repeat with their id
         sets = saved(sets.dropDuplicates(["sid"]), "shingles")
     signed = _signed(sets, num, den)
