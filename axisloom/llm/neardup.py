@@ -9,7 +9,7 @@ match is verified in double precision. A shard answers with a number of links fo
 and a spanning forest of the matches, never with all pairs. At last the recall of a bounded
 sample is audited against brute force; below ``min_recall`` overlap and beam are doubled.
 
-Bounds: pivots are a sample of at most ``MAX_PIVOTS`` vectors in all (broadcast, 64 MB at 128
+Bounds: pivots are chosen from a sample of at most ``MAX_PIVOTS`` vectors in all, ``PIVOT_SAMPLE`` for each one wanted (broadcast, 64 MB at 128
 dimensions) for the MAX_LABELS most frequent labels, and any other label is a shard; shards of more than ``SHARD_ROWS`` vectors are indexed in blocks, and their
 queries visit each block.
 
@@ -31,15 +31,18 @@ from pyspark.sql import functions as F
 from .common import saved
 from .components import components
 
-MAX_PIVOTS, MAX_LABELS, SHARD_ROWS, DEGREE, POOL, ALPHA = 65_536, 1000, 4096, 24, 64, 1.2
+MAX_PIVOTS, PIVOT_SAMPLE, MAX_LABELS, SHARD_ROWS, DEGREE, POOL, ALPHA = 65_536, 5, 1000, 4096, 24, 64, 1.2
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def thinned(x: np.ndarray, reach: float) -> np.ndarray:
-    """Unit vectors without those in reach of an earlier one, so that a group of near copies has one pivot and stays in one shard."""
+def pivots_of(x: np.ndarray, want: int, reach: float) -> np.ndarray:
+    """``want`` of a sample of unit vectors, none in reach of an earlier one, those that stand for most of the sample first.
+
+    So a group of near copies has one pivot, and stays in one shard.
+    """
     keep = x[:1]
     for lo in range(1, len(x), 256):
         part = x[lo : lo + 256]
@@ -50,7 +53,11 @@ def thinned(x: np.ndarray, reach: float) -> np.ndarray:
             if alive[i]:
                 alive[i + 1 :] &= own[i, i + 1 :] < reach
         keep = np.concatenate([keep, part[alive]])
-    return keep
+    stands = np.zeros(len(keep), np.int64)
+    for lo in range(0, len(x), 256):
+        s = x[lo : lo + 256] @ keep.T
+        stands += np.bincount(s.argmax(1)[s.max(1) >= reach], minlength=len(keep))
+    return keep[np.argsort(-stands, kind="stable")[:want]]
 
 
 def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA, seed: int = 3) -> np.ndarray:
@@ -195,14 +202,14 @@ def _links(reps: DataFrame, dim: int, reach: float, overlap: int, beam: int, sha
     """reps: rep, label, vec, copies. (rep, found): links of each representative that has some, copies counted; (u, v): a forest of the links."""
     counts = {r[0]: r[1] for r in reps.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()}
     want = {k: max(1, round(n / shard_rows)) for k, n in counts.items()}
-    shrink = min(1.0, MAX_PIVOTS / sum(want.values())) if want else 1.0
-    rate = F.create_map(*[F.lit(x) for k, n in want.items() for x in (k, min(1.0, 1.2 * n * shrink / counts[k]))]) if want else None
+    shrink = min(1.0, MAX_PIVOTS / (PIVOT_SAMPLE * sum(want.values()))) if want else 1.0
+    rate = F.create_map(*[F.lit(x) for k, n in want.items() for x in (k, min(1.0, PIVOT_SAMPLE * n * shrink / counts[k]))]) if want else None
     pivots: dict = {}
     if want:
         draw = F.pmod(F.xxhash64("rep", "label"), F.lit(1 << 20)) < F.ceil(F.element_at(rate, F.col("label")) * (1 << 20))
         for r in reps.where(draw).orderBy(F.xxhash64("rep", "label")).limit(MAX_PIVOTS).select("label", "vec").collect():
             pivots.setdefault(r[0], []).append(np.array(r[1], np.float32))
-    pivots = {k: thinned(unit(np.stack(v)), reach - 0.1) for k, v in pivots.items()}
+    pivots = {k: pivots_of(unit(np.stack(v)), max(1, round(want[k] * shrink)), reach - 0.1) for k, v in pivots.items()}
     base, total = {}, 0
     for k in sorted(pivots, key=str):
         base[k] = total
@@ -325,7 +332,7 @@ def near_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     found_all, edges_all = [], []
     for dim in kinds:
         reps = copies.where(F.col("dim") == dim).select("rep", "label", "vec", "copies")
-        overlap, beam = 3, 24
+        overlap, beam = 4, 24
         for _ in range(tries):
             found, edges = _links(reps, dim, reach, overlap, beam)
             if audit_recall(reps, found, dim, reach) >= min_recall:
