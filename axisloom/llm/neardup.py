@@ -6,8 +6,9 @@ and the adjacency lists that a vector has in its shards are united. Each vector
 searched for in the shard of its nearest pivot: a greedy search from the shard's medoid, whose
 beam becomes an expansion over all vectors within range (and a slack) of the query. Every
 match is verified in double precision. A shard answers with a number of links for each query
-and a spanning forest of the matches, never with all pairs. At last the recall of a bounded
-sample is audited against brute force; below ``min_recall`` overlap and beam are doubled.
+and a spanning forest of the matches, never with all pairs. At last the recall of a sample of all
+vectors is audited against brute force, each vector with links counting once; below
+``min_recall`` overlap and beam are doubled, and after the last try brute force gives the links.
 
 Bounds: pivots are chosen from a sample of at most ``MAX_PIVOTS`` vectors in all, ``PIVOT_SAMPLE`` for each one wanted (broadcast, 64 MB at 128
 dimensions) for the MAX_LABELS most frequent labels, and any other label is a shard; shards of more than ``SHARD_ROWS`` vectors are indexed in blocks, and their
@@ -20,18 +21,23 @@ of their own that link with each other; null ids are not supported as links but
 
 from __future__ import annotations
 
+import uuid
+import warnings
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, shared_dir
 from .components import components
 
 MAX_PIVOTS, PIVOT_SAMPLE, MAX_LABELS, SHARD_ROWS, DEGREE, POOL, ALPHA = 65_536, 5, 1000, 4096, 24, 64, 1.2
+#: Vectors of an audit's sample at first and at most, those with links that are enough, and components of a block that goes over all vectors.
+AUDIT, AUDIT_MOST, AUDIT_LINKED, BLOCK_VALUES = 1024, 65_536, 400, 1 << 20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -289,32 +295,84 @@ def _links(reps: DataFrame, dim: int, reach: float, overlap: int, beam: int, sha
         return pa.table({"rep": pa.array(rep[keep]), "found": pa.array(found[keep]), "root": pa.array(rep[root[keep]])})
 
     answers = saved(both.groupBy("shard", "block").applyInArrow(search, "rep long, found long, root long"), "answers")
-    return answers.groupBy("rep").agg(F.sum("found").alias("found")), answers.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
-
-
-def audit_recall(reps: DataFrame, found: DataFrame, dim: int, reach: float, queries: int = 256) -> float:
-    """Share of the links of a bounded sample of vectors, by brute force over all vectors in blocks, that ``found`` has."""
-    # Half of the sample from vectors with links, where there are some; any others can only lower the share.
-    linked = found.where("found > 0").orderBy(F.xxhash64("rep")).limit(queries // 2).select("rep")
-    some = reps.orderBy(F.xxhash64("rep", F.lit(1))).limit(queries // 2).select("rep").unionByName(linked).distinct()
-    rows = reps.join(F.broadcast(some), "rep").select("rep", "label", "vec").collect()
-    if not rows:
-        return 1.0
-    q = unit(np.array([r[2] for r in rows], np.float64))
-    ids, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], object)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                x = unit(_vectors(batch.column("vec"), dim))
-                ok = (q @ x.T >= reach) & (labels[:, None] == np.array(batch.column("label").to_pylist(), object)[None]) & (ids[:, None] != batch.column("rep").to_numpy()[None])
-                total += (ok * batch.column("copies").to_numpy()).sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["rep", "links"])
+    return _united(answers)
+
+
+def _united(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return answers.groupBy("rep").agg(F.sum("found").alias("found")).where("found > 0"), answers.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
+
+
+def _brute(reps: DataFrame, queries: pa.Table, dim: int, reach: float) -> tuple[DataFrame, Broadcast]:
+    """(rep, found, root) as a shard answers, by brute force of the queries over all vectors; and the broadcast queries."""
+    exact = _vectors(queries.column("vec"), dim)
+    shared = reps.sparkSession.sparkContext.broadcast((queries.column("rep").to_numpy(), np.array(queries.column("label").to_pylist(), object), exact, np.sqrt((exact * exact).sum(1))))
 
-    truth = reps.mapInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-    got = truth.join(found, "rep", "left").select("links", F.least("links", F.coalesce("found", F.lit(0))).alias("f")).agg(F.sum("links"), F.sum("f")).first()
-    return got[1] / got[0] if got[0] else 1.0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels, q, q_norm = shared.value
+        order = np.argsort(labels, kind="stable")
+        kinds, cut = np.unique(labels[order], return_index=True)
+        asked = dict(zip(kinds.tolist(), np.split(order, cut[1:])))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep, copies, label = batch.column("rep").to_numpy(), batch.column("copies").to_numpy(), np.array(batch.column("label").to_pylist(), object)
+            x = _vectors(batch.column("vec"), dim)
+            norm = np.sqrt((x * x).sum(1))
+            found = np.zeros(len(ids) + len(rep), np.int64)
+
+            def pairs() -> Iterator[tuple[int, np.ndarray]]:
+                for k in set(label.tolist()) & asked.keys():
+                    own = np.flatnonzero(label == k)
+                    for lo in range(0, len(asked[k]), 256):
+                        at = asked[k][lo : lo + 256]
+                        ok = ((q[at] @ x[own].T) / (q_norm[at][:, None] * norm[own]) >= reach) & (ids[at][:, None] != rep[own])
+                        for i in np.flatnonzero(ok.any(1)):
+                            others = own[ok[i]]
+                            found[at[i]] += copies[others].sum()
+                            yield int(at[i]), len(ids) + others
+
+            root, node = forest(len(found), pairs()), np.concatenate([ids, rep])
+            keep = (found > 0) | (root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(found[keep]), pa.array(node[root[keep]])], names=["rep", "found", "root"])
+
+    return reps.select("rep", "label", "copies", "vec").mapInArrow(run, "rep long, found long, root long"), shared
+
+
+def _drawn(reps: DataFrame, lo: float, hi: float) -> pa.Table:
+    """The vectors whose hash lies in this part of its range."""
+    top = 1 << 30
+    at = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(top))
+    return reps.where((at >= int(lo * top)) & (at < int(min(1.0, hi) * top))).select("rep", "label", "vec").toArrow()
+
+
+def _exact(reps: DataFrame, dim: int, reach: float) -> tuple[DataFrame, DataFrame]:
+    """As _links, without misses: each block of vectors goes over all vectors."""
+    spark = reps.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/axisloom-exact-{uuid.uuid4().hex}"
+    passes = -(-reps.count() // max(1, BLOCK_VALUES // dim))
+    for p in range(passes):
+        answers, shared = _brute(reps, _drawn(reps, p / passes, (p + 1) / passes), dim, reach)
+        answers.write.mode("append").parquet(path)
+        shared.destroy()
+    return _united(spark.read.schema(answers.schema).parquet(path))
+
+
+def audit_recall(reps: DataFrame, found: DataFrame, dim: int, reach: float) -> float:
+    """Mean share of its links that ``found`` has, over the vectors of a sample of all vectors that have any by brute force.
+
+    The sample grows until AUDIT_LINKED vectors with links are in it, to all vectors or AUDIT_MOST.
+    """
+    every, at, step, shares = reps.count(), 0, AUDIT, []
+    while at < min(every, AUDIT_MOST) and len(shares) < AUDIT_LINKED:
+        step = min(step, max(1, BLOCK_VALUES // dim))
+        truth, shared = _brute(reps, _drawn(reps, at / every, (at + step) / every), dim, reach)
+        truth = truth.groupBy("rep").agg(F.sum("found").alias("links")).where("links > 0")
+        shares += [r[0] for r in truth.join(found, "rep", "left").select(F.least("links", F.coalesce("found", F.lit(0))) / F.col("links")).collect()]
+        shared.destroy()
+        at, step = at + step, 2 * step
+    if at < every and len(shares) < AUDIT_LINKED:
+        warnings.warn(f"the audit of vectors met {len(shares)} with links in a sample of {at} out of {every}")
+    return float(np.mean(shares)) if shares else 1.0
 
 
 def near_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", reach: float = 0.93, min_recall: float = 0.98, tries: int = 3) -> DataFrame:
@@ -338,6 +396,8 @@ def near_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
             if audit_recall(reps, found, dim, reach) >= min_recall:
                 break
             overlap, beam = 2 * overlap, 2 * beam
+        else:
+            found, edges = _exact(reps, dim, reach)
         found_all.append(found)
         edges_all.append(edges)
     found, edges = found_all[0], edges_all[0]

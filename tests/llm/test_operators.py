@@ -119,6 +119,32 @@ def test_large_shards_are_searched_in_blocks(spark, monkeypatch):
     assert all(r["n_links"] <= want[r["vec_id"]] for r in got)
 
 
+def pairs_of(rng, n, dim, noise):
+    x = rng.normal(size=(n, dim))
+    return np.stack([x, x + noise * rng.normal(size=(n, dim))], 1).reshape(-1, dim)
+
+
+def test_audit_counts_vectors_whose_links_were_all_missed(spark):
+    rng = np.random.default_rng(11)
+    group = rng.normal(size=16) + 0.05 * rng.normal(size=(300, 16))
+    vectors = np.concatenate([group, pairs_of(rng, 100, 16, 0.1)])
+    reps = spark.createDataFrame([(i, "a", [float(x) for x in v], 1) for i, v in enumerate(vectors)], "rep long, label string, vec array<double>, copies long")
+    found = spark.createDataFrame([(i, 299) for i in range(300)], "rep long, found long")  # the large group whole, no pair
+    assert neardup.audit_recall(reps, found, 16, 0.93) == pytest.approx(0.6, abs=0.01)
+
+
+def test_links_missed_by_all_tries_are_found(spark, monkeypatch):
+    links = neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda reps, dim, reach, overlap, beam: links(reps, dim, reach, 1, beam, shard_rows=20))  # many pivots, small groups
+    monkeypatch.setattr(neardup, "BLOCK_VALUES", 32 * 300, raising=False)
+    vectors = pairs_of(np.random.default_rng(12), 500, 32, 0.3)
+    v = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    want = ((v @ v.T) >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, [float(x) for x in u], 1) for i, u in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_dedup(df, tries=1).collect()}
+    assert got == {i: (int(want[i]), i - i % 2 if want[i] else i) for i in range(len(v))} and want.sum() > 600
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
