@@ -8,7 +8,7 @@ are compacted into one: (anchor, hash of all its tokens). A join over anchors th
 * paths that stand in several places: all their edges are repeated;
 * anchors that only one place has: none of their edges is repeated;
 * anchors where paths part: only there are the single edges of each distinct path written
-  out, from one of its source coordinates, and joined.
+  out, from one of its source coordinates, and joined by two hashes of 64 bits.
 
 Coordinates of repeated edges go back to the documents, which lose the words they cover.
 Paths that stand in one block of rows many times are counted there, so that frequent lines
@@ -126,7 +126,7 @@ def _spread(paths: DataFrame) -> DataFrame:
 
 
 def _edges(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """(edge, key, a, w): windows of the paths to be written out; w is 2 if the path stands in several places."""
+    """(edge, other, key, a, w): windows of the paths to be written out; w is 2 if the path stands in several places."""
     todo = spans.where("flag >= 2").groupBy("key").agg(F.collect_list(F.struct("a", "n", F.col("flag").bitwiseAND(1).alias("twice"))).alias("s"))
     todo = todo.select(F.col("key").alias("_k"), F.col("s.a").alias("a"), F.col("s.n").alias("n"), F.col("s.twice").alias("twice"))
     rows = docs.select("key", "text").join(todo.hint("shuffle_hash"), F.col("key") == F.col("_k")).select("key", "text", "a", "n", "twice")
@@ -143,20 +143,21 @@ def _edges(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                 doc = np.repeat(np.arange(len(part)), per)
                 rank = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 doc, at, twice = np.repeat(doc, n), np.repeat(a, n) + rank, np.repeat(twice, n)
-                edge = span_hash(h, begin[doc] + at, begin[doc] + at + window) if len(at) else np.zeros(0, np.uint64)
-                out = pa.RecordBatch.from_arrays([pa.array(edge.view(np.int64)), pa.array(own.column("key").to_numpy()[doc]), pa.array(at.astype(np.int64)), pa.array((twice + 1).astype(np.int64))], names=["edge", "key", "a", "w"])
+                # Two hashes, the second of other hashes of the words: one of 64 bits meets by chance among billions of windows.
+                edge, other = (span_hash(x, begin[doc] + at, begin[doc] + at + window) if len(at) else np.zeros(0, np.uint64) for x in (h, mix(h + _U(0x51ED270B))))
+                out = pa.RecordBatch.from_arrays([pa.array(edge.view(np.int64)), pa.array(other.view(np.int64)), pa.array(own.column("key").to_numpy()[doc]), pa.array(at.astype(np.int64)), pa.array((twice + 1).astype(np.int64))], names=["edge", "other", "key", "a", "w"])
                 for i in range(0, out.num_rows, 20_000):
                     yield out.slice(i, 20_000)
 
-    return rows.mapInArrow(run, "edge long, key long, a long, w long")
+    return rows.mapInArrow(run, "edge long, other long, key long, a long, w long")
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     """(key, a, n): runs of n windows, the first at word a, that are repeated. docs: key, text (not null)."""
     spans = saved(_spread(_paths(docs, window, k)), "spans")
     edges = saved(_edges(docs, spans, window), "edges")
-    again = edges.groupBy("edge").agg(F.sum("w").alias("w")).where("w > 1").select("edge")
-    single = edges.where("w = 1").join(again, "edge").select("key", "a", F.lit(1).alias("n"))
+    again = edges.groupBy("edge", "other").agg(F.sum("w").alias("w")).where("w > 1").select("edge", "other")
+    single = edges.where("w = 1").join(again, ["edge", "other"]).select("key", "a", F.lit(1).alias("n"))
     return spans.where("flag in (1, 3)").select("key", "a", "n").unionByName(single)
 
 

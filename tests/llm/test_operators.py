@@ -360,6 +360,16 @@ def test_repeated_spans(docs, none):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_spans_of_one_hash_are_told_apart(spark, monkeypatch):
+    whole = substring.span_hash
+    monkeypatch.setattr(substring, "span_hash", lambda h, lo, hi: whole(h, lo, hi) & np.uint64((1 << 18) - 1))
+    rng = np.random.default_rng(13)
+    shared = " ".join(f"shared{i}" for i in range(20))
+    rows = [(d, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 30)) + f" {shared} " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 30))) for d in range(300)]
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 300 and {r["n_removed"] for r in out} == {0}
+
+
 def test_long_documents_are_worked_in_parts(spark, monkeypatch):
     rng = np.random.default_rng(3)
     h = rng.integers(0, 1 << 62, 400).astype(np.uint64)
