@@ -165,7 +165,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """doc_id, n_words, n_removed, kept_sha256 and removed (array of [start, end) in words) of every row; with_text adds kept_text."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    cover = repeated_spans(docs, window, k).groupBy("key").agg(F.collect_list(F.struct("a", "n")).alias("s"))
+    # Rows of one key have equal spans; as a set, a key has no more of them than one of its rows has.
+    cover = repeated_spans(docs, window, k).groupBy("key").agg(F.collect_set(F.struct("a", "n")).alias("s"))
     cover = cover.select(F.col("key").alias("_k"), F.col("s.a").alias("a"), F.col("s.n").alias("n"))
     rows = docs.join(cover.hint("shuffle_hash"), F.col("key") == F.col("_k"), "left").select("doc_id", "text", "a", "n")
     kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.list_(pa.int64())))] + [("kept_text", pa.string())] * with_text)

@@ -370,6 +370,13 @@ def test_spans_of_one_hash_are_told_apart(spark, monkeypatch):
     assert len(out) == 300 and {r["n_removed"] for r in out} == {0}
 
 
+def test_spans_of_repeated_rows_are_gathered_once(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, 1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    out = substring.remove_repeats(rows).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(str, map(tuple, out))) == ["(1, 400, 400, 3000)", "(None, 400, 400, 3000)"]
+
+
 def test_long_documents_are_worked_in_parts(spark, monkeypatch):
     rng = np.random.default_rng(3)
     h = rng.integers(0, 1 << 62, 400).astype(np.uint64)
