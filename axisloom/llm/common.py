@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 #: Java and RE2 pattern of runs of separators.
 GAP = r"[\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,18 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def saved(df: DataFrame, name: str = "t", free: bool = True) -> DataFrame:
+def saved(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there and lost executors cost nothing.
 
-    With ``free`` the driver then lets go of the shuffles behind it, whose files would stay until its next collection.
+    The shuffles behind it go with the end of the write, and the folder with ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/axisloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes saved tables that nothing lazy depends on any more."""
+    for df in tables:
+        path = getattr(df, "_saved_at", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def trimmed(text: Column) -> Column:

@@ -1,22 +1,17 @@
 """Connected components of a graph of pairs, by alternating large and small stars.
 
-A graph of at most LOCAL_EDGES edges (16 bytes each) is finished by one task instead, as each
-round of stars costs several shuffles. Hot nodes cost no more than others: least neighbours are partial aggregates, and they are
-joined back by joins whose large partitions Spark can split.
+Every graph takes the same rounds, each written to the shared folder. Hot nodes cost no more than
+others: least neighbours are partial aggregates, and they are joined back by joins whose large
+partitions Spark can split. Pairs that are already (node, component) of an earlier call cost one
+round, so a graph that grows by links is settled again from its last labels.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
-
-LOCAL_EDGES = 500_000
+from .common import discard, saved
 
 
 def _state(e: DataFrame) -> tuple:
@@ -36,37 +31,15 @@ def _small(e: DataFrame) -> DataFrame:
     return others.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node reachable) of a graph in memory."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    least = np.arange(len(nodes))
-    while True:
-        was = least.copy()
-        np.minimum.at(least, a, was[b])
-        np.minimum.at(least, b, was[a])
-        # the component that a node has left follows it
-        np.minimum.at(least, was, least.copy())
-        least = least[least]
-        if (least == was).all():
-            return nodes, nodes[least]
-
-
-def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
-    if held:
-        node, component = labels(*(np.concatenate(x) for x in zip(*held)))
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], names=["node", "component"])
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (u, v), longs. (node, component) of every node in an edge, component being the smallest node reachable."""
     e = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    if small(e, LOCAL_EDGES):
-        return saved(e.coalesce(1).mapInArrow(_one_task, "node long, component long"), "components", False)
     was = _state(e)
     for _ in range(rounds):
-        e = saved(_small(saved(_large(e), "large", False)), "small", False)
+        large = saved(_large(e), "large")
+        discard(e)
+        e = saved(_small(large), "small")
+        discard(large)
         now = _state(e)
         if now == was:
             break
@@ -74,4 +47,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components have not settled")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = saved(nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(e)
+    return out
