@@ -21,15 +21,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the least id stays (null ids last); of repeated rows, one."""
+    """Of each group of near-duplicates the row with the least id stays (null ids last); of rows that repeat its id and
+    text the one whose other columns come first as JSON. Rows without words stay."""
     found = jaccard.jaccard_join(docs)
-    stays = found.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    rows = found.join(stays, "c", "left").where(F.col("first").isNull() | (F.col("key") == F.col("first.key")))
-    keys = rows.groupBy("key").agg(F.max(F.col("c").isNotNull()).alias("_one")).withColumnRenamed("key", "_stays")
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), text)).join(keys, F.col("_key") == F.col("_stays"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return keyed.withColumn("_nth", nth).where("_nth = 1 or not _one").select(*docs.columns)
+    stays = found.where("stays").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
+    stays = common.saved(stays.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), ((F.col("rows") > 1) & (F.col("n") > 0)).alias("_repeats")), "stays")
+    taken = [f"c{i}" for i in range(len(docs.columns))]  # names of ours can't clash with theirs
+    keyed = jaccard.row_keys(docs.toDF(*taken).withColumns({"id": F.col(taken[docs.columns.index("doc_id")]).cast("long"), "t": F.coalesce(taken[docs.columns.index("text")], F.lit(""))}), "id", "t")
+    rows = lambda which: keyed.join(stays.where(which).hint("shuffle_hash"), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    out = rows("not _repeats").select(*taken)
+    if not stays.where("_repeats").isEmpty():
+        one = rows("_repeats").groupBy("k1", "k2").agg(F.min_by(F.struct(*taken), F.to_json(F.struct(*(c for c in taken)))).alias("one"))
+        out = out.unionByName(one.select("one.*"))
+    return out.toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
