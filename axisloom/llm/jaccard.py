@@ -8,13 +8,14 @@ at most one of them, and then two of its second-level parts agree: the signature
 features in each choice of two second-level parts of a first-level part. Sets with too many
 parts that are nearly empty enumerate single features as well, which among themselves has the same guarantee.
 
-Four steps keep this in bounds, none of which loses a link:
+Five steps keep this in bounds, none of which loses a link:
 
 * A set can only have a partner if enough of its least features occur in another set (the
   two share the least of their common features); other sets get no signatures. The counts are
   exchanged between blocks of rows (see ``blocks``), where a feature that is frequent in a
   block is sent once.
 * Equal sets have one representative.
+* Signatures that no other set has go no further; they are told by such an exchange too.
 * Of a signature's group each member is first held against one member only, in a few rounds
   (a quarter of the signatures and two pairs a member do for this step, as it need not be complete).
 * In groups whose members are then of several components, those outside the largest component meet all
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import buckets_for, exchange, runs
+from .blocks import BUCKET_BYTES, MIN_BUCKETS, buckets_for, exchange, runs
 from .common import discard, saved
 from .components import components
 from .words import batch_rows, grams, mix, utf8, words
@@ -222,22 +223,79 @@ def _sets(df: DataFrame, k: int) -> DataFrame:
     return df.select("rep", "text").mapInArrow(run, "sid long, n long, h binary, bits binary")
 
 
-def _signed(sets: DataFrame, num: int, den: int, some: bool = False) -> DataFrame:
-    """(sig, sid) of every set. some: a quarter of the signatures of sets with many."""
+def _shared(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, sid) of every signature that several sets have.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Blocks of sets send their signatures, packed, to the bucket of each. One that several sets of a block have goes to its
+    bucket once, without an owner, and its owners are known to share it; so a bucket gets no more than one entry a block of any signature.
+    """
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(MIN_BUCKETS, -(-total * 16 // BUCKET_BYTES))
+    kinds = pa.schema([("bucket", pa.int64()), ("sig", pa.binary()), ("sid", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
+        held: list[tuple[np.ndarray, int]] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            sig = np.concatenate([x for x, _ in held])
+            sid = np.repeat(np.array([i for _, i in held], np.int64), [len(x) for x, _ in held])
+            order = np.argsort(sig, kind="stable")
+            sig, sid = sig[order], sid[order]
+            cut = runs(sig)
+            many = np.diff(cut) > 1
+            own = np.repeat(many, np.diff(cut))
+            rows = [(-1 - int(sid[0]), sig[own].tobytes(), sid[own].tobytes())] if own.any() else []
+            sig, sid = sig[cut[:-1]], np.where(many, -1, sid[cut[:-1]])
+            bucket = (mix(sig) % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            sig, sid, bucket = sig[order], sid[order], bucket[order]
+            at = runs(bucket)
+            rows += [(int(bucket[lo]), sig[lo:hi].tobytes(), sid[lo:hi].tobytes()) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.types)], schema=kinds)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [np.concatenate(signatures(np.frombuffer(h.as_buffer(), np.uint64), bands)) for h in part.column("h")]
-                if some:
-                    made = [sig[sig % _U(4) == 0] if len(sig) > 64 else sig for sig in made]
-                if made:
-                    sid = np.repeat(part.column("sid").to_numpy(), [len(x) for x in made])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(sid)], names=["sig", "sid"])
+            for sid, h in zip(batch.column("sid").to_pylist(), batch.column("h")):
+                made = np.unique(np.concatenate(signatures(np.frombuffer(h.as_buffer(), np.uint64), bands)))
+                held.append((made, sid))
+                size += 16 * len(made)
+                if size > 24 << 20:
+                    yield block()
+                    held, size = [], 0
+        if size:
+            yield block()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def rows(sig: np.ndarray, sid: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(sig), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[lo : lo + 100_000].view(np.int64)), pa.array(sid[lo : lo + 100_000])], names=["sig", "sid"])
+
+        def bucket() -> Iterator[pa.RecordBatch]:
+            sig, sid = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in ((0, np.uint64), (1, np.int64)))
+            order = np.argsort(sig, kind="stable")
+            sig, sid = sig[order], sid[order]
+            size = np.diff(runs(sig))
+            keep = np.repeat(size > 1, size) & (sid >= 0)
+            return rows(sig[keep], sid[keep])
 
-    return sets.select("sid", "h").mapInArrow(run, "sig long, sid long")
+        for batch in batches:
+            for at, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if at < 0:
+                    yield from rows(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64))
+                    continue
+                if at != now:
+                    if held:
+                        yield from bucket()
+                    now, held = at, []
+                held.append((a, b))
+        if held:
+            yield from bucket()
+
+    packed = sets.select("sid", "h").mapInArrow(pack, "bucket long, sig binary, sid binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, sid long")
 
 
 def _dealt(df: DataFrame) -> DataFrame:
@@ -383,7 +441,7 @@ def _cells(rows: DataFrame, sets: DataFrame, asked: int, num: int, den: int) ->
 
 def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of all sets with a link."""
-    few, comps = _signed(sets, num, den, some=True), None
+    shared, comps = saved(_shared(sets, num, den), "signatures"), None
 
     def join(pairs: DataFrame) -> None:
         nonlocal comps
@@ -394,8 +452,9 @@ def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
         discard(pairs, links, was)
 
     for seed in range(STAR_ROUNDS):
-        join(_stars(_named(few, comps), seed))
-    open_ = saved(_mixed(_named(_signed(sets, num, den), comps)).select("sig", "sid"), "mixed")
+        join(_stars(_named(shared.where(F.pmod("sig", F.lit(4)) == seed), comps), seed))
+    open_ = saved(_mixed(_named(shared, comps)).select("sig", "sid"), "mixed")
+    discard(shared)
     asked = ASKED
     while True:
         out = saved(_cells(_mixed(_named(open_, comps)), sets, asked, num, den), "asked")
