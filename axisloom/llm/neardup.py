@@ -1,29 +1,30 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Equal vectors of a label have one representative. Representatives are dealt into overlapping
-shards, those of their nearest pivots; in each shard a flat graph is built by robust pruning,
+Equal vectors of a label and length have one representative. Representatives are dealt into overlapping
+shards, those of the nearest pivots of their kind (label and length); in each shard a flat graph is built by robust pruning,
 and the adjacency lists that a vector has in its shards are united. Each vector is then
 searched for in the shard of its nearest pivot: a greedy search from the shard's medoid, whose
 beam becomes an expansion over all vectors within range (and a slack) of the query. Every
 match is verified in double precision. A shard answers with a number of links for each query
 and a spanning forest of the matches, never with all pairs. At last the recall of a sample of all
-vectors is audited against brute force, each vector with links counting once; below
+vectors is audited against brute force, each vector with links counting once, and logged; below
 ``min_recall`` overlap and beam are doubled, and after the last try brute force gives the links.
 
 Bounds: pivots are chosen from a sample of at most ``MAX_PIVOTS`` vectors in all, ``PIVOT_SAMPLE`` for each one wanted (broadcast, 64 MB at 128
-dimensions) for the MAX_LABELS most frequent labels, and any other label is a shard; shards of more than ``SHARD_ROWS`` vectors are indexed in blocks, and their
-queries visit each block.
+dimensions). Kinds without one are a shard of their own, so nothing crosses kinds. Shards of more than ``SHARD_ROWS`` vectors are indexed in blocks, and their
+queries visit each block: past about 6.5 million vectors, and within a group of near copies, time grows with the rows of a shard.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those
-without a label, link with nothing; so do vectors of unequal length; repeated rows are vectors
-of their own that link with each other; null ids are not supported as links but keep a row.
+without a label, link with nothing; so do vectors of unequal length; repeated rows, and rows of one id, are vectors
+of their own that link with each other by their vectors alone; rows without an id link too, and a component is named by its least
+id that isn't null, if any (without one, all its rows are kept); other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 import warnings
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import saved, shared_dir
 from .components import components
 
-MAX_PIVOTS, PIVOT_SAMPLE, MAX_LABELS, SHARD_ROWS, DEGREE, POOL, ALPHA = 65_536, 5, 1000, 4096, 24, 64, 1.2
+MAX_PIVOTS, PIVOT_SAMPLE, SHARD_ROWS, DEGREE, POOL, ALPHA = 65_536, 5, 4096, 24, 64, 1.2
+_log = logging.getLogger(__name__)
 #: Vectors of an audit's sample at first and at most, those with links that are enough, and components of a block that goes over all vectors.
 AUDIT, AUDIT_MOST, AUDIT_LINKED, BLOCK_VALUES = 1024, 65_536, 400, 1 << 20
 
@@ -199,76 +201,80 @@ def forest(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
     return np.array([find(i) for i in range(n)], np.int64)
 
 
-def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of vectors of one length."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def _links(reps: DataFrame, dim: int, reach: float, overlap: int, beam: int, shard_rows: int = 500) -> tuple[DataFrame, DataFrame]:
+def _kinds(column: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    """(kind, its rows) of a column of kinds."""
+    made = column.dictionary_encode()
+    code = made.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    for name, own in zip(made.dictionary.to_pylist(), np.split(order, np.cumsum(np.bincount(code, minlength=len(made.dictionary)))[:-1])):
+        yield name, own
+
+
+def _links(reps: DataFrame, reach: float, overlap: int, beam: int, shard_rows: int = 500) -> tuple[DataFrame, DataFrame]:
     """reps: rep, label, vec, copies. (rep, found): links of each representative that has some, copies counted; (u, v): a forest of the links."""
-    counts = {r[0]: r[1] for r in reps.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()}
-    want = {k: max(1, round(n / shard_rows)) for k, n in counts.items()}
-    shrink = min(1.0, MAX_PIVOTS / (PIVOT_SAMPLE * sum(want.values()))) if want else 1.0
-    rate = F.create_map(*[F.lit(x) for k, n in want.items() for x in (k, min(1.0, PIVOT_SAMPLE * n * shrink / counts[k]))]) if want else None
-    pivots: dict = {}
-    if want:
-        draw = F.pmod(F.xxhash64("rep", "label"), F.lit(1 << 20)) < F.ceil(F.element_at(rate, F.col("label")) * (1 << 20))
-        for r in reps.where(draw).orderBy(F.xxhash64("rep", "label")).limit(MAX_PIVOTS).select("label", "vec").collect():
-            pivots.setdefault(r[0], []).append(np.array(r[1], np.float32))
-    pivots = {k: pivots_of(unit(np.stack(v)), max(1, round(want[k] * shrink)), reach - 0.1) for k, v in pivots.items()}
-    base, total = {}, 0
-    for k in sorted(pivots, key=str):
-        base[k] = total
-        total += len(pivots[k])
-    shared = reps.sparkSession.sparkContext.broadcast((pivots, base))
+    total = reps.count()
+    shrink = min(1.0, MAX_PIVOTS * shard_rows / (PIVOT_SAMPLE * max(1, total)))
+    # Kinds of a shard or less want no pivots; the others have a sample in proportion to their rows.
+    counts = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
+    rate = PIVOT_SAMPLE * shrink / shard_rows
+    draw = F.pmod(F.xxhash64("rep", "label"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1
+    drawn: dict = {}
+    for r in reps.where(draw).join(counts.hint("shuffle_hash"), "label").orderBy(F.xxhash64("rep", "label"), "rep").limit(MAX_PIVOTS).select("label", "n", "vec").collect():
+        drawn.setdefault((r[0], r[1]), []).append(np.array(r[2], np.float32))
+    pivots = {k: pivots_of(unit(np.stack(v)), max(1, round(n / shard_rows * shrink)), reach - 0.1) for (k, n), v in sorted(drawn.items())}
+    shared = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, base = shared.value
+        pivots = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            label, x = np.array(batch.column("label").to_pylist(), object), unit(_vectors(batch.column("vec"), dim)).astype(np.float32)
             shard, row, home = [], [], []
-            for k in set(label.tolist()):
-                own = np.flatnonzero(label == k)
-                p = pivots.get(k)
-                if p is None:  # a label without pivots is a shard by itself
-                    shard.append(np.full(len(own), -1 - zlib.crc32(str(k).encode())))
+            for kind, own in _kinds(batch.column("label")):
+                p = pivots.get(kind)
+                if p is None:
+                    shard.append(np.zeros(len(own), np.int64))
                     row.append(own)
                     home.append(np.ones(len(own), bool))
                     continue
                 n = min(overlap, len(p))
-                near = np.argsort(-(x[own] @ p.T), axis=1, kind="stable")[:, :n]
-                shard.append((base[k] + near).ravel())
+                x = unit(_vectors(batch.column("vec").take(pa.array(own)))).astype(np.float32)
+                near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :n]
+                shard.append(near.ravel())
                 row.append(np.repeat(own, n))
                 home.append(np.tile(np.arange(n) == 0, len(own)))
-            row_ = np.concatenate(row)
-            out = batch.take(pa.array(row_))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard).astype(np.int64)), pa.array(np.concatenate(home)), out.column("rep"), out.column("copies"), out.column("vec")], names=["shard", "home", "rep", "copies", "vec"])
+            out = batch.take(pa.array(np.concatenate(row)))
+            yield pa.RecordBatch.from_arrays([out.column("label"), pa.array(np.concatenate(shard).astype(np.int64)), pa.array(np.concatenate(home)), out.column("rep"), out.column("copies"), out.column("vec")], names=["label", "shard", "home", "rep", "copies", "vec"])
 
-    placed = reps.mapInArrow(deal, "shard long, home boolean, rep long, copies long, vec array<double>")
+    placed = reps.select("label", "rep", "copies", "vec").mapInArrow(deal, "label string, shard long, home boolean, rep long, copies long, vec array<double>")
     # A large shard has several blocks of index vectors.
-    sizes = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("blocks"))
-    placed = saved(placed.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "placed")
+    sizes = placed.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("blocks"))
+    placed = saved(placed.join(sizes, ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "placed")
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
-        adjacency = robust_prune(unit(_vectors(table.column("vec"), dim)).astype(np.float32))
+        adjacency = robust_prune(unit(_vectors(table.column("vec"))).astype(np.float32))
         lists = [rep[a[a >= 0]].tolist() for a in adjacency]
         return pa.table({"rep": pa.array(rep), "near": pa.array(lists, pa.list_(pa.int64()))})
 
-    edges = placed.groupBy("shard", "block").applyInArrow(build, "rep long, near array<bigint>")
+    edges = placed.groupBy("label", "shard", "block").applyInArrow(build, "rep long, near array<bigint>")
     united = saved(edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
     index = placed.join(united, "rep").withColumn("index", F.lit(True))
     visits = placed.where("home and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").withColumn("block", F.col("to")).drop("to")
     visits = visits.withColumns({"near": F.array().cast("array<bigint>"), "index": F.lit(False)})
-    both = index.unionByName(visits).select("shard", "block", "home", "index", "rep", "copies", "vec", "near")
+    both = index.unionByName(visits).select("label", "shard", "block", "home", "index", "rep", "copies", "vec", "near")
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending"), ("index", "descending")])
         rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
         home, index = (table.column(c).to_numpy().astype(bool) for c in ("home", "index"))
-        exact = _vectors(table.column("vec"), dim)
+        exact = _vectors(table.column("vec"))
         norm = np.sqrt((exact * exact).sum(1))
         x = (exact / norm[:, None]).astype(np.float32)
         own = np.flatnonzero(index)
@@ -294,7 +300,7 @@ def _links(reps: DataFrame, dim: int, reach: float, overlap: int, beam: int, sha
         keep = (found > 0) | (root != np.arange(len(rep)))
         return pa.table({"rep": pa.array(rep[keep]), "found": pa.array(found[keep]), "root": pa.array(rep[root[keep]])})
 
-    answers = saved(both.groupBy("shard", "block").applyInArrow(search, "rep long, found long, root long"), "answers")
+    answers = saved(both.groupBy("label", "shard", "block").applyInArrow(search, "rep long, found long, root long"), "answers")
     return _united(answers)
 
 
@@ -302,30 +308,34 @@ def _united(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return answers.groupBy("rep").agg(F.sum("found").alias("found")).where("found > 0"), answers.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
 
 
-def _brute(reps: DataFrame, queries: pa.Table, dim: int, reach: float) -> tuple[DataFrame, Broadcast]:
+def _brute(reps: DataFrame, queries: pa.Table, reach: float) -> tuple[DataFrame, Broadcast]:
     """(rep, found, root) as a shard answers, by brute force of the queries over all vectors; and the broadcast queries."""
-    exact = _vectors(queries.column("vec"), dim)
-    shared = reps.sparkSession.sparkContext.broadcast((queries.column("rep").to_numpy(), np.array(queries.column("label").to_pylist(), object), exact, np.sqrt((exact * exact).sum(1))))
+    asked = {}
+    if queries.num_rows:
+        label = queries.column("label").combine_chunks()
+        for kind, own in _kinds(label):
+            exact = _vectors(queries.column("vec").take(pa.array(own)))
+            asked[kind] = (own, exact, np.sqrt((exact * exact).sum(1)))
+    shared = reps.sparkSession.sparkContext.broadcast((queries.column("rep").to_numpy(), asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, q, q_norm = shared.value
-        order = np.argsort(labels, kind="stable")
-        kinds, cut = np.unique(labels[order], return_index=True)
-        asked = dict(zip(kinds.tolist(), np.split(order, cut[1:])))
+        ids, asked = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rep, copies, label = batch.column("rep").to_numpy(), batch.column("copies").to_numpy(), np.array(batch.column("label").to_pylist(), object)
-            x = _vectors(batch.column("vec"), dim)
-            norm = np.sqrt((x * x).sum(1))
+            rep, copies = batch.column("rep").to_numpy(), batch.column("copies").to_numpy()
             found = np.zeros(len(ids) + len(rep), np.int64)
 
             def pairs() -> Iterator[tuple[int, np.ndarray]]:
-                for k in set(label.tolist()) & asked.keys():
-                    own = np.flatnonzero(label == k)
-                    for lo in range(0, len(asked[k]), 256):
-                        at = asked[k][lo : lo + 256]
-                        ok = ((q[at] @ x[own].T) / (q_norm[at][:, None] * norm[own]) >= reach) & (ids[at][:, None] != rep[own])
+                for kind, own in _kinds(batch.column("label")):
+                    if kind not in asked:
+                        continue
+                    of, q, q_norm = asked[kind]
+                    x = _vectors(batch.column("vec").take(pa.array(own)))
+                    norm = np.sqrt((x * x).sum(1))
+                    for lo in range(0, len(of), 256):
+                        at = of[lo : lo + 256]
+                        ok = ((q[lo : lo + 256] @ x.T) / (q_norm[lo : lo + 256][:, None] * norm) >= reach) & (ids[at][:, None] != rep[own])
                         for i in np.flatnonzero(ok.any(1)):
                             others = own[ok[i]]
                             found[at[i]] += copies[others].sum()
@@ -345,27 +355,32 @@ def _drawn(reps: DataFrame, lo: float, hi: float) -> pa.Table:
     return reps.where((at >= int(lo * top)) & (at < int(min(1.0, hi) * top))).select("rep", "label", "vec").toArrow()
 
 
-def _exact(reps: DataFrame, dim: int, reach: float) -> tuple[DataFrame, DataFrame]:
+def _block(reps: DataFrame) -> int:
+    """Vectors of a block that goes over all vectors."""
+    return max(1, BLOCK_VALUES // max(1, reps.agg(F.max(F.size("vec"))).first()[0] or 1))
+
+
+def _exact(reps: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
     """As _links, without misses: each block of vectors goes over all vectors."""
     spark = reps.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/axisloom-exact-{uuid.uuid4().hex}"
-    passes = -(-reps.count() // max(1, BLOCK_VALUES // dim))
+    passes = -(-reps.count() // _block(reps))
     for p in range(passes):
-        answers, shared = _brute(reps, _drawn(reps, p / passes, (p + 1) / passes), dim, reach)
+        answers, shared = _brute(reps, _drawn(reps, p / passes, (p + 1) / passes), reach)
         answers.write.mode("append").parquet(path)
         shared.destroy()
     return _united(spark.read.schema(answers.schema).parquet(path))
 
 
-def audit_recall(reps: DataFrame, found: DataFrame, dim: int, reach: float) -> float:
+def audit_recall(reps: DataFrame, found: DataFrame, reach: float) -> float:
     """Mean share of its links that ``found`` has, over the vectors of a sample of all vectors that have any by brute force.
 
     The sample grows until AUDIT_LINKED vectors with links are in it, to all vectors or AUDIT_MOST.
     """
-    every, at, step, shares = reps.count(), 0, AUDIT, []
+    every, at, step, shares, most = reps.count(), 0, AUDIT, [], _block(reps)
     while at < min(every, AUDIT_MOST) and len(shares) < AUDIT_LINKED:
-        step = min(step, max(1, BLOCK_VALUES // dim))
-        truth, shared = _brute(reps, _drawn(reps, at / every, (at + step) / every), dim, reach)
+        step = min(step, most)
+        truth, shared = _brute(reps, _drawn(reps, at / every, (at + step) / every), reach)
         truth = truth.groupBy("rep").agg(F.sum("found").alias("links")).where("links > 0")
         shares += [r[0] for r in truth.join(found, "rep", "left").select(F.least("links", F.coalesce("found", F.lit(0))) / F.col("links")).collect()]
         shared.destroy()
@@ -379,33 +394,31 @@ def near_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     """vec_id, n_links, component_id, kept of every row."""
     df = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    usable = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda v: v != 0)
+    usable = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda v: v != 0)
     df = df.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    rows = saved(df.select("vec_id", "ok", "label", F.when(F.col("ok"), F.col("vec")).alias("vec"), F.size("vec").alias("dim")), "vectors")
-    kinds = [r[0] for r in rows.where("ok").select("dim").distinct().limit(100).collect()]
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not kinds:
-        return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    copies = saved(rows.where("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim")), "copies")
-    found_all, edges_all = [], []
-    for dim in kinds:
-        reps = copies.where(F.col("dim") == dim).select("rep", "label", "vec", "copies")
-        overlap, beam = 4, 24
-        for _ in range(tries):
-            found, edges = _links(reps, dim, reach, overlap, beam)
-            if audit_recall(reps, found, dim, reach) >= min_recall:
-                break
-            overlap, beam = 2 * overlap, 2 * beam
-        else:
-            found, edges = _exact(reps, dim, reach)
-        found_all.append(found)
-        edges_all.append(edges)
-    found, edges = found_all[0], edges_all[0]
-    for f, e in zip(found_all[1:], edges_all[1:]):
-        found, edges = found.unionByName(f), edges.unionByName(e)
+    # Vectors of one label and length are of a kind; -0.0 and 0.0 are one value.
+    rows = df.select("vec_id", "ok", F.when(F.col("ok"), F.concat(F.size("vec").cast("string"), F.lit(" "), "label")).alias("label"), F.when(F.col("ok"), F.transform("vec", lambda v: v + F.lit(0.0))).alias("vec"))
+    rows = saved(rows, "vectors")
+    lone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    copies = rows.where("ok").groupBy("label", "vec").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    copies = saved(copies.withColumn("rep", F.monotonically_increasing_id()), "copies")
+    reps = copies.select("rep", "label", "vec", "copies")
+    overlap, beam = 4, 24
+    for _ in range(tries):
+        found, edges = _links(reps, reach, overlap, beam)
+        recall = audit_recall(reps, found, reach)
+        _log.info("recall of links %.4f with overlap %d and beam %d", recall, overlap, beam)
+        if recall >= min_recall:
+            break
+        overlap, beam = 2 * overlap, 2 * beam
+    else:
+        _log.warning("recall of links below %.4f after %d tries: brute force", min_recall, tries)
+        found, edges = _exact(reps, reach)
     comps = components(edges)
-    member = rows.where("ok").join(copies.select("label", "vec", "rep", "copies"), ["label", "vec"]).select("vec_id", "rep", "copies")
-    linked = member.join(found, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = linked.select("vec_id", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = linked.unionByName(rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    nodes = copies.drop("vec").join(found, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    nodes = saved(nodes.select("rep", "least", "c", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "nodes")
+    least = saved(nodes.groupBy("c").agg(F.min("least").alias("component_id")), "least")
+    named = copies.select("rep", "label", "vec").join(nodes.join(least, "c").select("rep", "n_links", "component_id"), "rep")
+    linked = rows.where("ok").select("vec_id", "label", "vec").join(named, ["label", "vec"]).select("vec_id", "n_links", "component_id")
+    out = linked.unionByName(lone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
