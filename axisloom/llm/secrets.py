@@ -1,9 +1,10 @@
 """Secret scan: fixed rules, and a character convolutional network over every candidate.
 
-Candidates are the findings of the rules and all other long tokens that mix letters and
-digits. The network reads the candidate with the characters around it; its output is
+Candidates are the findings of the rules, all tokens of 8 and more characters that aren't plain words (they hold a digit, a
+capital inside, a joining sign or an inner dot), quoted values, and what follows a word like key, pass or auth.
+The network reads the candidate with the characters around it; its output is
 calibrated on labelled findings it has not seen, and the threshold is the highest that still
-finds ``RECALL`` of the labelled secrets among them. Findings of the rules always stay; tokens
+finds ``RECALL`` of the labelled secrets among them. Findings of the rules always stay; candidates
 that the network accepts and that don't touch one of those are added as kind ``neural``.
 
 The labelled findings are made from rules by a seeded generator (``labelled_findings``), as
@@ -11,7 +12,8 @@ the tables hold none; so the model is the same in every run and needs no pass ov
 
 Defined results: null texts count as empty; positions are code points, ends exclusive; rows are
 independent, so ties, repeated rows and null ids don't matter; texts are scanned whole, and
-candidates of any length are read whole, in windows.
+candidates of any length are read whole, in windows; of candidates that overlap the first, of those that start together the
+longest counts; columns named as the results are replaced, others pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A match of [0-9a-f]+ is a maximal run, so its matches of 24 and more are those of {24,}.
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Further candidates: tokens that aren't plain words, quoted values, and what follows a word that announces a credential.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z][a-z]*(?:[A-Z0-9+/_=-]|\.[A-Za-z0-9])|[0-9+/_=-])[A-Za-z0-9+/_=.-]{7,}[A-Za-z0-9+/_=-]")
+QUOTED = re.compile(r"[\"']([^\s\"']{8,64})[\"']")
+ANNOUNCED = re.compile(r"(?:key|pass|pwd|auth|bearer|cred|secret|token|login|private)\w{0,16}[\"']?\s{0,2}[:=]?\s{0,2}[\"']?([^\s\"']{6,64})", re.I | re.A)
 KINDS = ("assign", "access", "hex", "neural")
 RECALL = 0.98
 BEFORE, BODY, AFTER, WIDTH, FILTERS = 24, 64, 12, 4, 24
@@ -80,47 +85,78 @@ def logits(x: np.ndarray, net: Net) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): made secrets in made contexts, and long tokens that are none."""
+def labelled_findings(n: int = 6000, seed: int = 11) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): made secrets in made contexts, and candidates of other kinds that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     draw = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
-    vowels, others = "aeiou", "bcdfghjklmnprstvwz"
-    word = lambda: "".join(pick(others) + pick(vowels) for _ in range(int(rng.integers(1, 5))))
-    prose = lambda: " ".join(word() for _ in range(int(rng.integers(2, 7))))
+    digits = lambda k: draw(string.digits, k)
+    between = lambda lo, hi: int(rng.integers(lo, hi))
+    vowels, others = "aeiou" + "éàüö", "bcdfghjklmnprstvwzß"
+    plain_vowels, plain_others = vowels[:5], others[:18]
+    word = lambda most=5: "".join(pick(plain_others) + pick(plain_vowels) + pick(["", "", pick(plain_others)]) for _ in range(between(1, most)))
+    # Frequent letter groups of a few languages.
+    chunks = "th he in er an re on at nd st es en of te ed or ti hi as to le is ou ar ng ly ion tion ent ing ght sch ung que eur ait ell che ich der mente ción ado aux oi str rst nth lys".split()
+    spelt = lambda: "".join(pick(chunks) for _ in range(between(2, 6))) if rng.random() < 0.6 else "".join(pick(others) + pick(vowels) for _ in range(between(1, 5)))
+    prose = lambda: pick([str, str, str.upper, str.capitalize])(" ".join(pick([word, spelt])() for _ in range(between(2, 7))))
     full, url, hexes, caps = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_", "0123456789abcdef", string.ascii_uppercase + string.digits
     # Introductions and prefixes in common use.
     intros = ["Authorization: Bearer ", "export KEY=", "key: ", "client_secret ", "auth_token=", "access key ", "credentials ", "private_key: ", "pw ", "apikey ", "x-api-key: ", "SECRET_KEY = '", "token \"", "pass=", "bearer "]
+    logins = ["password is ", "pwd: ", "pass: ", "login / ", "passphrase = \"", "pass '", "PASSWORD ", "db_pass="]
     prefixes = ["", "", "", "sk_live_", "ghp_", "xoxb-", "pk_test_", "glpat-", "key-", "AKIA"]
-    plain = ["see ", "file ", "version ", "at ", "order no ", "build ", "page ", "image ", "part ", "by ", "in ", "/", "chapter "]
+    plain = ["see ", "file ", "version ", "at ", "order no ", "build ", "page ", "image ", "part ", "by ", "in ", "/", "chapter ", "", "", ""]
+    topics = ["the key ", "a token ", "private ", "a secret ", "passed ", "passing ", "authors ", "authority ", "credit ", "login ", "keyboard ", "tokens: ", "keywords: ", "passengers ", "key "]
+    pad = lambda t, k=8: t + "".join(word() for _ in range(9))[: max(0, k - len(t))]
+    none = [
+        lambda: "-".join([word(), word(), digits(2), word(), digits(4)]),
+        lambda: "".join(word().capitalize() for _ in range(between(2, 5))) + pick(["", digits(2)]),
+        lambda: f"IMG_20{digits(2)}{digits(4)}_{digits(6)}",
+        lambda: "/".join([word(), word(), *(word() for _ in range(between(0, 4))), pick(["index.html", digits(4), word(), f"{word()}.{word(2)}"])]),
+        lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}" + pick(["", f"T{digits(2)}-{digits(2)}-{digits(2)}Z"]),
+        lambda: f"{word()}_{word()}_v{digits(1)}_{digits(2)}_{word()}",
+        lambda: f"ISBN-{digits(3)}-{digits(1)}-{digits(4)}-{digits(4)}",
+        lambda: pad(word() + word() + digits(between(1, 3))),
+        lambda: ".".join(str(between(1, 256)) for _ in range(4)),
+        lambda: pick([f"{digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(2)}-{digits(3)}-{digits(6)}"]),
+        lambda: digits(between(8, 21)),
+        lambda: pick([word, spelt])().upper() + pick([word, spelt])().upper() + pick(["", "", digits(2)]),
+        lambda: pad(spelt().upper() + spelt().upper()),
+        lambda: f"{pick(['mail', 'www', word()])}{pick(['', digits(1)])}.{word()}.{pick(['com', 'org', 'net', 'de', 'fr'])}",
+        lambda: pick([word().capitalize(), word().upper()]) + "-" + pick([word(), word().upper()]),
+        lambda: f"{between(1, 30)}.{digits(2)}.{between(1990, 2030)}",
+        lambda: f"{word()}.{pick(['pdf', 'jpg', 'txt', 'py', 'html'])}",
+        lambda: f"{digits(between(1, 4))}.{digits(3)}.{digits(3)}",
+        lambda: "".join(pick([str.upper, str.lower])(c) for c in word(3) + word(3) + word(3)) if rng.random() < 0.2 else word().capitalize() + word().capitalize(),
+    ]
     out = []
     for i in range(n):
         label = i % 2
         if label:
-            body = pick(prefixes) + draw(pick([full, url, hexes, caps, full + "+/"]), int(rng.integers(16, 56))) + pick(["", "", "", "=", "=="])
-            head = pick(intros) if rng.random() < 0.8 else ""
+            kind = rng.random()
+            if kind < 0.75:
+                body = pick(prefixes) + draw(pick([full, url, hexes, caps, full + "+/"]), between(16, 56)) + pick(["", "", "", "=", "=="])
+                head = pick(intros) if rng.random() < 0.8 else ""
+            elif kind < 0.85:
+                body = "eyJ" + draw(url, between(12, 30)) + "." + draw(url, between(16, 40)) + "." + draw(url, between(16, 40))
+                head = pick(intros) if rng.random() < 0.8 else ""
+            else:
+                body = pick([lambda: word().capitalize() + digits(between(2, 5)) + pick(["!", "#", "$", "_", "%"]) + draw(full, 3), lambda: draw(full + "!#$%&*", between(8, 16)), lambda: word() + pick(["_", "-", ".", "!"]) + digits(4)])()
+                head = pick(logins)
         else:
-            kind = int(rng.integers(8))
-            digits = lambda k: draw(string.digits, k)
-            body = [
-                lambda: "-".join([word(), word(), digits(2), word(), digits(4)]),
-                lambda: "".join(word().capitalize() for _ in range(4)) + digits(2),
-                lambda: f"IMG_20{digits(2)}{digits(4)}_{digits(6)}",
-                lambda: f"{word()}/{word()}/{word()}/20{digits(2)}/{digits(2)}/{word()}",
-                lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}T{digits(2)}-{digits(2)}-{digits(2)}Z",
-                lambda: f"{word()}_{word()}_v{digits(1)}_{digits(2)}_{word()}",
-                lambda: f"ISBN-{digits(3)}-{digits(1)}-{digits(4)}-{digits(4)}",
-                lambda: word() + word() + word() + word() + digits(1),
-            ][kind]()
-            body = body if len(body) >= 16 else body + "-" + digits(16 - len(body))
-            head = pick(plain) if rng.random() < 0.8 else ""
-        left = prose() + pick([" ", "\n", ", "]) + head
-        out.append((left + body + pick([" ", "\n", "' ", ", ", "\" "]) + prose(), len(left), len(left) + len(body), label))
+            topic = rng.random()
+            body = pick(none)() if topic > 0.25 else pick([word(4) + word(4) + word(3), spelt() + spelt() + spelt()])
+            body = pad(body, 6 if topic <= 0.25 else 8)
+            head = pick(topics) if topic <= 0.25 else pick([*plain, f"{word()}.{digits(2)}@", "(" + digits(3) + ") ", "\"", "'"])
+        left = prose() + pick([" ", "\n", ", ", ". ", "!! "]) + head
+        if rng.random() < 0.1:
+            left = left.upper()
+            body = body.upper() if not label else body
+        out.append((left + body + pick([" ", "\n", "' ", ", ", "\" ", ".\n", "!! "]) + prose(), len(left), len(left) + len(body), label))
     return out
 
 
 @functools.lru_cache(maxsize=1)
-def trained(n: int = 3000, epochs: int = 8, seed: int = 5) -> Net:
+def trained(n: int = 6000, epochs: int = 8, seed: int = 5) -> Net:
     """The network, fitted by Adagrad on three fifths of the findings, calibrated on one and with its threshold from the last."""
     found = labelled_findings(n)
     x = np.stack([windows(t, s, e)[0] for t, s, e, _ in found])
@@ -179,12 +215,19 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
 
 
 def tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of further candidates: long tokens with a letter and a digit that touch no finding of the rules."""
-    out = []
-    for m in TOKEN.finditer(text):
-        t = m[0]
-        if not t.isalpha() and any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and not any(s < m.end() and m.start() < e for s, _, e in base):
-            out.append((m.start(), m.end()))
+    """(start, end) of the candidates that touch no finding of the rules, in order and apart from each other."""
+    made = {m.span() for m in TOKEN.finditer(text)}
+    if '"' in text or "'" in text:
+        made.update(m.span(1) for m in QUOTED.finditer(text))
+    made.update(m.span(1) for m in ANNOUNCED.finditer(text))
+    out, at, i = [], 0, 0
+    base = sorted((s, e) for s, _, e in base)
+    for s, e in sorted(made, key=lambda x: (x[0], -x[1])):
+        while i < len(base) and base[i][1] <= s:
+            i += 1
+        if s >= at and not any(b < e and s < c for b, c in base[i : i + 3]):
+            out.append((s, e))
+            at = e
     return out
 
 
