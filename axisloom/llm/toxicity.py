@@ -6,9 +6,9 @@ passage of ``span`` words are averaged and go through a softmax; passages overla
 a document's score is that of its most toxic passage, calibrated on labelled documents that
 the vectors have not seen. Since the softmax is linear, scoring needs one number per bucket.
 
-Training sees a bounded sample of labelled documents (``FIT_TOXIC`` and ``FIT_CLEAN`` rows, by
-the hash of their ids). Labels belong to documents, not passages: first passages are picked by
-log odds of the buckets, then training and picking by the model itself take turns.
+Training sees a bounded sample of labelled documents (``FIT_TOXIC`` and ``FIT_CLEAN`` ids, by
+their hash, with one text each, of at most ``FIT_CHARS`` characters). Labels belong to documents, not passages: the
+passages of a document to train on are picked by log odds of the buckets; ``rounds`` over 1 repeats picking, by the model, and training.
 
 Defined results: null and empty texts, and texts without letters or digits, score the share of
 toxic documents in the sample, at most 0.49; without any labels the same with share 0. Ids may
@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Bounds of the training sample: rows of either label, and characters of a row.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2000, 4000, 200_000
+#: Bounds of the training sample, and so of what the driver holds: ids of either label, and characters of a text.
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2000, 4000, 50_000
 BITS, SIZES = 20, (3, 4, 5, 6)
 _KEEP = np.zeros(128, bool)
 _KEEP[[*range(48, 58), *range(97, 123)]] = True
@@ -270,10 +270,10 @@ def sample(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id)) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_y"))
     order = [F.xxhash64("_id"), F.col("_id")]
     some = known.where("_y = 1").orderBy(*order).limit(FIT_TOXIC).unionByName(known.where("_y = 0").orderBy(*order).limit(FIT_CLEAN))
-    rows = df.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where(F.length("_t") <= FIT_CHARS).join(F.broadcast(some), F.col("_d") == F.col("_id")).select("_id", "_t", "_y").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    kept = rows[: 2 * (FIT_TOXIC + FIT_CLEAN)]
-    return [r[1] for r in kept], [int(r[2]) for r in kept]
+    rows = df.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where(F.length("_t") <= FIT_CHARS).join(F.broadcast(some), F.col("_d") == F.col("_id"))
+    rows = rows.groupBy("_id", "_y").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t")).alias("_t")).collect()
+    rows.sort(key=lambda r: r["_id"])
+    return [r["_t"] for r in rows], [int(r["_y"]) for r in rows]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
