@@ -7,7 +7,9 @@ Rows are independent; nothing is shuffled.
 
 Defined results: identifiers follow from the source record's identifier, so reruns agree and
 repeated rows give repeated records; a null block counts as an empty one (status 0, no title,
-empty text); a null URI or date stays null and its header is left out; blocks are whole.
+empty text); a null URI or date stays null and its header is left out; blocks are whole, and any page takes time linear
+in its length; a payload that is larger than ``MAX_PAYLOAD`` decoded stays as it is, like one of a broken coding; other columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,16 +29,19 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
-_MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<title\b[^>]*>.*?(?:</title\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|<[!?][^>]*>",
-    re.S | re.I,
-)
 #: Elements that start a new line of text.
 BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Elements whose content is no text.
+SILENT = frozenset("script style template noscript svg title".split())
+#: Largest payload after its content coding is undone.
+MAX_PAYLOAD = 1 << 28
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9]*)")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NUMBER = re.compile(r"&#(?:0*(\d+)|[xX]0*([0-9a-fA-F]+));?")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
@@ -50,10 +55,101 @@ def derived_id(kind: str, source_id: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind} {source_id}')}>"
 
 
+class Marks:
+    """Where the tags of a page end, in time linear in the page: what has been searched for in vain isn't searched for again."""
+
+    def __init__(self, page: str):
+        self.page, self.low, self.last = page, page.lower() if page.isascii() else "".join(c.lower() if c.isascii() else c for c in page), page.rfind(">")
+        self.open: set[int] = set()  # quotes in tags that never end
+        self.unclosed: set[str] = set()
+        self.searched = (0, -1)  # from where a > or quote was last looked for, and where one was found
+
+    def tag(self, at: int) -> int:
+        """The position behind the tag whose name ends at ``at``, -1 if it has no end. A > in quotes is none."""
+        passed, first = [], at
+        while at <= self.last:
+            where = self.searched[1] if at == first and self.searched[0] <= at <= self.searched[1] else _STOP.search(self.page, at).start()
+            if at == first:
+                self.searched = (at, where)
+            if self.page[where] == ">":
+                return where + 1
+            if where in self.open:
+                break
+            passed.append(where)
+            at = self.page.find(self.page[where], where + 1) + 1
+            if not at:
+                break
+        self.open.update(passed)
+        return -1
+
+    def close(self, name: str, at: int) -> tuple[int, int]:
+        """(start, end) of the next closing tag of an element; both at the end of the page if there is none."""
+        n = len(self.page)
+        while name not in self.unclosed:
+            at = self.low.find("</" + name, at)
+            if at < 0:
+                self.unclosed.add(name)
+                break
+            stop = at + 2 + len(name)
+            while stop < n and self.page[stop].isspace():
+                stop += 1
+            if stop < n and self.page[stop] == ">":
+                return at, stop + 1
+            at = stop
+        return n, n
+
+
+def unescape(text: str) -> str:
+    """html.unescape, also for character numbers of any length."""
+    return html.unescape(_NUMBER.sub(lambda m: m[0] if len(m[1] or m[2]) < 9 else "\ufffd", text))
+
+
+def read_html(page: str) -> tuple[str, str | None, list[str]]:
+    """(visible text with a line per block element, first title, targets of links); no script, style, comment or title in the text."""
+    marks, text, title, links, at, done = Marks(page), [], None, [], 0, 0
+    n = len(page)
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            text.append(page[done:at])
+            at = done = end + 3 if end >= 0 else n
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) if at < marks.last else -1
+            if end >= 0:
+                text.append(page[done:at])
+                at = done = end + 1
+            else:
+                at += 1
+            continue
+        m = _NAME.match(page, at + 1)
+        name = m[2].lower() if m else ""
+        if name in SILENT and not m[1] and not (page[m.end() : m.end() + 1].isalnum() or page[m.end() : m.end() + 1] == "_"):
+            end = page.find(">", m.end()) if at < marks.last else -1
+            if end >= 0:
+                start, stop = marks.close(name, end + 1)
+                if name == "title" and title is None and stop > start:
+                    title = page[end + 1 : start]
+                text.append(page[done:at])
+                at = done = stop
+                continue
+        end = marks.tag(m.end()) if m else -1
+        if end < 0:
+            at += 1
+            continue
+        text += [page[done:at], "\n" if name in BLOCKS else ""]
+        if name == "a" and not m[1]:
+            for a in _ATTRIBUTE.finditer(page, m.end(), end - 1):
+                if a[1].lower() == "href" and a.lastindex > 1:
+                    links.append(unescape(a[2] or a[3] or a[4] or ""))
+                    break
+        at = done = end
+    text.append(page[done:])
+    return _LINES.sub("\n", _BLANK.sub(" ", unescape("".join(x if x == "\n" else x.replace("\n", " ") for x in text)))).strip(), None if title is None else " ".join(unescape(title).split()), links
+
+
 def html_text(page: str) -> str:
-    """Visible text, one line per block element; no script, style, comment or title."""
-    text = _MARK.sub(lambda m: "\n" if (m[3] or "").lower() in BLOCKS else "", page.replace("\n", " "))
-    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(text))).strip()
+    return read_html(page)[0]
 
 
 def split_http(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:
@@ -81,7 +177,11 @@ def decode_payload(headers: list[tuple[str, str]], payload: bytes) -> tuple[str,
             payload = b"".join(out)
         coding = h.get("content-encoding", "").lower()
         if coding in ("gzip", "x-gzip", "deflate"):
-            payload = zlib.decompress(payload, 47 if coding != "deflate" else 15)
+            coded = zlib.decompressobj(47 if coding != "deflate" else 15)
+            plain = coded.decompress(payload, MAX_PAYLOAD)
+            if not coded.eof:
+                raise ValueError("cut off, or larger than MAX_PAYLOAD")
+            payload = plain
     except (ValueError, zlib.error):
         pass
     found = _CHARSET.search(h.get("content-type", "").encode("latin-1", "replace")) or _CHARSET.search(payload[:2048])
@@ -97,20 +197,19 @@ def derive(record_id: str, uri: str | None, date: str | None, block: bytes | Non
     block = block or b""
     status, headers, payload = split_http(block)
     page, charset = decode_payload(headers, payload)
-    title = _TITLE.search(page)
+    text, title, links = read_html(page)
     source = [("source-block-digest", digest(block)), ("source-payload-digest", digest(payload)), ("http-status", str(status))]
     fields = [*source, *((f"source-header-{k.lower()}", v) for k, v in headers), ("charset", charset)]
-    if title:
-        fields.append(("title", " ".join(html.unescape(title[1]).split())))
-    for m in _HREF.finditer(page):
-        link = html.unescape(m[1] or m[2] or m[3] or "")
+    if title is not None:
+        fields.append(("title", title))
+    for link in links:
         try:
             fields.append(("outlink", " ".join(urljoin(uri or "", link).split())))
         except ValueError:
             fields.append(("outlink", " ".join(link.split())))
     made = [
         ("metadata", "application/warc-fields", "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode("utf-8", "replace")),
-        ("conversion", "text/plain; charset=utf-8", html_text(page).encode("utf-8", "replace")),
+        ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")),
     ]
     out = []
     for kind, content, body in made:
@@ -160,11 +259,15 @@ def record_bytes(headers: str, block: bytes) -> bytes:
 def members(records: DataFrame) -> DataFrame:
     """Adds member: the record as a gzip member. Members put one after another are a .warc.gz file."""
 
-    @F.udf("binary")
-    def pack(headers: str, block: bytes) -> bytes:
-        return gzip.compress(record_bytes(headers, bytes(block)), mtime=0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                made = [gzip.compress(record_bytes(h, b), mtime=0) for h, b in zip(part.column("headers").to_pylist(), part.column("block").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*part.schema.names, "member"])
 
-    return records.withColumn("member", pack("headers", "block"))
+    records = records.drop("member")
+    return records.mapInArrow(run, StructType([*records.schema.fields, StructField("member", BinaryType())]))
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
