@@ -1,4 +1,4 @@
-"""Special functions in numpy: log-gamma, the incomplete beta function in log space, LOWESS."""
+"""Special functions in numpy: the incomplete beta function in log space."""
 
 from __future__ import annotations
 
@@ -6,55 +6,35 @@ import math
 
 import numpy as np
 
-
-def log_beta_inc(a: float, b: float, x: float) -> float:
-    """log of the regularised incomplete beta function I_x(a, b), at least -700. By Lentz's continued fraction."""
-    if x <= 0:
-        return -700.0
-    if x >= 1:
-        return 0.0
-    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1) / (a + b + 2):
-        return max(-700.0, front + math.log(max(_fraction(a, b, x), 1e-300)) - math.log(a))
-    rest = math.exp(front + math.log(max(_fraction(b, a, 1 - x), 1e-300)) - math.log(b))
-    return max(-700.0, math.log(max(1 - rest, 1e-300)))
-
-
-def _fraction(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
+_TINY = 1e-300
+
+
+def log_beta_inc(a, b, x) -> np.ndarray:
+    """log of the regularised incomplete beta function I_x(a, b), at least -700, elementwise. By Lentz's continued fraction."""
+    a, b, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, x))
+    out = np.where(x <= 0, -700.0, 0.0)
+    inside = (x > 0) & (x < 1)
+    a, b, x = a[inside], b[inside], x[inside]
+    gamma = lambda v: np.array([math.lgamma(t) for t in v.tolist()])
+    front = gamma(a + b) - gamma(a) - gamma(b) + a * np.log(x) + b * np.log1p(-x)
+    near = x < (a + 1) / (a + b + 2)
+    part = np.log(np.maximum(_fraction(np.where(near, a, b), np.where(near, b, a), np.where(near, x, 1 - x)), _TINY))
+    low = np.maximum(-700.0, front + part - np.log(a))
+    high = np.maximum(-700.0, np.log(np.maximum(-np.expm1(front + part - np.log(b)), _TINY)))
+    out[inside] = np.where(near, low, high)
+    return out
+
+
+def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    away = lambda v: np.where(np.abs(v) > _TINY, v, _TINY)
+    c = np.ones_like(x)
+    d = 1 / away(1 - (a + b) * x / (a + 1))
+    h = d.copy()
     for m in range(1, 10_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= c * d
-        if abs(c * d - 1) < 1e-14:
+            d = 1 / away(1 + num * d)
+            c = away(1 + num / c)
+            h = h * c * d
+        if not (np.abs(c * d - 1) >= 1e-14).any():
             break
     return h
-
-
-def lowess(x: np.ndarray, y: np.ndarray, span: float = 0.3, anchors: int = 200) -> np.ndarray:
-    """Local linear fit with tricube weights at evenly spaced ranks, linear between them and constant beyond. Fewer than 3 points: their mean."""
-    n = len(x)
-    if n < 3:
-        return np.full(n, y.mean() if n else 0.0)
-    order = np.argsort(x, kind="stable")
-    xs, ys = x[order], y[order]
-    width = max(2, int(span * n))
-    at = np.unique(np.linspace(0, n - 1, min(anchors, n)).astype(int))
-    fit = np.empty(len(at))
-    for k, i in enumerate(at):
-        lo = min(max(0, i - width // 2), n - width)
-        px, py = xs[lo : lo + width], ys[lo : lo + width]
-        gap = np.abs(px - xs[i])
-        far = gap.max()
-        w = (1 - (gap / far) ** 3) ** 3 if far > 0 else np.ones(width)
-        mx, my = (w * px).sum() / w.sum(), (w * py).sum() / w.sum()
-        sxx = (w * (px - mx) ** 2).sum()
-        slope = (w * (px - mx) * (py - my)).sum() / sxx if sxx > 1e-12 else 0.0
-        fit[k] = my + slope * (xs[i] - mx)
-    return np.interp(x, xs[at], fit)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .measure import view
+from .order import numbered
 
 
 def column(m: DataFrame, j: int) -> DataFrame:
@@ -82,13 +83,14 @@ class Crossfilter:
 def first_seen_codes(labels: DataFrame) -> DataFrame:
     """(i, v) -> (i, code): labels numbered in the order of their first position; missing ones -1."""
     first = labels.where("v is not null").groupBy("v").agg(F.min("i").alias("first"))
-    codes = first.select("v", (F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("code"))
+    codes = numbered(first, ["first"], "code", (F.floor(F.col("first") / 4096),)).select("v", F.col("code").cast("int").alias("code"))
     return labels.join(codes, "v", "left").select("i", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
 def factor_levels(labels: DataFrame) -> DataFrame:
     """(pos, label): distinct labels in code-point order."""
-    return labels.where("v is not null").select(F.col("v").cast("string").alias("label")).distinct().select((F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("pos"), "label")
+    levels = labels.where("v is not null").select(F.col("v").cast("string").alias("label")).distinct()
+    return numbered(levels, ["label"], "pos", (F.substring("label", 1, 3),)).select("pos", "label")
 
 
 def stride_sample(rows: DataFrame, stride: int, offset: int = 0, pos: str = "pos") -> DataFrame:

@@ -41,11 +41,12 @@ def unmatched(labels: DataFrame, axis: DataFrame) -> DataFrame:
 
 
 def collection_from(measures: dict[str, DataFrame], rows: dict[str, DataFrame], columns: dict[str, DataFrame], prefix: bool = True) -> dict[str, DataFrame]:
-    """measures: (i, j, v) by sample; rows, columns: (pos, label). Long measure (sample, row, col, v) by labels, row axis and column axis."""
+    """measures: (i, j, v) by sample; rows, columns: (pos, label). Long measure (sample, row, col, v) by labels, row axis and column axis. An entry without a label fails the job that reads it."""
     r, c = union_rows(stacked(rows), prefix), stacked(columns)
     if not repeated_labels(r).isEmpty():
         raise ValueError("row labels repeat across samples; set prefix")
-    m = stacked(measures).join(r.select("sample", F.col("pos").alias("i"), F.col("name").alias("row")), ["sample", "i"]).join(c.select("sample", F.col("pos").alias("j"), F.col("label").alias("col")), ["sample", "j"])
+    m = stacked(measures).join(r.select("sample", F.col("pos").alias("i"), F.col("name").alias("row")), ["sample", "i"], "left").join(c.select("sample", F.col("pos").alias("j"), F.col("label").alias("col")), ["sample", "j"], "left")
+    m = m.withColumns({x: F.when(F.col(x).isNull(), F.raise_error(F.concat_ws(" ", F.lit(f"no label for the {x} of an entry:"), "sample", "i", "j"))).otherwise(F.col(x)) for x in ("row", "col")})
     return {"measure": m.select("sample", "row", "col", "v"), "rows": r, "columns": union_axis(c)}
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import scalar
 from .operators import access, collection, dispersion, markers, measure, order, stats, validate
-from .model import state_columns
+from .model import Dataset, as_categorical, state_columns
+from .plans import navigators
 from .streaming import additive
 
 SQL_M = "m as (select o_custkey as i, l_partkey as j, sum(l_quantity) as v from lineitem join orders on l_orderkey = o_orderkey group by 1, 2 having sum(l_quantity) <> 0)"
@@ -51,6 +52,11 @@ def group_stats_grid(spark, sf):
     return stats.group_stats(_m(spark, sf), _g(spark, sf), columns=_parts(spark, sf), levels=_g(spark, sf).select("g").distinct())
 
 
+def group_stats_depth(spark, sf):
+    m = _m(spark, sf)
+    return _r(stats.group_stats(m, _g(spark, sf), lognorm=True, depth=stats.depth_of(m)), "sum", "sumsq")
+
+
 def _col_stats(**kwargs):
     def run(spark, sf):
         m = _m(spark, sf)
@@ -315,6 +321,56 @@ def overdispersion_inputs(spark, sf):
     return _r(dispersion.eligible(s), "mean", "var")
 
 
+def overdispersion_trend(spark, sf):
+    """The 200 anchors of the trend."""
+    s = stats.col_stats(_m(spark, sf), _n(spark, sf), _parts(spark, sf), lognorm=True, population=True)
+    at, fit = dispersion.trend(dispersion.points(s))
+    return _r(spark.createDataFrame([(a, float(x), float(y)) for a, (x, y) in enumerate(zip(at, fit))], "a long, x double, fit double"), "x", "fit")
+
+
+SQL_TREND = f"""with {SQL_M}, {SQL_N}, s as (select j, count(*)::double as c, avg(ln(1 + v)) as a, var_pop(ln(1 + v)) as p from m group by j),
+f as (select j, ln(a * c / n) as x, ln((p * c + a * a * c * (n - c) / n) / n) as y from s cross join n where c >= 3 and a > 0 and p * c + a * a * c * (n - c) / n > 0),
+r as (select x, y, row_number() over (order by x, j) - 1 as k from f), e as (select count(*) as n, min(x) as lo, max(x) as hi, greatest(2, floor(0.3::double * count(*))::bigint) as w from f),
+q as (select a, lo + (hi - lo) * a / 199.0::double as x0, n, w from e cross join range(200) t(a)),
+b as (select a, x0, n, w, (select count(*) from f where f.x < q.x0) as below from q),
+l as (select a, x0, least(n, greatest(0, below - w // 2) + w) as stop, greatest(0, least(n, greatest(0, below - w // 2) + w) - w) as start from b),
+u as (select a, x0, x - x0 as u, y, greatest(1e-9, max(abs(x - x0)) over (partition by a)) as far from l join r on k >= start and k < stop),
+v as (select a, x0, sum(w) as w, sum(w * u) as u, sum(w * y) as y, sum(w * u * u) as uu, sum(w * u * y) as uy from (select *, pow(1 - pow(abs(u) / far, 3), 3) as w from u) group by a, x0)
+select a, round(x0, 6) as x, round(case when abs(w * uu - u * u) < 1e-12 then y / w else (uu * y - u * uy) / (w * uu - u * u) end, 6) as fit from v"""
+
+
+def _dataset(spark, sf):
+    """Customers by parts, with their segment as a grouping."""
+    ds = Dataset(spark)
+    ds.add_axis("cells", _t(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("label")))
+    ds.add_axis("genes", _t(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("label")))
+    ds.add_field("counts", _m(spark, sf), span=("cells", "genes"))
+    coded, levels = as_categorical(_g(spark, sf).withColumnRenamed("g", "v"))
+    ds.add_field("segment", coded, span=("cells",), categories=levels, role="label")
+    return ds
+
+
+def navigators_built(spark, sf):
+    """(field, i, j, v): the navigators of the dataset, as stored."""
+    ds, out = navigators.extend(_dataset(spark, sf)), None
+    for name in [f"stats_segment_{x}" for x in ("sum", "sumsq", "nexpr")] + [f"markers_segment_{x}" for x in ("lfc", "padj")] + ["counts_cellmajor_order", "counts_cellmajor"]:
+        df = ds.fields[name].df
+        one = df.select(F.lit(name).alias("field"), "i", F.col("j").cast("long").alias("j") if "j" in df.columns else F.lit(None).cast("long").alias("j"), F.round(F.col("v").cast("double"), 5).alias("v"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def validate_rules(spark, sf):
+    """What validation finds in a dataset with faults of each kind of content."""
+    ds = _dataset(spark, sf)
+    ds.add_field("far", _m(spark, sf).withColumn("j", F.col("j") + 10), span=("cells", "genes"), state="raw")
+    ds.add_field("fewer", _g(spark, sf).where("g = 'BUILDING'").select("i", F.lit(0).alias("v")), span=("cells",), role="vector")
+    ds.add_field("three", ds.fields["segment"].df, span=("cells",), categories=("a", "b", "c"), role="label", induce=False)
+    ds.add_field("again", _t(spark, sf, "orders").select(F.col("o_custkey").alias("i"), F.col("o_totalprice").alias("v")), span=("cells",), role="vector", coverage="partial", index_axis="cells")
+    ds.add_field("lost", _g(spark, sf).select("i", F.lit(1.0).alias("v")), span=("nowhere",), role="vector")
+    return validate.issues(ds).select("field", "rule", "severity", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def graph_degree(spark, sf):
     line, orders = _t(spark, sf, "lineitem"), _t(spark, sf, "orders")
     edges = line.join(orders, line.l_orderkey == orders.o_orderkey).groupBy(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.sum("l_quantity").alias("weight"))
@@ -388,6 +444,25 @@ ORACLE = {
     "validate_issues": "with m as (select l_orderkey - 1 as i, l_linenumber as j, l_discount as v from lineitem), o as (select count(*) as n from orders), d as (select i, j from m group by 1, 2 having count(*) > 1) select 'row_out_of_range' as rule, count(*) filter (i < 0 or i >= n) as n from m cross join o union all select 'column_out_of_range', count(*) filter (j < 0 or j >= 5) from m union all select 'explicit_zero', count(*) filter (v = 0) from m union all select 'missing_value', count(*) filter (v is null) from m union all select 'repeated_entry', count(*) from d",
     "scalar_to_rgba": f"{_W}, x as (select c_custkey as i, coalesce(ln(1 + v), 0) as x from customer left join (select * from m where j = 7) on i = c_custkey), t as (select i, least(1.0, greatest(0.0, x / (select case when max(x) > 0 then max(x) else 1 end from x))) as t from x) select i, floor(255 * t + 0.5)::int as r, floor(64 + 120 * t + 0.5)::int as g, floor(255 * (1 - t) + 0.5)::int as b from t",
     "overdispersion_inputs": f"with t as ({_col_sql('ln(1 + v)', 'n')}) select * from t where nnz >= 3 and mean > 0 and var > 0",
+    "overdispersion_trend": SQL_TREND,
+    "group_stats_depth": f"{_W}, {SQL_G}, d as (select i, sum(v) as d from m group by i), x as (select g, j, ln(1 + v * 10000.0::double / d) as x from m join d using (i) join g using (i)) select g, j, round(sum(x), 6) as sum, round(sum(x * x), 6) as sumsq, count(*) as n_expr from x group by 1, 2",
+    "navigators_built": f"""{_W}, {SQL_G}, {SQL_N}, c as (select g, row_number() over (order by g) - 1 as k from (select distinct g from g)), z as (select k, count(*)::double as n_g from g join c using (g) group by k),
+s as (select k, j, sum(ln(1 + v)) as s, sum(ln(1 + v) * ln(1 + v)) as q, count(*) as e from m join g using (i) join c using (g) group by 1, 2),
+f as (select z.k, p_partkey as j, n_g, coalesce(s, 0) as s, coalesce(q, 0) as q, coalesce(e, 0) as e, n from z cross join part cross join n left join s on s.k = z.k and s.j = p_partkey),
+l as (select k, j, e, s / greatest(n_g, 1) - (sum(s) over (partition by j) - s) / greatest(n - n_g, 1) as lfc from f),
+o as (select i, row_number() over (order by k, i) - 1 as p from g join c using (g))
+select 'stats_segment_sum' as field, k as i, j, round(s, 5) as v from f union all select 'stats_segment_sumsq', k, j, round(q, 5) from f union all select 'stats_segment_nexpr', k, j, e::double from f
+union all select 'markers_segment_lfc', j, k, round(lfc, 5) from l union all select 'markers_segment_padj', j, k, round(least(1.0, greatest(1e-12, exp(-abs(lfc * sqrt(e + 1))))), 5) from l
+union all select 'counts_cellmajor_order', i, null, p::double from o union all select 'counts_cellmajor', p, j, round(v, 5) from m join o using (i)""",
+    "validate_rules": f"""{_W}, {SQL_G}, c as (select g, row_number() over (order by g) - 1 as k from (select distinct g from g)), t as (
+select 'far' as field, 'position' as rule, 'ERROR' as severity, count(*) as n from m where j + 10 >= (select count(*) from part)
+union all select 'fewer', 'length', 'ERROR', (select count(*) from customer) - count(*) from g where g = 'BUILDING'
+union all select 'three', 'code', 'ERROR', count(*) from g join c using (g) where k >= 3
+union all select 'again', 'repeated_index', 'WARN', count(*) - count(distinct o_custkey) from orders) select * from t where n > 0 union all select 'lost', 'span_unknown', 'ERROR', 0""",
+    "cell_order_hilbert": """with recursive e as (select vec_id as i, label as g, embedding[1]::double as x, embedding[2]::double as y from embeddings), b as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from e),
+h(i, g, x, y, d, s) as (select i, g, least(1023, greatest(0, floor((x - x0) / case when x1 > x0 then x1 - x0 else 1 end * 1023)))::bigint, least(1023, greatest(0, floor((y - y0) / case when y1 > y0 then y1 - y0 else 1 end * 1023)))::bigint, 0::bigint, 512::bigint from e cross join b
+union all select i, g, case when ry = 1 then x when rx = 1 then 1023 - y else y end, case when ry = 1 then y when rx = 1 then 1023 - x else x end, d + s * s * xor(3 * rx, ry), s // 2 from (select *, ((x & s) > 0)::bigint as rx, ((y & s) > 0)::bigint as ry from h where s > 0))
+select i, row_number() over (order by g nulls last, d, i) - 1 as new_pos from h where s = 0""",
     "graph_degree": "with e as (select o_custkey as src, l_suppkey as dst, sum(l_quantity) as w from lineitem join orders on l_orderkey = o_orderkey group by 1, 2) select src, count(*) as degree, sum(w) as weight from e group by src",
     "passthrough_json": "select event_id, props ->> '$.k' as k from events",
     "additive_stats": "select event_type as g, user_id as j, round(sum(value), 4) as sum, round(sum(value * value), 4) as sumsq, count(*) as n_expr from events where value <> 0 group by 1, 2",
@@ -396,11 +471,11 @@ ORACLE = {
 
 QUERIES = {
     f.__name__: f
-    for f in (group_stats, group_stats_grid, total_sum, row_depth, group_sizes, pseudobulk_mean_frac, markers_1vs_rest, markers_top_n, rank_by_score, de_a_vs_b, hvg_top_k)
+    for f in (group_stats, group_stats_grid, group_stats_depth, total_sum, row_depth, group_sizes, pseudobulk_mean_frac, markers_1vs_rest, markers_top_n, rank_by_score, de_a_vs_b, hvg_top_k)
     + (gene_column, cell_row, gene_range, row_block, gene_gather_with_duplicates, cell_gather, gene_expression_zero_filled, gene_expression_max, crossfilter_cat_range)
     + (partial_coverage_left, partial_coverage_inner, nullable_mask, factor_axis_induce, utf8_first_seen_codes, collection_union_axis, collection_pseudobulk, collection_flatten, collection_sizes)
     + (set_union, set_intersect, set_except, state_inference, stride_sample, window_sample, capped_groups, dense_posexplode, embedding_extent, cell_order_cluster_only, cell_order_hilbert)
-    + (grid_cells, row_reorder, transposed, flat_positions, validate_issues, scalar_to_rgba, overdispersion, overdispersion_inputs, graph_degree, passthrough_json, additive_stats, uniqueness)
+    + (grid_cells, row_reorder, transposed, flat_positions, validate_issues, validate_rules, navigators_built, scalar_to_rgba, overdispersion, overdispersion_inputs, overdispersion_trend, graph_degree, passthrough_json, additive_stats, uniqueness)
 } | {
     "col_stats_raw": _col_stats(),
     "col_stats_lognorm": _col_stats(lognorm=True),

@@ -95,14 +95,50 @@ def test_incomplete_beta():
     assert values == sorted(values, reverse=True)
 
 
-def test_overdispersed_column_stands_out(spark):
-    mean = 0.2 + 0.1 * np.arange(41)
-    var = np.exp(1.2 * np.log(mean) + 0.1)
-    var[20] *= 6
-    s = spark.createDataFrame([(j, float(a), float(b), 60) for j, (a, b) in enumerate(zip(mean, var))], "j long, mean double, var double, nnz long")
+def lowess(x, y, span=0.3, anchors=200):
+    """Local linear fits at anchors evenly spaced in value, one after another."""
+    order = sorted(range(len(x)), key=lambda k: x[k])
+    xs, ys, n = [x[k] for k in order], [y[k] for k in order], len(x)
+    width, at, fit = max(2, int(span * n)), [], []
+    for a in range(anchors):
+        x0 = xs[0] + (xs[-1] - xs[0]) * a / (anchors - 1)
+        stop = min(n, max(0, sum(v < x0 for v in xs) - width // 2) + width)
+        px, py = np.array(xs[max(0, stop - width) : stop]), np.array(ys[max(0, stop - width) : stop])
+        w = (1 - (abs(px - x0) / max(1e-9, abs(px - x0).max())) ** 3) ** 3
+        slope, base = np.polyfit(px - x0, py, 1, w=np.sqrt(w)) if (w * px * px).sum() * w.sum() - (w * px).sum() ** 2 >= 1e-12 else (0.0, (w * py).sum() / w.sum())
+        at.append(x0)
+        fit.append(base)
+    return np.interp(x, at, fit)
+
+
+def test_overdispersion(spark):
+    rng = np.random.default_rng(2)
+    mean = np.exp(rng.normal(-1, 1.5, 300))
+    mean[:20] = mean[20]  # ties
+    var = np.exp(1.2 * np.log(mean) + 0.1 * np.sin(3 * np.log(mean)) + rng.normal(0, 0.3, 300))
+    nnz = rng.integers(1, 80, 300)
+    var[50] *= 30
+    var[60], mean[61] = 0.0, 0.0
+    nnz[50] = 79
+    s = spark.createDataFrame([(j, float(a), float(b), int(k)) for j, (a, b, k) in enumerate(zip(mean, var, nnz))], "j long, mean double, var double, nnz long").repartition(3)
     got = {r["j"]: r["od_score"] for r in dispersion.overdispersion(s).collect()}
-    assert max(got, key=got.get) == 20
-    assert not dispersion.scores(mean[:9], var[:9], np.full(9, 60)).any()
+    ok = np.flatnonzero((nnz >= 3) & (mean > 0) & (var > 0))
+    x, y = np.log(mean[ok]), np.log(var[ok])
+    ratio = np.exp(y - lowess(x, y))
+    want = np.zeros(300)
+    want[ok] = [-float(special.log_beta_inc(k / 2, k / 2, 1 / (1 + f))) for f, k in zip(ratio, nnz[ok])]
+    assert np.allclose([got[j] for j in range(300)], want, rtol=1e-6, atol=1e-8)
+    assert max(got, key=got.get) == 50
+    assert {r["od_score"] for r in dispersion.overdispersion(s.where("j < 9")).collect()} == {0.0}
+
+
+def test_trend_of_written_out_values(spark):
+    """A straight line is its own trend, also where its points crowd at one end."""
+    x = [0.0] * 3 + [0.01 * k for k in range(1, 30)] + [1.0, 2.0, 4.0]
+    found = spark.createDataFrame([(j, v, 2.0 - 0.5 * v) for j, v in enumerate(x)], "j long, x double, y double")
+    at, fit = dispersion.trend(found)
+    assert len(at) == 200 and at[0] == 0.0 and at[-1] == 4.0 and np.allclose(np.diff(at), 4 / 199)
+    assert np.allclose(fit, 2.0 - 0.5 * at, atol=1e-6)
 
 
 def test_hilbert_curve(spark):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from axisloom.model import Dataset, as_categorical
-from axisloom.operators.validate import validate
+from axisloom.operators.validate import RULES, issues, validate
 from axisloom.plans import navigators
 from axisloom.sources import passthrough, store, zarr
 
@@ -62,6 +62,45 @@ def test_validation(spark):
         validate(ds, strict=True)
 
 
+def test_every_rule_of_validation(spark):
+    ds, _ = sample(spark)
+    navigators.extend(ds)
+    ds.add_axis("many", ["x", "y"], role="factor", induced_by="gone")
+    ds.axes["leiden"].df = ds.axes["leiden"].df.where("pos < 2")
+    ds.axes["leiden"].length = 2
+    flat = spark.createDataFrame([(i, 0) for i in range(59)], "i long, v int")
+    two = spark.createDataFrame([(0, 0, 1.0), (99, 0, 1.0)], "i long, j long, v double")
+    ds.add_axis("clash", ["x"])
+    for name, df, span, more in [
+        ("codes", flat, ("cells",), {"categories": (), "role": "label", "induce": False}),
+        ("far", two, ("cells", "genes"), {"state": "odd"}),
+        ("lost", flat, ("nowhere",), {"role": "vector"}),
+        ("part", flat, ("cells",), {"role": "vector", "index_axis": "genes"}),
+        ("lone", flat, ("cells",), {"role": "vector", "encoding": "csr"}),
+        ("edges", flat, ("cells",), {"role": "relation"}),
+        ("shaped", flat, ("cells",), {"role": "vector", "shape": (7,)}),
+        ("novel", flat, ("cells",), {"role": "novelty"}),
+        ("clash", flat, ("cells",), {"categories": ("a", "b"), "role": "label", "induce": False}),
+        ("wide", spark.createDataFrame([(i, [1.0]) for i in range(60)], "i long, vec array<double>"), ("cells", "umap"), {"role": "embedding"}),
+        ("twice", flat.unionByName(flat.limit(1)), ("cells",), {"role": "vector", "coverage": "partial", "index_axis": "cells"}),
+    ]:
+        ds.add_field(name, df, span=span, **more)
+    ds.fields["od_score"].span = ("cells",)
+    ds.fields["counts_cellmajor"].encoding = "coo"
+    ds.fields["counts_cellmajor_order"].span = ("genes",)
+    ds.fields["markers_leiden_lfc"].span = ("leiden", "genes")
+    ds.fields.pop("stats_leiden_sumsq")
+    found = {(r["field"], r["rule"]) for r in issues(ds).collect()}
+    want = {("codes", "code"), ("far", "position"), ("far", "state"), ("lost", "span_unknown"), ("part", "partial_axis"), ("lone", "sparse_arity"), ("edges", "relation_arity"), ("shaped", "shape"), ("novel", "role"), ("clash", "name_clash")}
+    want |= {("wide", "width"), ("twice", "repeated_index"), ("edges", "length"), ("many", "inducer_missing"), ("leiden", "inducer_labels"), ("od_score", "navigator_span"), ("counts_cellmajor", "navigator_encoding")}
+    want |= {("counts_cellmajor_order", "navigator_order"), ("markers_leiden_lfc", "navigator_span"), ("stats_leiden_sumsq", "navigator_missing")}
+    assert want <= found and {rule for _, rule in found} | {"navigator_grouping"} == set(RULES)
+    for name in [n for n in ds.fields if n.startswith("stats_")] + ["od_score", "counts_cellmajor"]:
+        ds.fields.pop(name)
+    found = {(r["field"], r["rule"]) for r in issues(ds).collect()}
+    assert {("viewer@0.1", "navigator_grouping"), ("od_score", "navigator_missing"), ("counts_cellmajor", "navigator_missing")} <= found
+
+
 def test_navigators(spark):
     ds, x = sample(spark)
     navigators.extend(ds)
