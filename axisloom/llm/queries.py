@@ -74,7 +74,27 @@ QUERIES = {
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+_CLOSURE = "reach(r, m) as (select r, r from {} union select p.r, reach.m from pairs p join reach on reach.r = p.s)"
 ORACLE = {
+    "op2_pruned_graph_dedup": f"""with recursive e as (select row_number() over () as r, vec_id, label, embedding::double[] as v from embeddings),
+g as (select r, label, v, list_dot_product(v, v) as q from e where label is not null and len(v) > 0 and list_bool_and(list_transform(v, lambda x: x is not null and isfinite(x))) and list_dot_product(v, v) > 0),
+pairs as materialized (select a.r, b.r as s from g a join g b on a.label = b.label and len(a.v) = len(b.v) and a.r <> b.r where list_dot_product(a.v, b.v) / sqrt(a.q * b.q) >= 0.93),
+{_CLOSURE.format("e")}, c as (select reach.r, min(vec_id) as component_id from reach join e on e.r = m group by reach.r), n as (select r, count(*) as n from pairs group by r)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id is not distinct from component_id as kept from e join c using (r) left join n using (r)""",
     "op3_mix_sources": mixing.ORACLE,
+    "op6_partenum_jaccard": f"""with recursive t as (select row_number() over () as r, doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+g as materialized (select distinct r, array_to_string(list_slice(w, i, i + 4), ' ') as g from (select r, w, unnest(range(1, greatest(2, len(w) - 3))) as i from t where len(w) > 0)),
+n as materialized (select r, count(*) as n from g group by r),
+pairs as materialized (select a.r, b.r as s from g a join g b on a.g = b.g and a.r <> b.r group by a.r, b.r having 100 * count(*) >= 75 * ((select n from n where n.r = a.r) + (select n from n where n.r = b.r) - count(*))),
+{_CLOSURE.format("t")}
+select t.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(o.doc_id) as component_id from t join reach using (r) join t o on o.r = m left join n on n.r = t.r group by t.r, t.doc_id""",
     "op7_line_first_quality": quality.oracle(),
+    "op8_debruijn_repeats": f"""with t as (select row_number() over () as r, doc_id, {_WORDS.format("text")} as w from documents),
+g as (select r, i, array_to_string(list_slice(w, i, i + 34), ' ') as g from (select r, w, unnest(range(1, len(w) - 33)) as i from t where len(w) >= 35)),
+d as (select r, i from (select r, i, count(*) over (partition by g) as c from g) where c > 1),
+c as (select distinct r, i + k as p from d cross join range(35) x(k)),
+x as (select r, unnest(w) as w, unnest(range(1, len(w) + 1)) as p from t where len(w) > 0),
+k as (select r, string_agg(w, ' ' order by p) as s, count(*) as n from x anti join c using (r, p) group by r)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256 from t left join k using (r)""",
 }

@@ -633,7 +633,8 @@ def test_queries_match_sql(spark, name):
     if not os.path.isdir(sf):
         pytest.skip("no tables")
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, sf).toPandas(), c.sql(queries.ORACLE[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
