@@ -16,7 +16,8 @@ and copies send a row per block.
 
 Defined results: null and empty texts, and texts shorter than a window, lose nothing; repeated
 rows are copies of each other, so texts of a window or more lose every word in them; rows
-with the same or no id but other texts are separate (rows are joined by the hash of id and text).
+with the same or no id but other texts are separate (rows are joined by the hash of id and text); other columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import gathered, runs
-from .common import saved
+from .common import discard, saved
 from .words import grams, mix, pieces, power_table, utf8, words
 
 _U = np.uint64
@@ -104,11 +105,16 @@ def _paths(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def _spread(paths: DataFrame) -> DataFrame:
-    """(key, a, n, flag) of repeated and doubtful paths: flag & 1, all windows are repeated; flag & 2, windows must be written out."""
-    one, all_ = Window.partitionBy("anchor", "path"), Window.partitionBy("anchor")
-    rows = paths.repartition("anchor").withColumns({"own": F.sum("c").over(one), "nth": F.row_number().over(one.orderBy("places"))})
-    rows = rows.withColumn("tot", F.sum("c").over(all_)).where("own > 1 or tot > own")
-    rows = rows.select("places", (F.col("own") > 1).alias("twice"), ((F.col("tot") > F.col("own")) & (F.col("nth") == 1)).alias("open"))
+    """(key, a, n, flag) of repeated and doubtful paths: flag & 1, all windows are repeated; flag & 2, windows must be written out.
+
+    paths: a saved table. Counts by path and by anchor are partial aggregates, joined back over keys that may be hot.
+    """
+    paths = paths.withColumn("r", F.xxhash64("places"))
+    own = paths.groupBy("anchor", "path").agg(F.sum("c").alias("own"), F.min("r").alias("first"))
+    tot = own.groupBy("anchor").agg(F.sum("own").alias("tot"))
+    told = own.join(tot.hint("shuffle_hash"), "anchor").where("own > 1 or tot > own").select("anchor", "path", (F.col("own") > 1).alias("twice"), (F.col("tot") > F.col("own")).alias("parts"), "first")
+    # Rows of one hash are equal, so a path that has several is repeated anyway.
+    rows = paths.join(told.hint("shuffle_hash"), ["anchor", "path"]).select("places", "twice", (F.col("parts") & (F.col("r") == F.col("first"))).alias("open"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +160,9 @@ def _edges(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     """(key, a, n): runs of n windows, the first at word a, that are repeated. docs: key, text (not null)."""
-    spans = saved(_spread(_paths(docs, window, k)), "spans")
+    paths = saved(_paths(docs, window, k), "paths")
+    spans = saved(_spread(paths), "spans")
+    discard(paths)
     edges = saved(_edges(docs, spans, window), "edges")
     again = edges.groupBy("edge", "other").agg(F.sum("w").alias("w")).where("w > 1").select("edge", "other")
     single = edges.where("w = 1").join(again, ["edge", "other"]).select("key", "a", F.lit(1).alias("n"))
