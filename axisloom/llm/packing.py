@@ -7,13 +7,13 @@ the capacity whose cost per expected token is least, given the tokens of shorter
 could still fill it. At last each bin takes the smallest permitted capacity that holds it.
 
 Defined results: pieces are spans [start, start + length) of a document; documents of null or
-no length have one row with null bin columns. Rows with the same id are separate documents.
+no length have one row with null bin columns. Rows with the same id are separate documents. Shards
+follow the order in which rows are read, so bins are the same in reruns over the same files, not over
+others with the same rows. Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -530,6 +530,12 @@ def test_long_documents_are_worked_in_parts(spark, monkeypatch):
     for a, n in zip(whole[0], whole[1]):
         covered[a : a + n] += 1
     assert (covered == 1).all()
+    words = [f"w{x}" for x in h]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[130:250])), (3, " ".join(f"u{i}" for i in range(300)))], "doc_id long, text string")
+    want = sorted(map(tuple, substring.remove_repeats(df).select("doc_id", "n_removed", "kept_sha256").collect()))
+    assert [n for _, n, _ in want] == [250, 120, 0]  # words 50 to 149 stand again at 200, and 130 to 249 in the second text
+    monkeypatch.setattr(substring, "PART_WORDS", 60)
+    assert sorted(map(tuple, substring.remove_repeats(df).select("doc_id", "n_removed", "kept_sha256").collect())) == want
 
 
 # 9 ------------------------------------------------------------------------------------------------------------------
@@ -622,6 +628,37 @@ def test_best_fit_fills_bins():
     assert len(packing.best_fit(np.zeros(0, np.int64))[2]) == 0
 
 
+def plain_best_fit(lengths, caps):
+    """Every bin is looked at for every piece."""
+    room, used, of = [], [], []
+    for i, s in enumerate(lengths):
+        fits = [b for b in range(len(room)) if room[b] >= s]
+        if fits:
+            b = min(fits, key=lambda b: room[b])
+        else:
+            def rate(c):
+                rest = sum(x for x in lengths[i + 1 :] if x <= c - s) - sum(room)
+                return packing.bin_cost(c) / (s + min(c - s, max(0, rest)))
+            c = min((c for c in caps if c >= s), key=lambda c: (rate(c), c))
+            b = len(room)
+            room.append(c)
+            used.append(0)
+        room[b] -= s
+        used[b] += s
+        of.append(b)
+    return used, [min(c for c in caps if c >= u) for u in used]
+
+
+def test_best_fit_by_a_plain_version():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        caps = (16, 32, 64, 128)
+        lengths = np.sort(rng.integers(1, 129, int(rng.integers(1, 120))))[::-1]
+        bins, offsets, closed = packing.best_fit(lengths, caps)
+        used, want = plain_best_fit(lengths.tolist(), caps)
+        assert sorted(zip(np.bincount(bins, weights=lengths).astype(int).tolist(), closed.tolist())) == sorted(zip(used, want))
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,10 @@ from axisloom.llm import common, mixing, secrets, toxicity
 from .test_operators import brute_groups, brute_secrets, brute_sets, split
 
 
+#: Names that operators give to columns of their own.
+CLASHES = ["spans", "redacted", "n_neural", "_score", "_words", "_weight", "_copy", "k1", "_k1", "taken", "_size", "extra_5", "c0"]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, docs, tmp_path_factory):
     """Documents with toxic ones among them, an extra column, and labels."""
@@ -16,7 +20,7 @@ def tables(spark, docs, tmp_path_factory):
     bad = [(2000 + i, f"{w} lonar mipos blortface kather {w} supor grumwit nares {i} lopor", "src1", "x", 10) for i, w in enumerate(["blortface", "grumwit"] * 30)]
     fine = [(3000 + i, f"kanar lopor {i} mirithe suris nothing wrong at all here {i * 7}", "src2", "x", 10) for i in range(60)]
     some = [(4000, "password = hunter22 kanar lopor mirithe", "src0", "x", 10)]
-    spark.createDataFrame(bad + fine + some, docs.schema).unionByName(docs).withColumn("spare", F.col("doc_id") % 3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(bad + fine + some, docs.schema).unionByName(docs).withColumn("spare", F.col("doc_id") % 3).withColumns({c: F.lit("mine") for c in CLASHES}).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(2000 + i, 1) for i in range(60)] + [(3000 + i, 0) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
     return str(d)
 
@@ -56,6 +60,7 @@ def test_stages(spark, tables):
     same = [r for r in single.collect() if not secrets.scan([r["text"] or ""], net)[0][1]]
     assert not collections.Counter(map(key, same)) - collections.Counter(map(key, masked.collect()))
 
+    assert {tuple(r) for r in masked.select(*CLASHES).distinct().collect()} == {("mine",) * len(CLASHES)}
     mix = common.saved(stages["mixing"](spark, masked, tables))
     assert mix.columns == columns
     size = collections.Counter()
