@@ -3,16 +3,38 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and is
 written as Parquet and read again before the next. All but the last return the columns of
 documents. Models and plans are made from the rows that reach the stage.
+
+Defined results: null and empty texts pass the first three stages, add no words to the mix and are no
+piece; null ids and sources are kept as they are; rows that repeat an id and text count as near copies of each
+other, so one stays; ties are broken by the other columns; columns beyond those of documents pass through
+under any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axisloom.llm import common, jaccard, mixing, packing, secrets, toxicity
 
 
+#: Columns that the stages know; any other one takes a name of its own meanwhile, so that none of theirs can clash with it.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage: Callable) -> Callable:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        return stage(spark, docs.toDF(*(c if c in KNOWN else f"extra_{i}" for i, c in enumerate(names))), sf_dir).toDF(*names)
+
+    return run
+
+
+@apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; empty ones stay."""
     model = toxicity.fit(*toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -20,22 +42,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("_score < 0.5").select(*docs.columns)
 
 
+@apart
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the least id stays (null ids last); of rows that repeat its id and
     text the one whose other columns come first as JSON. Rows without words stay."""
     found = jaccard.jaccard_join(docs)
     stays = found.where("stays").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
     stays = common.saved(stays.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), ((F.col("rows") > 1) & (F.col("n") > 0)).alias("_repeats")), "stays")
-    taken = [f"c{i}" for i in range(len(docs.columns))]  # names of ours can't clash with theirs
-    keyed = jaccard.row_keys(docs.toDF(*taken).withColumns({"id": F.col(taken[docs.columns.index("doc_id")]).cast("long"), "t": F.coalesce(taken[docs.columns.index("text")], F.lit(""))}), "id", "t")
+    keyed = jaccard.row_keys(docs.withColumns({"_id": F.col("doc_id").cast("long"), "_t": F.coalesce("text", F.lit(""))}), "_id", "_t")
     rows = lambda which: keyed.join(stays.where(which).hint("shuffle_hash"), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
-    out = rows("not _repeats").select(*taken)
+    out = rows("not _repeats").select(*docs.columns)
     if not stays.where("_repeats").isEmpty():
-        one = rows("_repeats").groupBy("k1", "k2").agg(F.min_by(F.struct(*taken), F.to_json(F.struct(*(c for c in taken)))).alias("one"))
+        one = rows("_repeats").groupBy("k1", "k2").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("one"))
         out = out.unionByName(one.select("one.*"))
-    return out.toDF(*docs.columns)
+    return out
 
 
+@apart
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret found in a text gives way to its kind in brackets. Texts without any stay as they are, null ones too."""
     found = secrets.find_secrets(docs)
@@ -44,6 +67,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
 
 
+@apart
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeat or lose documents until they have their target of words; a document cut by the budget keeps its first words."""
     words = docs.withColumn("_w", common.word_array(F.col("text"))).withColumns({"_words": F.size("_w").cast("long"), "_weight": mixing.lexical_weight(F.col("_w"))}).drop("_w")
