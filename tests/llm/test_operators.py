@@ -629,12 +629,12 @@ def test_best_fit_fills_bins():
 
 
 def plain_best_fit(lengths, caps):
-    """Every bin is looked at for every piece."""
-    room, used, of = [], [], []
+    """Every bin is looked at for every piece; of bins with equal room the one filled last is taken."""
+    room, used, filled = [], [], []
     for i, s in enumerate(lengths):
         fits = [b for b in range(len(room)) if room[b] >= s]
         if fits:
-            b = min(fits, key=lambda b: room[b])
+            b = min(fits, key=lambda b: (room[b], -filled[b]))
         else:
             def rate(c):
                 rest = sum(x for x in lengths[i + 1 :] if x <= c - s) - sum(room)
@@ -643,9 +643,10 @@ def plain_best_fit(lengths, caps):
             b = len(room)
             room.append(c)
             used.append(0)
+            filled.append(0)
         room[b] -= s
         used[b] += s
-        of.append(b)
+        filled[b] = i
     return used, [min(c for c in caps if c >= u) for u in used]
 
 
