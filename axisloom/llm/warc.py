@@ -39,6 +39,10 @@ SILENT = frozenset("script style template noscript svg title".split())
 #: Largest payload after its content coding is undone.
 MAX_PAYLOAD = 1 << 28
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9]*)")
+#: A tag without < or > in its quotes, found in one step; other tags take ``Marks.tag``.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>"']*(?:"[^"<>]*"[^<>"']*|'[^'<>]*'[^<>"']*)*)>""")
+_HREF = re.compile(r"""\s+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I | re.A) for name in SILENT}
 _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NUMBER = re.compile(r"&#(?:0*(\d+)|[xX]0*([0-9a-fA-F]+));?")
@@ -59,7 +63,7 @@ class Marks:
     """Where the tags of a page end, in time linear in the page: what has been searched for in vain isn't searched for again."""
 
     def __init__(self, page: str):
-        self.page, self.low, self.last = page, page.lower() if page.isascii() else "".join(c.lower() if c.isascii() else c for c in page), page.rfind(">")
+        self.page, self.last = page, page.rfind(">")
         self.open: set[int] = set()  # quotes in tags that never end
         self.unclosed: set[str] = set()
         self.searched = (0, -1)  # from where a > or quote was last looked for, and where one was found
@@ -84,68 +88,84 @@ class Marks:
 
     def close(self, name: str, at: int) -> tuple[int, int]:
         """(start, end) of the next closing tag of an element; both at the end of the page if there is none."""
-        n = len(self.page)
-        while name not in self.unclosed:
-            at = self.low.find("</" + name, at)
-            if at < 0:
-                self.unclosed.add(name)
-                break
-            stop = at + 2 + len(name)
-            while stop < n and self.page[stop].isspace():
-                stop += 1
-            if stop < n and self.page[stop] == ">":
-                return at, stop + 1
-            at = stop
-        return n, n
+        m = None if name in self.unclosed else _CLOSE[name].search(self.page, at)
+        if m:
+            return m.span()
+        self.unclosed.add(name)
+        return len(self.page), len(self.page)
 
 
 def unescape(text: str) -> str:
     """html.unescape, also for character numbers of any length."""
-    return html.unescape(_NUMBER.sub(lambda m: m[0] if len(m[1] or m[2]) < 9 else "\ufffd", text))
+    if "&#" in text:
+        text = _NUMBER.sub(lambda m: m[0] if len(m[1] or m[2]) < 9 else "\ufffd", text)
+    return html.unescape(text) if "&" in text else text
+
+
+def first_href(page: str, at: int, end: int) -> str | None:
+    """The target of the link whose attributes stand from ``at`` to ``end``."""
+    m = _HREF.match(page, at, end)
+    if not m:
+        m = next((a for a in _ATTRIBUTE.finditer(page, at, end) if a[1].lower() == "href"), None)
+        return (m[2] or m[3] or m[4] or "") if m and m.lastindex > 1 else None
+    return m[1] or m[2] or m[3] or ""
 
 
 def read_html(page: str) -> tuple[str, str | None, list[str]]:
     """(visible text with a line per block element, first title, targets of links); no script, style, comment or title in the text."""
-    marks, text, title, links, at, done = Marks(page), [], None, [], 0, 0
-    n = len(page)
-    while (at := page.find("<", at)) >= 0:
-        if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            text.append(page[done:at])
-            at = done = end + 3 if end >= 0 else n
-            continue
-        if page[at + 1 : at + 2] in ("!", "?"):
-            end = page.find(">", at) if at < marks.last else -1
-            if end >= 0:
-                text.append(page[done:at])
-                at = done = end + 1
-            else:
+    page = page.replace("\n", " ")
+    marks, text, title, links, at, done = None, [], None, [], 0, 0
+    n, find, plain, put = len(page), page.find, _PLAIN.match, text.append
+    while (at := find("<", at)) >= 0:
+        m = plain(page, at)
+        if m:
+            end, slash, after, raw = m.end(), m[1], m.end(2), m[2]
+        else:
+            marks = marks or Marks(page)
+            if page.startswith("<!--", at):
+                end = find("-->", at + 4)
+                put(page[done:at])
+                at = done = end + 3 if end >= 0 else n
+                continue
+            if page[at + 1 : at + 2] in ("!", "?"):
+                end = find(">", at) if at < marks.last else -1
+                if end >= 0:
+                    put(page[done:at])
+                    at = done = end + 1
+                else:
+                    at += 1
+                continue
+            m = _NAME.match(page, at + 1)
+            if not m:
                 at += 1
-            continue
-        m = _NAME.match(page, at + 1)
-        name = m[2].lower() if m else ""
-        if name in SILENT and not m[1] and not (page[m.end() : m.end() + 1].isalnum() or page[m.end() : m.end() + 1] == "_"):
-            end = page.find(">", m.end()) if at < marks.last else -1
-            if end >= 0:
-                start, stop = marks.close(name, end + 1)
-                if name == "title" and title is None and stop > start:
-                    title = page[end + 1 : start]
-                text.append(page[done:at])
-                at = done = stop
                 continue
-        end = marks.tag(m.end()) if m else -1
+            end, slash, after, raw = -1, m[1], m.end(), m[2]
+        name = raw.lower()
+        if name in SILENT and not slash and not (page[after : after + 1].isalnum() or page[after : after + 1] == "_"):
+            marks = marks or Marks(page)
+            stop = find(">", after) if at < marks.last else -1
+            if stop >= 0:
+                start, over = marks.close(name, stop + 1)
+                if name == "title" and title is None and over > start:
+                    title = page[stop + 1 : start]
+                put(page[done:at])
+                at = done = over
+                continue
         if end < 0:
-            at += 1
-            continue
-        text += [page[done:at], "\n" if name in BLOCKS else ""]
-        if name == "a" and not m[1]:
-            for a in _ATTRIBUTE.finditer(page, m.end(), end - 1):
-                if a[1].lower() == "href" and a.lastindex > 1:
-                    links.append(unescape(a[2] or a[3] or a[4] or ""))
-                    break
+            end = marks.tag(after)
+            if end < 0:
+                at += 1
+                continue
+        put(page[done:at])
+        if name in BLOCKS:
+            put("\n")
+        elif name == "a" and not slash:
+            link = first_href(page, after, end - 1)
+            if link is not None:
+                links.append(unescape(link))
         at = done = end
-    text.append(page[done:])
-    return _LINES.sub("\n", _BLANK.sub(" ", unescape("".join(x if x == "\n" else x.replace("\n", " ") for x in text)))).strip(), None if title is None else " ".join(unescape(title).split()), links
+    put(page[done:])
+    return _LINES.sub("\n", _BLANK.sub(" ", unescape("".join(text)))).strip(), None if title is None else " ".join(unescape(title).split()), links
 
 
 def html_text(page: str) -> str:
@@ -213,10 +233,10 @@ def derive(record_id: str, uri: str | None, date: str | None, block: bytes | Non
     ]
     out = []
     for kind, content, body in made:
-        own = derived_id(kind, record_id)
+        own, body_digest = derived_id(kind, record_id), digest(body)
         pairs = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", record_id), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
-        pairs += [("WARC-Block-Digest", digest(body)), ("WARC-Source-Payload-Digest", source[1][1]), ("Content-Type", content), ("Content-Length", str(len(body)))]
-        out.append({"record_type": kind, "record_id": own, "refers_to": record_id, "target_uri": uri, "date": date, "content_type": content, "block_digest": digest(body), "source_block_digest": source[0][1], "source_payload_digest": source[1][1], "headers": json.dumps([p for p in pairs if p[1] is not None]), "block": body})
+        pairs += [("WARC-Block-Digest", body_digest), ("WARC-Source-Payload-Digest", source[1][1]), ("Content-Type", content), ("Content-Length", str(len(body)))]
+        out.append({"record_type": kind, "record_id": own, "refers_to": record_id, "target_uri": uri, "date": date, "content_type": content, "block_digest": body_digest, "source_block_digest": source[0][1], "source_payload_digest": source[1][1], "headers": json.dumps([p for p in pairs if p[1] is not None]), "block": body})
     return out
 
 
