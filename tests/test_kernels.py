@@ -218,6 +218,9 @@ def test_collection_equals_its_flat_form(spark):
     assert {r["sample"]: r["n_rows"] for r in collection.sample_sizes(c["rows"]).collect()} == {"s1": 30, "s2": 40, "s3": 20}
     with pytest.raises(ValueError):
         collection.collection_from(measures, rows, cols, prefix=False)
+    far = measures | {"s2": measures["s2"].unionByName(spark.createDataFrame([(0, 99, 1.0)], measures["s2"].schema))}
+    with pytest.raises(Exception, match="no label for the col of an entry: s2 0 99"):
+        collection.collection_from(far, rows, cols)["measure"].collect()
 
 
 def test_set_operations(spark):
