@@ -74,6 +74,7 @@ def scores(x: np.ndarray, y: np.ndarray, nnz: np.ndarray, at: np.ndarray, fit: n
 def overdispersion(stats: DataFrame) -> DataFrame:
     """stats: (j, mean, var, nnz), a row per column, var over the population. (j, od_score): 0 for columns
     with fewer than 3 entries or no spread, and for all if there are fewer than LEAST others."""
+    stats = stats.select("j", "mean", "var", "nnz").persist()  # read by each pass of the trend; a row per column
     at, fit = trend(points(stats))
     if not len(at):
         return stats.select("j", F.lit(0.0).alias("od_score"))
