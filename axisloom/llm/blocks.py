@@ -61,28 +61,30 @@ def gathered(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
 
 def exchange(
     df: DataFrame,
-    pack: Callable[[pa.RecordBatch], tuple[bytes, list[tuple[int, bytes, bytes]]]],
-    reduce: Callable[[list[Entry]], Iterable[Answer]],
+    pack: Callable[[pa.RecordBatch, int], tuple[bytes, list[tuple[int, bytes, bytes]]]],
+    reduce: Callable[[list[Entry], dict], Iterable[Answer]],
     finish: Callable[[bytes, np.ndarray], pa.RecordBatch],
     schema: str,
     text: str = "text",
     block_bytes: int = 8 << 20,
     hold: int = 24 << 20,
+    running: bool = False,
 ) -> DataFrame:
-    """pack: a block's rows -> (what to keep, [(bucket, a, b)]). reduce: [(block, rows of it, a, b)] of one bucket ->
-    (block, rows of it, row numbers, values). finish: (what was kept, sums of the values by row) -> result rows.
-    A task adds up the answers of its buckets, in at most ``hold`` bytes at a time."""
+    """pack: a block's rows and its number -> (what to keep, [(bucket, a, b)]). reduce: [(block, rows of it, a, b)] of one
+    bucket, and a dict that lasts as long as the bucket -> (block, rows of it, row numbers, values). finish: (what was kept,
+    sums of the values by row) -> result rows. A task adds up the answers of its buckets, in at most ``hold`` bytes at a
+    time. running: reduce may be called for a part of a bucket's rows, so that a task holds at most ``hold`` bytes of them."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for i, batch in enumerate(gathered(batches, text, block_bytes)):
-            kept, rows = pack(batch)
+            kept, rows = pack(batch, first + i)
             n = batch.num_rows
             yield _batch([(x, first + i, n, y, z) for x, y, z in rows] + [(-1 - first - i, first + i, n, kept, b"")])
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        size, now, rows = 0, None, []
+        size, now, rows, held, known = 0, None, [], 0, {}
 
         def flush() -> pa.RecordBatch:
             out = []
@@ -94,7 +96,7 @@ def exchange(
 
         def answer() -> None:
             nonlocal size
-            for block, n, at, value in reduce(rows):
+            for block, n, at, value in reduce(rows, known):
                 if block not in sums:
                     sums[block] = np.zeros(n, np.int64)
                     size += 8 * n + 100
@@ -106,14 +108,17 @@ def exchange(
                 if bucket < 0:
                     kept.append((0, block, n, a, b))
                     continue
-                if bucket != now:
+                if bucket != now or running and held > hold:
                     if rows:
                         answer()
-                    now, rows = bucket, []
+                    if bucket != now:
+                        known = {}
+                    now, rows, held = bucket, [], 0
                     if size > hold:
                         yield flush()
                         size = 0
                 rows.append((block, n, a, b))
+                held += len(a) + len(b)
             if kept:
                 yield _batch(kept)
         if rows:

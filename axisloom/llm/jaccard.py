@@ -153,7 +153,7 @@ def _candidates(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def need(n: np.ndarray) -> np.ndarray:
         return -(-n * num // den)
 
-    def pack(batch: pa.RecordBatch) -> tuple[bytes, list]:
+    def pack(batch: pa.RecordBatch, _: int) -> tuple[bytes, list]:
         count, sa, sb, least, owner = [], [], [], [], []
         for part in batch_rows(batch, 2 << 20):
             for h in shingle_sets(part.column("text"), k):
@@ -188,7 +188,7 @@ def _candidates(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
         kept = np.concatenate([batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), n, base - wanted, np.array(sa, np.uint64).view(np.int64), np.array(sb, np.uint64).view(np.int64)])
         return kept.astype(np.int64).tobytes(), rows
 
-    def reduce(rows: list) -> list:
+    def reduce(rows: list, _: dict) -> list:
         h = np.concatenate([np.frombuffer(a, np.uint32) for _, _, a, _ in rows])
         own = np.concatenate([np.frombuffer(b, np.uint16) for _, _, _, b in rows])
         of = np.repeat(np.arange(len(rows)), [len(a) // 4 for _, _, a, _ in rows])

@@ -6,7 +6,9 @@ space behind another character, nor a line feed among others (checked when the m
 so the pieces of a text are those of its pre-tokens put one after another. Blocks of documents
 send (pre-token, documents and frequencies) to the bucket of the pre-token; there each distinct
 one is counted once, its count is joined to the frequencies, and sums return to the documents.
-Ids are never kept.
+Ids are never kept. A pre-token that many documents of a block have goes to one of several
+buckets by the block's number, one more for every ``PART`` buckets: so no bucket's size follows
+that of a hot pre-token. Each of these buckets counts it once.
 
 Defined results: null and empty texts have no tokens; special strings are ordinary text;
 repeated rows and ids are counted row by row; texts are whole, however long.
@@ -27,6 +29,8 @@ from .blocks import buckets_for, exchange, runs
 from .words import mix, power_table, utf8
 
 _U = np.uint64
+#: A pre-token that more than SPREAD documents of a block have is spread over a bucket for every PART of them.
+SPREAD, PART = 16, 64
 _loaded: dict = {}
 
 
@@ -96,13 +100,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: i
     return mix(out)
 
 
-def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
-    """One row per row of df: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
+def bucket_of(h: np.ndarray, entries: np.ndarray, buckets: int, block: int, spread: int = SPREAD) -> np.ndarray:
+    """Bucket of each pre-token of a block, by its hash and the number of its documents there."""
+    part = int(mix(np.array([block], np.uint64))[0]) % max(1, buckets // PART)
+    return (np.where(entries > spread, mix(h + _U(part)), h) % _U(buckets)).astype(np.int64)
+
+
+def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", limit: int = 4096, spread: int = SPREAD, hold: int = 24 << 20) -> DataFrame:
+    """One row per row of df: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). spread: see ``SPREAD``; hold: bytes
+    of postings that a task holds."""
     df = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = buckets_for(df)
     load(model)  # fails here, on the driver, for a model of another kind
 
-    def pack(batch: pa.RecordBatch) -> tuple[bytes, list]:
+    def pack(batch: pa.RecordBatch, block: int) -> tuple[bytes, list]:
         arr = batch.column("text")
         n_bytes = np.diff(utf8(arr)[1])
         data, off = utf8(pc.replace_substring(arr, "▁", " "))
@@ -118,9 +129,9 @@ def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
             last = np.cumsum(more) - 1
             freq = np.full(len(token), 255)
             freq[last] = left
-        bucket = (h[at] % _U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
         entries = np.bincount(token, minlength=len(at))
+        bucket = bucket_of(h[at], entries, buckets, block, spread)
+        order = np.argsort(bucket, kind="stable")
         begin = np.concatenate([[0], np.cumsum(entries)])
         doc, freq = doc.astype(np.uint16), freq.astype(np.uint8)
         raw = data.tobytes()
@@ -137,25 +148,24 @@ def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
         kept = np.concatenate([ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), n_bytes, feeds.astype(np.int64)])
         return kept.astype(np.int64).tobytes(), rows
 
-    def reduce(rows: list) -> list:
-        sp = load(model)
-        keys: dict[bytes, int] = {}
+    def reduce(rows: list, known: dict[bytes, int]) -> list:
+        fresh: dict[bytes, None] = {}
         held = []
         for block, n, a, b in rows:
             k, m = np.frombuffer(a, np.uint32, 2).tolist()
-            length = np.frombuffer(a, np.uint32, k, 8)
+            stop = np.cumsum(np.frombuffer(a, np.uint32, k, 8)).tolist()
             entries = np.frombuffer(a, np.uint32, k, 8 + 4 * k)
             doc = np.frombuffer(a, np.uint16, m, 8 + 8 * k)
             freq = np.frombuffer(a, np.uint8, m, 8 + 8 * k + 2 * m)
-            stop = np.cumsum(length).tolist()
-            own = [keys.setdefault(b[s:e], len(keys)) for s, e in zip([0, *stop[:-1]], stop)]
-            held.append((block, n, np.array(own, np.int64), entries, doc, freq))
-        count = piece_counts(sp, list(keys))
-        return [(block, n, doc.astype(np.int64), np.repeat(count[own], entries) * freq) for block, n, own, entries, doc, freq in held]
+            own = [b[s:e] for s, e in zip([0, *stop[:-1]], stop)]
+            fresh.update(dict.fromkeys(key for key in own if key not in known))
+            held.append((block, n, own, entries, doc, freq))
+        known.update(zip(fresh, piece_counts(load(model), list(fresh)).tolist()))
+        return [(block, n, doc.astype(np.int64), np.repeat(np.array([known[key] for key in own], np.int64), entries) * freq) for block, n, own, entries, doc, freq in held]
 
     def finish(kept: bytes, total: np.ndarray) -> pa.RecordBatch:
         ids, null, n_bytes, feeds = np.frombuffer(kept, np.int64).reshape(4, -1)
         n = total + feeds
         return pa.RecordBatch.from_arrays([pa.array(ids, mask=null > 0), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return exchange(df, pack, reduce, finish, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return exchange(df, pack, reduce, finish, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", hold=hold, running=True)

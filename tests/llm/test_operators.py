@@ -359,6 +359,17 @@ def test_token_counts(docs, none):
     assert tokens.count_tokens(none).count() == 0
 
 
+def test_frequent_pre_tokens_are_spread_by_block(docs):
+    h, entries = np.arange(1, 201, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array([100] * 100 + [2] * 100)
+    made = np.array([tokens.bucket_of(h, entries, 4096, block) for block in range(512)])
+    assert made.min() >= 0 and made.max() < 4096
+    places = [len(set(column)) for column in made.T.tolist()]
+    assert min(places[:100]) > 32 and set(places[100:]) == {1}
+    want = sorted(map(str, tokens.count_tokens(docs).collect()))
+    for spread, hold in ((0, 1), (1 << 30, 1), (0, 1 << 20)):
+        assert sorted(map(str, tokens.count_tokens(docs, spread=spread, hold=hold).collect())) == want
+
+
 def test_other_kinds_of_models_are_refused(tmp_path):
     with pytest.raises(Exception):
         tokens.load(str(tmp_path / "none.model"))
