@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field as _field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,10 +81,11 @@ class Dataset:
         self.dropped: list[str] = []
         self.aux: dict[str, Any] = {}
 
-    def add_axis(self, name: str, labels: DataFrame | list[str], **meta: Any) -> Axis:
+    def add_axis(self, name: str, labels: DataFrame | list[str], length: int | None = None, **meta: Any) -> Axis:
         df = axis_frame(self.spark, labels) if isinstance(labels, list) else labels.select(F.col("pos").cast("long"), F.col("label").cast("string"))
-        n = len(labels) if isinstance(labels, list) else df.count()
-        self.axes[name] = Axis(name, df, n, **meta)
+        if length is None:
+            length = len(labels) if isinstance(labels, list) else df.count()
+        self.axes[name] = Axis(name, df, length, **meta)
         return self.axes[name]
 
     def axis(self, name: str) -> Axis:
@@ -197,8 +199,13 @@ def infer_state(df: DataFrame) -> str:
 
 
 def as_categorical(df: DataFrame, v: str = "v", categories: list[str] | None = None) -> tuple[DataFrame, tuple[str, ...]]:
-    """(i, v) -> (i, code) and the category list: sorted by code point unless given. Null and unlisted values have a null code."""
+    """(i, v) -> (i, code) and the category list: sorted by code point unless given. Null and unlisted values have a
+    null code. The list is metadata and stays on the driver; rows get their codes by a join."""
+    value = F.col(v).cast("string")
     if categories is None:
-        categories = [r[0] for r in df.select(F.col(v).cast("string")).where(F.col(v).isNotNull()).distinct().orderBy(v).collect()]
-    at = F.array_position(F.array(*[F.lit(c) for c in categories]) if categories else F.array().cast("array<string>"), F.col(v).cast("string"))
-    return df.select("i", F.when(at > 0, (at - 1).cast("int")).alias("v")), tuple(categories)
+        categories = [r[0] for r in df.select(value.alias("c")).where("c is not null").distinct().orderBy("c").collect()]
+    codes: dict[str, int] = {}
+    for at, c in enumerate(categories):
+        codes.setdefault(c, at)
+    table = df.sparkSession.createDataFrame(pa.table({"_c": pa.array(codes, pa.string()), "_at": pa.array(codes.values(), pa.int32())}))
+    return df.select("i", value.alias("_c")).join(table, "_c", "left").select("i", F.col("_at").alias("v")), tuple(categories)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +33,13 @@ def row_block(m: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def _request(spark: SparkSession, key: str, wanted: list[int]) -> DataFrame:
-    return spark.createDataFrame([(int(x), at) for at, x in enumerate(wanted)], f"{key} long, ord long")
+    """A local relation, whose size the planner knows when it chooses the join."""
+    return spark.createDataFrame(pa.table({key: pa.array(wanted, pa.int64()), "ord": pa.array(range(len(wanted)), pa.int64())}))
 
 
 def gather(m: DataFrame, wanted: list[int], key: str = "j") -> DataFrame:
     """The requested columns (or rows, key='i') with ord, their place in the request; a request may name one twice."""
-    return m.join(F.broadcast(_request(m.sparkSession, key, wanted)), key)
+    return m.join(_request(m.sparkSession, key, wanted), key)
 
 
 def expression(m: DataFrame, rows: DataFrame, j: int, lognorm: bool = False) -> DataFrame:

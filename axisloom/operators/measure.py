@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +30,24 @@ def dense_to_sparse(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def sparse_to_dense(m: DataFrame, width: int) -> DataFrame:
-    """(i, j, v) -> (i, vec) of a fixed width; rows without entries are absent."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("j", "v")))
-    return m.groupBy("i").agg(pairs.alias("_m")).select("i", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.element_at("_m", k.cast("long")), F.lit(0.0))).alias("vec"))
+    """(i, j, v) -> (i, vec) of a fixed width; rows without entries are absent, positions beyond the width are left out.
+    A position named twice has one of its values; a null one is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 20) // max(1, width))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                own = batch.slice(lo, step)
+                entries = own.column("e").flatten()
+                row = np.repeat(np.arange(own.num_rows), np.diff(own.column("e").offsets.to_numpy()))
+                out = np.zeros(own.num_rows * width)
+                out[row * width + entries.field("j").to_numpy()] = entries.field("v").to_numpy()
+                yield pa.RecordBatch.from_arrays([own.column("i"), pa.ListArray.from_arrays(np.arange(own.num_rows + 1, dtype=np.int32) * width, pa.array(out))], names=["i", "vec"])
+
+    j = F.col("j").cast("long")
+    entry = F.when(j.between(0, width - 1), F.struct(j.alias("j"), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v")))
+    rows = m.groupBy(F.col("i").cast("long").alias("i")).agg(F.collect_list(entry).alias("e"))
+    return rows.mapInArrow(run, "i long, vec array<double>")
 
 
 def transpose(m: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def attributes(root: str, path: str) -> dict[str, Any]:
     return json.loads(raw) if raw else {}
 
 
-def decode(data: bytes, shape: tuple[int, ...], dtype: np.dtype, codecs: list[dict]) -> np.ndarray:
+def decode(data: bytes, shape: tuple[int, ...], dtype: np.dtype, codecs: list[dict], fill: Any = 0) -> np.ndarray:
     order, endian = None, dtype
     for c in reversed(codecs):
         name, conf = c["name"], c.get("configuration") or {}
@@ -139,7 +139,7 @@ def decode(data: bytes, shape: tuple[int, ...], dtype: np.dtype, codecs: list[di
         elif name == "transpose":
             order = conf["order"]
         elif name == "sharding_indexed":
-            return _shard(data, shape, dtype, conf)
+            return _shard(data, shape, dtype, conf, fill)
         elif name != "v2":
             raise ValueError(f"unknown codec '{name}'")
     if order is None:
@@ -148,24 +148,24 @@ def decode(data: bytes, shape: tuple[int, ...], dtype: np.dtype, codecs: list[di
     return np.frombuffer(data, endian).reshape(stored).transpose(np.argsort(order)).astype(dtype, copy=False)
 
 
-def _shard(data: bytes, shape: tuple[int, ...], dtype: np.dtype, conf: dict) -> np.ndarray:
+def _shard(data: bytes, shape: tuple[int, ...], dtype: np.dtype, conf: dict, fill: Any) -> np.ndarray:
     inner = tuple(conf["chunk_shape"])
     grid = tuple(-(-n // c) for n, c in zip(shape, inner))
     n = int(np.prod(grid))
     size = 16 * n + 4 * any(c["name"] == "crc32c" for c in conf["index_codecs"])
     index = data[-size:] if conf.get("index_location", "end") == "end" else data[:size]
     places = decode(index, (*grid, 2), np.dtype("<u8"), conf["index_codecs"]).reshape(n, 2)
-    out = np.zeros(shape, dtype)
+    out = np.full(shape, fill, dtype)
     for at, (lo, length) in zip(itertools.product(*map(range, grid)), places.tolist()):
         if lo != _MISSING:
-            out[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, inner))] = decode(data[lo : lo + length], inner, dtype, conf["codecs"])
+            out[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, inner))] = decode(data[lo : lo + length], inner, dtype, conf["codecs"], fill)
     return out
 
 
 def chunk(root: str, path: str, m: Meta, at: tuple[int, ...]) -> np.ndarray:
     """A chunk, cut to the array."""
     data = get(root, f"{path}/{m.key(at)}".lstrip("/"))
-    full = np.full(m.chunks, m.fill, m.dtype) if data is None else decode(data, m.chunks, m.dtype, m.codecs)
+    full = np.full(m.chunks, m.fill, m.dtype) if data is None else decode(data, m.chunks, m.dtype, m.codecs, m.fill)
     return full[tuple(slice(0, n - i * c) for i, n, c in zip(at, m.shape, m.chunks))]
 
 
@@ -248,6 +248,11 @@ def write_strings(root: str, path: str, values: list[str], **kwargs: Any) -> Non
     write_array(root, f"{path}_offsets", np.cumsum([0, *map(len, raw)]).astype(np.int64), **kwargs)
 
 
+def spark_type(dtype: np.dtype) -> str:
+    """Whole numbers stay whole; those beyond 64 bits with a sign are an error when read."""
+    return "boolean" if dtype.kind == "b" else "long" if dtype.kind in "iu" else "double"
+
+
 class ArrayReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.path = options["path"], options.get("array", "")
@@ -261,7 +266,10 @@ class ArrayReader(DataSourceReader):
         x = chunk(self.root, self.path, self.meta, at)
         n = len(self.meta.shape)
         where = np.indices(x.shape).reshape(n, -1) + np.array([i * c for i, c in zip(at, self.meta.chunks)]).reshape(n, 1)
-        yield pa.RecordBatch.from_arrays([*(pa.array(w.astype(np.int64)) for w in where), pa.array(x.ravel().astype(np.float64))], names=[*"ijk"[:n], "v"])
+        kind = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}[spark_type(self.meta.dtype)]
+        for lo in range(0, x.size, 1 << 20):
+            cut = slice(lo, lo + (1 << 20))
+            yield pa.RecordBatch.from_arrays([*(pa.array(w[cut].astype(np.int64)) for w in where), pa.array(x.ravel()[cut]).cast(kind)], names=[*"ijk"[:n], "v"])
 
 
 class ArraySource(DataSource):
@@ -272,29 +280,61 @@ class ArraySource(DataSource):
         return "zarr-array"
 
     def schema(self) -> str:
-        n = len(meta(self.options["path"], self.options.get("array", "")).shape)
-        return ", ".join([*(f"{k} long" for k in "ijk"[:n]), "v double"])
+        m = meta(self.options["path"], self.options.get("array", ""))
+        return ", ".join([*(f"{k} long" for k in "ijk"[: len(m.shape)]), f"v {spark_type(m.dtype)}"])
 
     def reader(self, schema: Any) -> DataSourceReader:
         return ArrayReader(self.options)
 
 
-def sparse_frame(spark: SparkSession, root: str, path: str, by_column: bool, block: int = 1 << 20) -> DataFrame:
-    """(i, j, v) of compressed sparse arrays data, indices, indptr; a task reads ``block`` entries by range."""
-    n = meta(root, f"{path}/data").shape[0]
-    indptr = spark.sparkContext.broadcast(read_array(root, f"{path}/indptr").astype(np.int64))
+def array_frame(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """Positions and values of an array, a task per chunk."""
+    spark.dataSource.register(ArraySource)
+    return spark.read.format("zarr-array").option("array", path).load(root)
+
+
+def string_frame(spark: SparkSession, root: str, path: str, block: int = 1 << 16) -> DataFrame:
+    """(i, v) of concatenated strings; a task reads the offsets and bytes of ``block`` of them by range."""
+    n = meta(root, f"{path}_offsets").shape[0] - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in batch.column("id").to_pylist():
-                hi = min(lo + block, n)
-                inner = read_range(root, f"{path}/indices", lo, hi).astype(np.int64)
-                outer = np.searchsorted(indptr.value, np.arange(lo, hi), side="right") - 1
+                off = read_range(root, f"{path}_offsets", lo, min(lo + block, n) + 1).astype(np.int64)
+                raw = read_range(root, path, int(off[0]), int(off[-1])).tobytes() if len(off) else b""
+                values = [raw[x:y].decode("utf-8") for x, y in zip((off[:-1] - off[0]).tolist(), (off[1:] - off[0]).tolist())] if len(off) else []
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(values))), pa.array(values, pa.string())], names=["i", "v"])
+
+    return spark.range(0, max(n, 0), block, max(1, -(-n // block))).mapInArrow(run, "i long, v string")
+
+
+def sparse_frame(spark: SparkSession, root: str, path: str, by_column: bool, block: int = 1 << 20) -> DataFrame:
+    """(i, j, v) of compressed sparse arrays data, indices, indptr. Tasks read the pointers by range and cut the entries
+    into runs of at most ``block``, which other tasks read by range, so neither a long row nor many rows meet in one."""
+    n = meta(root, f"{path}/indptr").shape[0] - 1
+    many = 1 << 16
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in batch.column("id").to_pylist():
+                ptr = read_range(root, f"{path}/indptr", lo, min(lo + many, n) + 1).astype(np.int64)
+                a = np.arange(ptr[0], ptr[-1], block)
+                b = np.minimum(a + block, ptr[-1])
+                first, stop = np.searchsorted(ptr, a, side="right") - 1, np.searchsorted(ptr, b, side="left")
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, first + lo, stop + lo)], names=["a", "b", "first", "stop"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, first, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                ptr = read_range(root, f"{path}/indptr", first, stop + 1).astype(np.int64)
+                inner = read_range(root, f"{path}/indices", a, b).astype(np.int64)
+                outer = first + np.searchsorted(ptr, np.arange(a, b), side="right") - 1
                 i, j = (inner, outer) if by_column else (outer, inner)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j.astype(np.int64)), pa.array(read_range(root, f"{path}/data", lo, hi).astype(np.float64))], names=["i", "j", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j.astype(np.int64)), pa.array(read_range(root, f"{path}/data", a, b).astype(np.float64))], names=["i", "j", "v"])
 
-    starts = spark.range(0, max(n, 1), block, max(1, -(-n // block)))
-    return starts.mapInArrow(run, "i long, j long, v double").where("v <> 0 or isnan(v)")
+    starts = spark.range(0, max(n, 0), many, max(1, -(-n // many)))
+    cuts = starts.mapInArrow(cut, "a long, b long, first long, stop long").repartition("a")
+    return cuts.mapInArrow(run, "i long, j long, v double").where("v <> 0 or isnan(v)")
 
 
 def namespace(root: str) -> str:
@@ -305,45 +345,52 @@ def namespace(root: str) -> str:
     raise ValueError(f"{root} has no dataset metadata in its root attributes")
 
 
+def _placed(df: DataFrame, index: DataFrame | None, side: str = "i") -> DataFrame:
+    """Positions of a partial field in place of those in its arrays."""
+    if index is None:
+        return df
+    return df.join(index.select(F.col("i").alias(side), F.col("v").cast("long").alias("_p")), side).withColumn(side, F.col("_p")).drop("_p").select(*df.columns)
+
+
+def _values(spark: SparkSession, root: str, path: str, m: dict, index: DataFrame | None) -> DataFrame:
+    """The frame of a field by its encoding."""
+    if m["encoding"] in ("csc", "csr"):
+        side = "ij"[m["span"].index(m["index_axis"])] if index is not None else "i"
+        return _placed(sparse_frame(spark, root, path, m["encoding"] == "csc"), index, side)
+    if m["encoding"] == "categorical":
+        codes = array_frame(spark, root, f"{path}/codes")
+        return _placed(codes.select("i", F.when(F.col("v") >= 0, F.col("v").cast("int")).alias("v")), index)
+    if m["encoding"] == "utf8":
+        return _placed(string_frame(spark, root, f"{path}/values"), index)
+    x = array_frame(spark, root, f"{path}/values")
+    if "k" in x.columns:
+        return x.withColumn("v", F.col("v").cast("double"))
+    if "j" in x.columns:
+        row = F.sort_array(F.collect_list(F.struct("j", F.col("v").cast("double").alias("v"))))
+        return _placed(x.groupBy("i").agg(row.alias("_r")).select("i", F.col("_r.v").alias("vec")), index)
+    if m.get("nullable"):
+        gone = array_frame(spark, root, f"{path}/mask").select("i", F.col("v").cast("boolean").alias("_gone"))
+        x = x.join(gone, "i").select("i", F.when(~F.col("_gone"), F.col("v")).alias("v"))
+    return _placed(x, index)
+
+
 def read_store(spark: SparkSession, root: str) -> Dataset:
-    """An axis-and-field store as a Dataset. Sparse measures stay on disk until a plan reads them; other fields are read here."""
+    """An axis-and-field store as a Dataset. Arrays stay on disk until a plan reads them, each chunk or range in a task of
+    its own; only metadata and the categories of a field are read here."""
     key = namespace(root)
     top = attributes(root, "")[key]
     ds = Dataset(spark, top["kind"])
     ds.profiles, ds.dropped = list(top.get("profiles", [])), list(top.get("dropped", []))
     for name in top["axes"]:
         a = attributes(root, f"axes/{name}")[key]
-        ds.add_axis(name, read_strings(root, f"axes/{name}/labels"), origin=a.get("origin", "observed"), role=a.get("role") or "observation", induced_by=a.get("induced_by"), provenance=a.get("provenance") or {})
+        labels = string_frame(spark, root, f"axes/{name}/labels").toDF("pos", "label")
+        n = meta(root, f"axes/{name}/labels_offsets").shape[0] - 1
+        ds.add_axis(name, labels, length=n, origin=a.get("origin", "observed"), role=a.get("role") or "observation", induced_by=a.get("induced_by"), provenance=a.get("provenance") or {})
     for name in top["fields"]:
         m = attributes(root, f"fields/{name}")[key]
-        path, enc, partial = f"fields/{name}", m["encoding"], m.get("coverage") == "partial"
-        index = read_array(root, f"{path}/index").astype(np.int64) if partial else None
-        at = lambda n: (index if index is not None else np.arange(n, dtype=np.int64)).tolist()  # noqa: E731, B023
-        categories = None
-        if enc in ("csc", "csr"):
-            df = sparse_frame(spark, root, path, enc == "csc")
-            if index is not None:
-                side = "ij"[m["span"].index(m["index_axis"])]
-                at_ = spark.createDataFrame([(k, int(v)) for k, v in enumerate(index)], f"{side} long, p long")
-                other = "j" if side == "i" else "i"
-                df = df.join(at_, side).select(F.col("p").alias(side), other, "v").select("i", "j", "v")
-        elif enc == "categorical":
-            codes = read_array(root, f"{path}/codes")
-            categories = tuple(read_strings(root, f"{path}/categories"))
-            df = spark.createDataFrame([(i, None if c < 0 else int(c)) for i, c in zip(at(len(codes)), codes.tolist())], "i long, v int")
-        elif enc == "utf8":
-            values = read_strings(root, f"{path}/values")
-            df = spark.createDataFrame(list(zip(at(len(values)), values)), "i long, v string")
-        else:
-            x = read_array(root, f"{path}/values")
-            if x.ndim == 1:
-                kind = "boolean" if x.dtype.kind == "b" else "long" if x.dtype.kind in "iu" else "double"
-                missing = read_array(root, f"{path}/mask").astype(bool) if m.get("nullable") else np.zeros(len(x), bool)
-                df = spark.createDataFrame([(i, None if gone else v) for i, v, gone in zip(at(len(x)), x.tolist(), missing.tolist())], f"i long, v {kind}")
-            elif x.ndim == 2:
-                df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(at(len(x)), x)], "i long, vec array<double>")
-            else:
-                df = spark.createDataFrame([(*map(int, p), float(v)) for p, v in np.ndenumerate(x)], "i long, j long, k long, v double")
+        path = f"fields/{name}"
+        index = array_frame(spark, root, f"{path}/index") if m.get("coverage") == "partial" else None
+        categories = tuple(read_strings(root, f"{path}/categories")) if m["encoding"] == "categorical" else None
         meta_ = {k: m.get(k) for k in ("state", "subtype", "directed", "weighted", "uncertainty", "index_axis") if m.get(k) is not None}
-        ds.add_field(name, df, span=tuple(m["span"]), induce=False, role=m.get("role"), encoding=enc, coverage=m.get("coverage") or "full", nullable=bool(m.get("nullable")), categories=categories, ordered=bool(m.get("ordered")), provenance=m.get("provenance") or {}, **meta_)
+        ds.add_field(name, _values(spark, root, path, m, index), span=tuple(m["span"]), induce=False, role=m.get("role"), encoding=m["encoding"], coverage=m.get("coverage") or "full", nullable=bool(m.get("nullable")), categories=categories, ordered=bool(m.get("ordered")), provenance=m.get("provenance") or {}, **meta_)
     return ds

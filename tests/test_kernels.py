@@ -179,6 +179,8 @@ def test_dense_and_sparse(spark):
     m = measure.dense_to_sparse(d)
     assert sorted((r["i"], r["j"]) for r in m.collect()) == [(0, 1), (0, 2)]
     assert measure.sparse_to_dense(m.where("not isnan(v)"), 3).first()["vec"] == [0.0, 1.5, 0.0]
+    out = m.sparkSession.createDataFrame([(0, 1, 2.0), (0, 9, 1.0), (5, 2, None), (7, 9, 1.0)], "i long, j long, v double")
+    assert {r["i"]: r["vec"] for r in measure.sparse_to_dense(out, 3).collect()} == {0: [0.0, 2.0, 0.0], 5: [0.0, 0.0, 0.0], 7: [0.0, 0.0, 0.0]}
     assert stats.col_stats(m.where("not isnan(v)"), 2).count() == 1
 
 

@@ -165,6 +165,69 @@ def test_ranges_and_missing_chunks(tmp_path):
     assert zarr.read_range(str(tmp_path), "v", 14, 18).tolist() == [14, 15, 0, 0]
 
 
+def test_absent_parts_of_a_shard_have_the_fill_value(tmp_path):
+    import json
+    import struct
+
+    zarr.write_array(str(tmp_path), "a", np.arange(8), chunks=(2,), shard=(8,), codec=None)
+    spec, blob = tmp_path / "a" / "zarr.json", tmp_path / "a" / "c" / "0"
+    spec.write_text(json.dumps(json.loads(spec.read_text()) | {"fill_value": 7}))
+    data = blob.read_bytes()
+    index = data[-68:-4]
+    index = index[:16] + b"\xff" * 16 + index[32:]
+    blob.write_bytes(data[:-68] + index + struct.pack("<I", zarr.crc32c(index)))
+    assert zarr.read_array(str(tmp_path), "a").tolist() == [0, 1, 7, 7, 4, 5, 6, 7]
+
+
+def test_frames_of_arrays(spark, tmp_path):
+    root = str(tmp_path)
+    big = np.array([2**53 + 1, -5, 0])
+    zarr.write_array(root, "big", big, chunks=(2,))
+    assert [r["v"] for r in zarr.array_frame(spark, root, "big").orderBy("i").collect()] == big.tolist()
+    texts = ["", "é", "abc", "", "zz"]
+    zarr.write_strings(root, "s", texts, chunks=(2,))
+    assert [tuple(r) for r in zarr.string_frame(spark, root, "s", block=2).orderBy("i").collect()] == list(enumerate(texts))
+    zarr.write_strings(root, "none", [])
+    assert zarr.string_frame(spark, root, "none").count() == 0
+    x = np.zeros((9, 6))
+    x[0, :], x[4, 2], x[8, 5] = np.arange(1, 7), 3.5, 2.0
+    where = np.nonzero(x)
+    zarr.write_array(root, "m/data", x[where], chunks=(3,))
+    zarr.write_array(root, "m/indices", where[1], chunks=(3,))
+    zarr.write_array(root, "m/indptr", np.searchsorted(where[0], np.arange(10)), chunks=(4,))
+    for block in (1, 2, 5, 100):
+        got = {(r["i"], r["j"]): r["v"] for r in zarr.sparse_frame(spark, root, "m", False, block=block).collect()}
+        assert got == {(int(i), int(j)): x[i, j] for i, j in zip(*where)}
+
+
+def test_dense_and_partial_fields_of_a_store(spark, tmp_path):
+    import json
+
+    wide, cube = np.arange(12.0).reshape(4, 3), np.arange(24.0).reshape(4, 3, 2)
+    tree = {
+        "": {"spec_version": "0.1", "kind": "sample", "axes": ["cells", "genes", "two"], "fields": ["wide", "cube", "note"]},
+        "axes/cells": {}, "axes/genes": {}, "axes/two": {},
+        "fields/wide": {"role": "embedding", "span": ["cells", "genes"], "encoding": "dense"},
+        "fields/cube": {"role": "measure", "span": ["cells", "genes", "two"], "encoding": "dense", "state": "scaled"},
+        "fields/note": {"role": "label", "span": ["cells"], "encoding": "utf8", "coverage": "partial", "index_axis": "cells"},
+    }
+    for path, meta in tree.items():
+        (tmp_path / path).mkdir(parents=True, exist_ok=True)
+        (tmp_path / path / "zarr.json").write_text(json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {"meta": meta}}))
+    root = str(tmp_path)
+    for axis, n in (("cells", 4), ("genes", 3), ("two", 2)):
+        zarr.write_strings(root, f"axes/{axis}/labels", [f"{axis}{i}" for i in range(n)], chunks=(2,))
+    zarr.write_array(root, "fields/wide/values", wide, chunks=(3, 2))
+    zarr.write_array(root, "fields/cube/values", cube, chunks=(2, 2, 1))
+    zarr.write_strings(root, "fields/note/values", ["late", ""], chunks=(2,))
+    zarr.write_array(root, "fields/note/index", np.array([3, 1]))
+    ds = zarr.read_store(spark, root)
+    assert [r["vec"] for r in ds.fields["wide"].df.orderBy("i").collect()] == wide.tolist()
+    assert {(r["i"], r["j"], r["k"]): r["v"] for r in ds.fields["cube"].df.collect()} == {p: v for p, v in np.ndenumerate(cube)}
+    assert {r["i"]: r["v"] for r in ds.fields["note"].df.collect()} == {3: "late", 1: ""}
+    assert ds.axes["cells"].length == 4 and ds.fields["wide"].shape == (4, 3)
+
+
 def test_axis_and_field_store(spark, tmp_path):
     import json
 
