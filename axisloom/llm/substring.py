@@ -7,8 +7,17 @@ are compacted into one: (anchor, hash of all its tokens). A join over anchors th
 
 * paths that stand in several places: all their edges are repeated;
 * anchors that only one place has: none of their edges is repeated;
-* anchors where paths part: only there are the single edges of each distinct path written
-  out, from one of its source coordinates, and joined by two hashes of 64 bits.
+* anchors where paths part: there the single edges of each distinct path are written out,
+  from one of its source coordinates.
+
+A join of path ends then compacts further: where a repeated path is followed by one and the
+same path in all its places, and that one has no other before it, no branch lies between
+them, and they are one path.
+
+Hashes only propose. Each repeated path and each edge written out goes back to its source
+coordinates, where the words are read again, and only those whose 128-bit BLAKE2 digest of
+the words stands in two places are repeated. A path that just its hashes made equal to another
+is written out edge by edge instead.
 
 Coordinates of repeated edges go back to the documents, which lose the words they cover.
 Paths that stand in one block of rows many times are counted there, so that frequent lines
@@ -105,7 +114,7 @@ def _paths(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def _spread(paths: DataFrame) -> DataFrame:
-    """(key, a, n, flag) of repeated and doubtful paths: flag & 1, all windows are repeated; flag & 2, windows must be written out.
+    """(key, a, n, flag, path) of repeated and doubtful paths: flag & 1, all windows are repeated; flag & 2, windows must be written out.
 
     paths: a saved table. Counts by path and by anchor are partial aggregates, joined back over keys that may be hot.
     """
@@ -114,7 +123,7 @@ def _spread(paths: DataFrame) -> DataFrame:
     tot = own.groupBy("anchor").agg(F.sum("own").alias("tot"))
     told = own.join(tot.hint("shuffle_hash"), "anchor").where("own > 1 or tot > own").select("anchor", "path", (F.col("own") > 1).alias("twice"), (F.col("tot") > F.col("own")).alias("parts"), "first")
     # Rows of one hash are equal, so a path that has several is repeated anyway.
-    rows = paths.join(told.hint("shuffle_hash"), ["anchor", "path"]).select("places", "twice", (F.col("parts") & (F.col("r") == F.col("first"))).alias("open"))
+    rows = paths.join(told.hint("shuffle_hash"), ["anchor", "path"]).select("places", "twice", F.xxhash64("anchor", "path").alias("path"), (F.col("parts") & (F.col("r") == F.col("first"))).alias("open"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,36 +135,73 @@ def _spread(paths: DataFrame) -> DataFrame:
             flag = np.repeat(batch.column("twice").to_numpy(zero_copy_only=False).astype(np.int32), count)
             flag[(np.cumsum(count) - count)[batch.column("open").to_numpy(zero_copy_only=False)]] += 2
             keep = flag > 0
-            yield pa.RecordBatch.from_arrays([pa.array(spot["key"][keep]), pa.array(spot["a"][keep].astype(np.int64)), pa.array(spot["n"][keep].astype(np.int32)), pa.array(flag[keep])], names=["key", "a", "n", "flag"])
+            yield pa.RecordBatch.from_arrays([pa.array(spot["key"][keep]), pa.array(spot["a"][keep].astype(np.int64)), pa.array(spot["n"][keep].astype(np.int32)), pa.array(flag[keep]), pa.array(np.repeat(batch.column("path").to_numpy(), count)[keep])], names=["key", "a", "n", "flag", "path"])
+
+    return rows.mapInArrow(run, "key long, a long, n int, flag int, path long")
+
+
+def _joined(paths: DataFrame) -> DataFrame:
+    """(key, a): where a repeated path goes on from the one before it without a branch. paths: a saved table of key, a, n, path."""
+    ends = paths.select("key", (F.col("a") + F.col("n")).alias("a"), F.col("path").alias("p"))
+    links = saved(ends.join(paths.select("key", "a", F.col("path").alias("q")), ["key", "a"]), "links")
+    places = paths.groupBy("path").agg(F.count(F.lit(1)).alias("c"))
+    of = lambda end: places.select(F.col("path").alias(end), "c")
+    sole = links.groupBy("p", "q").agg(F.count(F.lit(1)).alias("c")).join(of("p"), ["p", "c"]).join(of("q"), ["q", "c"])
+    out = saved(links.join(sole.select("p", "q"), ["p", "q"]).select("key", "a"), "joined")
+    discard(links)
+    return out
 
-    return rows.mapInArrow(run, "key long, a long, n int, flag int")
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """What to read in the texts of a key. rows: key, a, n, kind (0 repeated path, 1 joined to the one before, 2 edges, 3 edges of a repeated path)."""
+    todo = rows.groupBy("key").agg(F.collect_set(F.struct("a", "n", "kind")).alias("s"))
+    return todo.select(F.col("key").alias("_k"), F.col("s.a").alias("a"), F.col("s.n").alias("n"), F.col("s.kind").alias("kind"))
 
-def _edges(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """(edge, other, key, a, w): windows of the paths to be written out; w is 2 if the path stands in several places."""
-    todo = spans.where("flag >= 2").groupBy("key").agg(F.collect_list(F.struct("a", "n", F.col("flag").bitwiseAND(1).alias("twice"))).alias("s"))
-    todo = todo.select(F.col("key").alias("_k"), F.col("s.a").alias("a"), F.col("s.n").alias("n"), F.col("s.twice").alias("twice"))
-    rows = docs.select("key", "text").join(todo.hint("shuffle_hash"), F.col("key") == F.col("_k")).select("key", "text", "a", "n", "twice")
+
+def _read(docs: DataFrame, todo: DataFrame, window: int) -> DataFrame:
+    """(run, d1, d2, key, a, n, out): digest of the words of each compacted path (run) and of each edge written out, at its coordinates."""
+    rows = docs.select("key", "text").join(todo.hint("shuffle_hash"), F.col("key") == F.col("_k")).select("key", "text", "a", "n", "kind")
+    names = ["run", "d1", "d2", "key", "a", "n", "out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, part in pieces(batch.column("text"), 4 << 20):
-                _, _, h, row = words(*utf8(part))
-                begin = np.searchsorted(row, np.arange(len(part)))
                 own = batch.slice(lo, len(part))
-                lists = [own.column(c) for c in ("a", "n", "twice")]
-                per = np.diff(lists[0].offsets.to_numpy())
-                a, n, twice = (x.flatten().to_numpy() for x in lists)
-                doc = np.repeat(np.arange(len(part)), per)
-                rank = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                doc, at, twice = np.repeat(doc, n), np.repeat(a, n) + rank, np.repeat(twice, n)
-                # Two hashes, the second of other hashes of the words: one of 64 bits meets by chance among billions of windows.
-                edge, other = (span_hash(x, begin[doc] + at, begin[doc] + at + window) if len(at) else np.zeros(0, np.uint64) for x in (h, mix(h + _U(0x51ED270B))))
-                out = pa.RecordBatch.from_arrays([pa.array(edge.view(np.int64)), pa.array(other.view(np.int64)), pa.array(own.column("key").to_numpy()[doc]), pa.array(at.astype(np.int64)), pa.array((twice + 1).astype(np.int64))], names=["edge", "other", "key", "a", "w"])
-                for i in range(0, out.num_rows, 20_000):
-                    yield out.slice(i, 20_000)
-
-    return rows.mapInArrow(run, "edge long, other long, key long, a long, w long")
+                digests, found = [], []
+                for key, t, *lists in zip(own.column("key").to_pylist(), part, own.column("a"), own.column("n"), own.column("kind")):
+                    w = t.as_buffer().to_pybytes().split()
+                    body = memoryview(b" ".join(w))
+                    begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)])
+                    a, n, kind = (x.values.to_numpy() for x in lists)
+                    order = np.argsort(a, kind="stable")
+                    a, n, kind = a[order], n[order].astype(np.int64), kind[order]
+                    paths, single = kind == 0, kind >= 2
+                    at, size = a[paths], n[paths]
+                    head = np.flatnonzero(~np.isin(at, a[kind == 1]))
+                    rank = np.arange(int(n[single].sum())) - np.repeat(np.cumsum(n[single]) - n[single], n[single])
+                    many = np.repeat(a[single], n[single]) + rank
+                    at = np.concatenate([at[head], many])
+                    size = np.concatenate([np.add.reduceat(size, head) if len(head) else size[:0], np.ones(len(many), np.int64)])
+                    digests += [hashlib.blake2b(body[s:e], digest_size=16).digest() for s, e in zip(begin[at].tolist(), (begin[at + size + window - 1] - 1).tolist())]
+                    whole = np.arange(len(at)) < len(head)
+                    found.append((whole, np.full(len(at), key), at, size, whole | np.concatenate([whole[: len(head)], np.repeat(kind[single] == 2, n[single])])))
+                if not digests:
+                    continue
+                both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                whole, key, at, size, out = (np.concatenate(x) for x in zip(*found))
+                made = pa.RecordBatch.from_arrays([pa.array(x) for x in (whole, both[:, 0], both[:, 1], key, at, size, out)], names=names)
+                for i in range(0, made.num_rows, 20_000):
+                    yield made.slice(i, 20_000)
+
+    return rows.mapInArrow(run, "run boolean, d1 long, d2 long, key long, a long, n long, out boolean")
+
+
+def _seen(read: DataFrame) -> DataFrame:
+    """(run, d1, d2, again) of the digests that stand in two places, and of those runs that don't."""
+    place = F.xxhash64("key", "a")
+    seen = read.groupBy("run", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("x"), F.max(place).alias("y"))
+    # Rows of one key are places of their own for a path; an edge may be written out twice from one place.
+    return seen.select("run", "d1", "d2", F.when(F.col("run"), F.col("c") > 1).otherwise(F.col("x") != F.col("y")).alias("again")).where("again or run")
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
@@ -163,10 +209,20 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     paths = saved(_paths(docs, window, k), "paths")
     spans = saved(_spread(paths), "spans")
     discard(paths)
-    edges = saved(_edges(docs, spans, window), "edges")
-    again = edges.groupBy("edge", "other").agg(F.sum("w").alias("w")).where("w > 1").select("edge", "other")
-    single = edges.where("w = 1").join(again, ["edge", "other"]).select("key", "a", F.lit(1).alias("n"))
-    return spans.where("flag in (1, 3)").select("key", "a", "n").unionByName(single)
+    twice = saved(spans.where("flag in (1, 3)").select("key", "a", "n", "path").distinct(), "twice")
+    joined = _joined(twice)
+    rows = twice.select("key", "a", "n", F.lit(0).alias("kind")).unionByName(joined.select("key", "a", F.lit(0).alias("n"), F.lit(1).alias("kind")))
+    todo = saved(_listed(rows.unionByName(spans.where("flag >= 2").select("key", "a", "n", F.col("flag").alias("kind")))), "todo")
+    discard(spans, twice, joined)
+    read = saved(_read(docs, todo, window), "read")
+    discard(todo)
+    seen = saved(_seen(read), "seen")
+    lone = seen.where("not again")
+    if not lone.isEmpty():
+        rows = read.join(lone, ["run", "d1", "d2"]).select("key", "a", "n", F.lit(2).alias("kind"))
+        read = read.unionByName(saved(_read(docs, _listed(rows), window), "edges"))
+        seen = saved(_seen(read), "seen")
+    return read.where("out").join(seen.where("again"), ["run", "d1", "d2"]).select("key", "a", "n")
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, k: int = 8, with_text: bool = False) -> DataFrame:

@@ -517,12 +517,22 @@ def test_repeated_spans(docs, none):
 
 def test_spans_of_one_hash_are_told_apart(spark, monkeypatch):
     whole = substring.span_hash
-    monkeypatch.setattr(substring, "span_hash", lambda h, lo, hi: whole(h, lo, hi) & np.uint64((1 << 18) - 1))
+    monkeypatch.setattr(substring, "span_hash", lambda h, lo, hi: whole(h, lo, hi) & np.uint64(15))
     rng = np.random.default_rng(13)
     shared = " ".join(f"shared{i}" for i in range(20))
     rows = [(d, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 30)) + f" {shared} " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 30))) for d in range(300)]
+    rows.append((300, rows[0][1]))
     out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(out) == 300 and {r["n_removed"] for r in out} == {0}
+    assert len(out) == 301 and {r["doc_id"]: r["n_removed"] for r in out if r["n_removed"]} == {0: 80, 300: 80}
+
+
+def test_paths_join_where_nothing_branches(spark):
+    """A passage in two places is one path; a third place that ends early makes a branch."""
+    paths = [(key, at, 5, path) for key, start in ((1, 0), (2, 40)) for at, path in ((start, 10), (start + 5, 11), (start + 10, 12))] + [(3, 7, 5, 11)]
+    joined = substring._joined(spark.createDataFrame(paths, "key long, a long, n int, path long"))
+    assert joined.count() == 0  # 11 is reached in two of its three places, and left in two
+    joined = substring._joined(spark.createDataFrame(paths[:-1], "key long, a long, n int, path long"))
+    assert sorted(map(tuple, joined.collect())) == [(1, 5), (1, 10), (2, 45), (2, 50)]
 
 
 def test_spans_of_repeated_rows_are_gathered_once(spark):
