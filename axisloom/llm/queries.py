@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard, mixing, neardup, packing, quality, secrets, substring, tokens, toxicity, warc
+from . import audit, common, jaccard, merkle, mixing, neardup, packing, quality, secrets, substring, support, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,20 @@ def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    df = support.score(docs, support.fit(*support.sample(docs, _read(spark, sf_dir, "labels"))))
+    return df.select("doc_id", support.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_pruned_graph_dedup": op2_pruned_graph_dedup,
@@ -73,6 +87,9 @@ QUERIES = {
     "op8_debruijn_repeats": op8_debruijn_repeats,
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_nbsvm_quality": op13_nbsvm_quality,
 }
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _CLOSURE = "reach(r, m) as (select r, r from {} union select p.r, reach.m from pairs p join reach on reach.r = p.s)"
@@ -83,6 +100,8 @@ pairs as materialized (select a.r, b.r as s from g a join g b on a.label = b.lab
 {_CLOSURE.format("e")}, c as (select reach.r, min(vec_id) as component_id from reach join e on e.r = m group by reach.r), n as (select r, count(*) as n from pairs group by r)
 select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id is not distinct from component_id as kept from e join c using (r) left join n using (r)""",
     "op3_mix_sources": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
     "op6_partenum_jaccard": f"""with recursive t as (select row_number() over () as r, doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
 g as materialized (select distinct r, array_to_string(list_slice(w, i, i + 4), ' ') as g from (select r, w, unnest(range(1, greatest(2, len(w) - 3))) as i from t where len(w) > 0)),
 n as materialized (select r, count(*) as n from g group by r),
