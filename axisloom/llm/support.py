@@ -67,7 +67,7 @@ def _shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray,
 def indicators(arr: pa.Array) -> Iterator[np.ndarray]:
     """The distinct buckets of each text, ascending."""
     held = np.zeros(1 << BITS, bool)
-    for _, part in pieces(arr):
+    for _, part in pieces(arr, 1 << 19):
         data, off = utf8(part)
         grams, g = [], np.zeros(len(data), np.uint64)
         for n in range(1, 6):
@@ -86,7 +86,7 @@ def indicators(arr: pa.Array) -> Iterator[np.ndarray]:
                 held[b[off[i] : max(off[i], off[i + 1] - n + 1)]] = True
             for b, n in tokens:
                 held[b[first[i] : max(first[i], first[i + 1] - n + 1)]] = True
-            own = np.flatnonzero(held)
+            own = np.flatnonzero(held).astype(np.int32)
             held[own] = False
             yield own
 
@@ -94,16 +94,16 @@ def indicators(arr: pa.Array) -> Iterator[np.ndarray]:
 def descend(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, c: np.ndarray, rng: np.random.Generator, epochs: int = 30) -> tuple[np.ndarray, float]:
     """Weights and bias of min |w|^2 / 2 + sum c * max(0, 1 - y (w x + b)) by dual coordinate descent, x being a row's ``values``, scaled to length 1."""
     scale = [1 / max(1e-12, np.sqrt((values[r] ** 2).sum())) for r in rows]
-    x = [(values[r] * s).astype(np.float64) for r, s in zip(rows, scale)]
     w, b, alpha = np.zeros(len(values)), 0.0, np.zeros(len(rows))
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            g = y[i] * (w[rows[i]] @ x[i] + b) - 1
+            x = values[rows[i]] * scale[i]
+            g = y[i] * (w[rows[i]] @ x + b) - 1
             new = min(max(alpha[i] - g / 2, 0.0), c[i])  # the row and the constant 1 have a squared length of 2
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * x[i]
+                w[rows[i]] += step * x
                 b += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
@@ -147,7 +147,9 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, seed: i
     known = count.sum(0) >= least
     odds = (count + 1) / (count + 1)[:, known].sum(1, keepdims=True)
     ratio = np.where(known, np.log(odds[1] / odds[0]), 0.0)
-    own = [rows[i][known[rows[i]]] for i in mine]
+    for i in range(len(rows)):
+        rows[i] = rows[i][known[rows[i]]]
+    own = [rows[i] for i in mine]
     sign = np.where(y[mine] == 1, 1, -1)
     c = cost * np.where(sign == 1, 0.5 / (sign == 1).sum(), 0.5 / (sign == -1).sum()) * len(sign)
     w, bias = descend(own, ratio, sign, c, rng)
