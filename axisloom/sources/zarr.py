@@ -1,8 +1,11 @@
 """Chunked array stores of the Zarr family, versions 2 and 3: arrays, sharded arrays and whole axis-and-field stores.
 
-A chunk is a Spark partition; a missing chunk is the fill value. Paths are of a file system that
-executors mount; a store may also be one uncompressed zip file. Codecs: gzip, zlib, zstd, bytes
-(either endianness), transpose, crc32c, sharding_indexed.
+Ranges and lists of positions, given with the read, choose the chunks that become partitions, small chunks together; positions
+that a table holds choose them by a shuffle of chunk numbers. (Spark 4.1 keeps what pushed filters made of a Python source's reader
+with the relation, so that a second use of one frame with another predicate lost rows; hence options, not ``pushFilters``.) Tasks read byte ranges: of a shard its index and the inner chunks asked for, of an uncompressed chunk the
+rows asked for, of a zip file its directory once per process and then members by offset. A missing chunk is the fill
+value. Paths are of a file system that executors mount; a store may also be one zip file of stored members. Codecs: gzip, zlib, zstd,
+bytes (either endianness), transpose, crc32c, sharding_indexed.
 """
 
 from __future__ import annotations
@@ -10,12 +13,14 @@ from __future__ import annotations
 import gzip
 import itertools
 import json
+import math
 import os
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -27,49 +32,79 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..model import Dataset
 
 _MISSING = (1 << 64) - 1
+_open = open
 
 
-def get(root: str, key: str) -> bytes | None:
+@dataclass(frozen=True)
+class Place:
+    """Where a value's bytes lie, and when that file was written."""
+
+    file: str
+    offset: int
+    size: int
+    stamp: int
+
+    def read(self, lo: int = 0, hi: int | None = None) -> bytes:
+        hi = self.size if hi is None else hi
+        with _open(self.file, "rb") as f:
+            f.seek(self.offset + lo)
+            return f.read(hi - lo)
+
+
+@lru_cache(maxsize=16)
+def _directory(root: str, stamp: int) -> dict[str, zipfile.ZipInfo]:
+    with _open(root, "rb") as f, zipfile.ZipFile(f) as z:
+        return {i.filename: i for i in z.infolist()}
+
+
+@lru_cache(maxsize=1 << 16)
+def _member(root: str, stamp: int, key: str) -> Place | None:
+    info = _directory(root, stamp).get(key)
+    if info is None:
+        return None
+    if info.compress_type != zipfile.ZIP_STORED:
+        raise ValueError(f"{root}: member {key} is compressed; only stored members can be read by range")
+    with _open(root, "rb") as f:
+        f.seek(info.header_offset)
+        name, extra = struct.unpack("<26xHH", f.read(30))
+    return Place(root, info.header_offset + 30 + name + extra, info.file_size, stamp)
+
+
+def locate(root: str, key: str) -> Place | None:
     """A value of the store: a file under a folder, or a member of a zip file, stored without compression."""
     if os.path.isfile(root):
-        with zipfile.ZipFile(root) as z:
-            try:
-                info = z.getinfo(key)
-            except KeyError:
-                return None
-            if info.compress_type != zipfile.ZIP_STORED:
-                raise ValueError(f"{root}: member {key} is compressed; only stored members can be read by range")
-            return z.read(info)
+        return _member(root, os.stat(root).st_mtime_ns, key)
     path = os.path.join(root, key)
     if not os.path.isfile(path):
         return None
-    with open(path, "rb") as f:
-        return f.read()
+    st = os.stat(path)
+    return Place(path, 0, st.st_size, st.st_mtime_ns)
+
+
+def get(root: str, key: str) -> bytes | None:
+    place = locate(root, key)
+    return None if place is None else place.read()
 
 
-def pack_zip(folder: str, path: str) -> str:
-    """Packs a store into one zip file of stored members, metadata first."""
-    names = sorted(os.path.relpath(os.path.join(d, n), folder) for d, _, files in os.walk(folder) for n in files)
-    names.sort(key=lambda n: not n.endswith((".zmetadata", "zarr.json", ".zarray", ".zgroup", ".zattrs")))
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-        for n in names:
-            z.write(os.path.join(folder, n), n.replace(os.sep, "/"))
-    return path
+@lru_cache(maxsize=1)
+def _crc_table() -> list[int]:
+    table = list(range(256))
+    for _ in range(8):
+        table = [(c >> 1) ^ (0x82F63B78 if c & 1 else 0) for c in table]
+    return table
 
 
 def crc32c(data: bytes) -> int:
-    crc = 0xFFFFFFFF
+    table, crc = _crc_table(), 0xFFFFFFFF
     for b in data:
-        crc ^= b
-        for _ in range(8):
-            crc = (crc >> 1) ^ (0x82F63B78 & -(crc & 1))
+        crc = table[(crc ^ b) & 255] ^ (crc >> 8)
     return crc ^ 0xFFFFFFFF
 
 
-def _zstd(data: bytes, size: int | None, encode: bool = False, level: int = 3) -> bytes:
+def _unzstd(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=level).compress(data) if encode else zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
 
 
 @dataclass
@@ -129,7 +164,7 @@ def decode(data: bytes, shape: tuple[int, ...], dtype: np.dtype, codecs: list[di
         elif name == "zlib":
             data = zlib.decompress(data)
         elif name == "zstd":
-            data = _zstd(data, None)
+            data = _unzstd(data)
         elif name == "crc32c":
             if crc32c(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
                 raise ValueError("checksum of a chunk does not match")
@@ -139,7 +174,9 @@ def decode(data: bytes, shape: tuple[int, ...], dtype: np.dtype, codecs: list[di
         elif name == "transpose":
             order = conf["order"]
         elif name == "sharding_indexed":
-            return _shard(data, shape, dtype, conf, fill)
+            grid = _grid(shape, tuple(conf["chunk_shape"]))
+            lo, hi = _index_span(len(data), grid, conf)
+            return _inner(lambda a, b: data[a:b], _places(data[lo:hi], grid, conf["index_codecs"]), shape, dtype, conf, fill, (0,) * len(shape), shape)
         elif name != "v2":
             raise ValueError(f"unknown codec '{name}'")
     if order is None:
@@ -148,44 +185,83 @@ def decode(data: bytes, shape: tuple[int, ...], dtype: np.dtype, codecs: list[di
     return np.frombuffer(data, endian).reshape(stored).transpose(np.argsort(order)).astype(dtype, copy=False)
 
 
-def _shard(data: bytes, shape: tuple[int, ...], dtype: np.dtype, conf: dict, fill: Any) -> np.ndarray:
-    inner = tuple(conf["chunk_shape"])
-    grid = tuple(-(-n // c) for n, c in zip(shape, inner))
-    n = int(np.prod(grid))
-    size = 16 * n + 4 * any(c["name"] == "crc32c" for c in conf["index_codecs"])
-    index = data[-size:] if conf.get("index_location", "end") == "end" else data[:size]
-    places = decode(index, (*grid, 2), np.dtype("<u8"), conf["index_codecs"]).reshape(n, 2)
-    out = np.full(shape, fill, dtype)
-    for at, (lo, length) in zip(itertools.product(*map(range, grid)), places.tolist()):
-        if lo != _MISSING:
-            out[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, inner))] = decode(data[lo : lo + length], inner, dtype, conf["codecs"], fill)
+def _grid(n: tuple[int, ...], size: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(-(-x // c) for x, c in zip(n, size))
+
+
+def _places(index: bytes, grid: tuple[int, ...], codecs: list[dict]) -> np.ndarray:
+    return decode(index, (*grid, 2), np.dtype("<u8"), codecs)
+
+
+def _index_span(size: int, grid: tuple[int, ...], conf: dict) -> tuple[int, int]:
+    n = 16 * math.prod(grid) + 4 * any(c["name"] == "crc32c" for c in conf["index_codecs"])
+    return (size - n, size) if conf.get("index_location", "end") == "end" else (0, n)
+
+
+@lru_cache(maxsize=256)
+def _stored_index(place: Place, grid: tuple[int, ...], conf: str) -> np.ndarray:
+    c = json.loads(conf)
+    return _places(place.read(*_index_span(place.size, grid, c)), grid, c["index_codecs"])
+
+
+def _inner(read: Any, places: np.ndarray, shape: tuple[int, ...], dtype: np.dtype, conf: dict, fill: Any, lo: tuple[int, ...], hi: tuple[int, ...]) -> np.ndarray:
+    """Region lo .. hi of a shard; read: bytes by range. Inner chunks outside the region aren't read."""
+    size = tuple(conf["chunk_shape"])
+    out = np.full([b - a for a, b in zip(lo, hi)], fill, dtype)
+    for at in itertools.product(*(range(a // c, -(-b // c)) for a, b, c in zip(lo, hi, size))):
+        start, length = places[at].tolist()
+        if start != _MISSING:
+            x = decode(read(start, start + length), size, dtype, conf["codecs"], fill)
+            _paste(out, x, [k * c for k, c in zip(at, size)], lo, hi)
     return out
 
 
-def chunk(root: str, path: str, m: Meta, at: tuple[int, ...]) -> np.ndarray:
-    """A chunk, cut to the array."""
-    data = get(root, f"{path}/{m.key(at)}".lstrip("/"))
-    full = np.full(m.chunks, m.fill, m.dtype) if data is None else decode(data, m.chunks, m.dtype, m.codecs, m.fill)
-    return full[tuple(slice(0, n - i * c) for i, n, c in zip(at, m.shape, m.chunks))]
+def _paste(out: np.ndarray, x: np.ndarray, origin: Iterable[int], lo: tuple[int, ...], hi: tuple[int, ...]) -> None:
+    """The part of x, which begins at origin, that lies in lo .. hi, into out, which begins at lo."""
+    ends = [(max(o, a), min(o + n, b), o, a) for o, n, a, b in zip(origin, x.shape, lo, hi)]
+    out[tuple(slice(s - a, e - a) for s, e, _, a in ends)] = x[tuple(slice(s - o, e - o) for s, e, o, _ in ends)]
+
+
+def _of_chunk(place: Place, m: Meta, lo: tuple[int, ...], hi: tuple[int, ...]) -> np.ndarray:
+    """Region lo .. hi of a chunk, by ranges where its codecs allow them."""
+    names = [c["name"] for c in m.codecs]
+    if names == ["sharding_indexed"]:
+        conf = m.codecs[0]["configuration"]
+        grid = _grid(m.chunks, tuple(conf["chunk_shape"]))
+        return _inner(place.read, _stored_index(place, grid, json.dumps(conf)), m.chunks, m.dtype, conf, m.fill, lo, hi)
+    if len(lo) and names in (["bytes"], ["v2"]):
+        row = m.dtype.itemsize * math.prod(m.chunks[1:])
+        x = decode(place.read(lo[0] * row, hi[0] * row), (hi[0] - lo[0], *m.chunks[1:]), m.dtype, m.codecs)
+        return x[(slice(None), *(slice(a, b) for a, b in zip(lo[1:], hi[1:])))]
+    x = decode(place.read(), m.chunks, m.dtype, m.codecs, m.fill)
+    return x[tuple(slice(a, b) for a, b in zip(lo, hi))]
+
+
+def read_region(root: str, path: str, lo: Iterable[int] | None = None, hi: Iterable[int] | None = None, m: Meta | None = None) -> np.ndarray:
+    """Elements lo .. hi - 1 of an array in each dimension, cut to the array."""
+    m = m or meta(root, path)
+    lo = tuple(max(0, a) for a in (lo or [0] * len(m.shape)))
+    hi = tuple(max(a, min(b, n)) for a, b, n in zip(lo, m.shape if hi is None else hi, m.shape))
+    out = np.full([b - a for a, b in zip(lo, hi)], m.fill, m.dtype)
+    if out.size == 0:
+        return out
+    for at in itertools.product(*(range(a // c, -(-b // c)) for a, b, c in zip(lo, hi, m.chunks))):
+        place = locate(root, f"{path}/{m.key(at)}".lstrip("/"))
+        if place is not None:
+            origin = [k * c for k, c in zip(at, m.chunks)]
+            first = tuple(max(0, a - o) for a, o in zip(lo, origin))
+            x = _of_chunk(place, m, first, tuple(min(c, b - o) for b, o, c in zip(hi, origin, m.chunks)))
+            _paste(out, x, [o + f for o, f in zip(origin, first)], lo, hi)
+    return out
 
 
 def read_array(root: str, path: str) -> np.ndarray:
-    m = meta(root, path)
-    out = np.full(m.shape, m.fill, m.dtype)
-    for at in itertools.product(*map(range, m.grid)):
-        out[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, m.chunks))] = chunk(root, path, m, at)
-    return out
+    return read_region(root, path)
 
 
-def read_range(root: str, path: str, lo: int, hi: int) -> np.ndarray:
-    """Elements lo .. hi - 1 of a 1-D array: only the chunks they lie in."""
-    m = meta(root, path)
-    lo, hi = max(0, lo), min(hi, m.shape[0])
-    if hi <= lo:
-        return np.zeros(0, m.dtype)
-    size = m.chunks[0]
-    parts = [chunk(root, path, m, (k,)) for k in range(lo // size, -(-hi // size))]
-    return np.concatenate(parts)[lo - lo // size * size :][: hi - lo]
+def read_range(root: str, path: str, lo: int, hi: int, m: Meta | None = None) -> np.ndarray:
+    """Elements lo .. hi - 1 of a 1-D array."""
+    return read_region(root, path, (lo,), (hi,), m)
 
 
 def read_strings(root: str, path: str) -> list[str]:
@@ -194,114 +270,133 @@ def read_strings(root: str, path: str) -> list[str]:
     return [raw[a:b].decode("utf-8") for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
 
 
-def write_array(root: str, path: str, x: np.ndarray, chunks: tuple[int, ...] | None = None, codec: str | None = "zstd", version: int = 3, shard: tuple[int, ...] | None = None) -> None:
-    """Writes an array; shard: the outer chunk shape, a multiple of chunks."""
-    folder = os.path.join(root, path)
-    os.makedirs(folder, exist_ok=True)
-    chunks = tuple(chunks or (max(1, n) for n in x.shape))
-    x = np.ascontiguousarray(x).astype(x.dtype.newbyteorder("<"), copy=False)
-    if version == 2:
-        if codec == "zstd" or shard:
-            raise ValueError("zstd and shards need version 3")
-        m = {"zarr_format": 2, "shape": list(x.shape), "chunks": list(chunks), "dtype": x.dtype.str, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": ".", "compressor": {"id": codec, "level": 5} if codec else None}
-        name = ".zarray"
-    else:
-        inner = [{"name": "bytes", "configuration": {"endian": "little"}}] + ([{"name": codec, "configuration": {"level": 3} | ({"checksum": False} if codec == "zstd" else {})}] if codec else [])
-        outer = [{"name": "sharding_indexed", "configuration": {"chunk_shape": list(chunks), "codecs": inner, "index_codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}], "index_location": "end"}}] if shard else inner
-        m = {"zarr_format": 3, "node_type": "array", "shape": list(x.shape), "data_type": {"b": "bool"}.get(x.dtype.kind, x.dtype.name), "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(shard or chunks)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": 0, "codecs": outer, "attributes": {}}
-        name = "zarr.json"
-    with open(os.path.join(folder, name), "w") as f:
-        json.dump(m, f)
-    info = meta(root, path)
-
-    def encoded(part: np.ndarray, shape: tuple[int, ...]) -> bytes:
-        full = np.zeros(shape, x.dtype)
-        full[tuple(slice(0, n) for n in part.shape)] = part
-        raw = full.tobytes()
-        return {None: lambda: raw, "gzip": lambda: gzip.compress(raw, 5, mtime=0), "zlib": lambda: zlib.compress(raw, 5), "zstd": lambda: _zstd(raw, None, True)}[codec]()
-
-    for at in itertools.product(*map(range, info.grid)):
-        part = x[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, info.chunks))]
-        if shard:
-            blob, places = b"", []
-            for sub in itertools.product(*(range(-(-s // c)) for s, c in zip(shard, chunks))):
-                piece = part[tuple(slice(i * c, (i + 1) * c) for i, c in zip(sub, chunks))]
-                if piece.size == 0:
-                    places.append((_MISSING, _MISSING))
-                    continue
-                one = encoded(piece, chunks)
-                places.append((len(blob), len(one)))
-                blob += one
-            index = np.array(places, "<u8").tobytes()
-            data = blob + index + struct.pack("<I", crc32c(index))
-        else:
-            data = encoded(part, chunks)
-        file = os.path.join(folder, info.key(at))
-        os.makedirs(os.path.dirname(file), exist_ok=True)
-        with open(file, "wb") as f:
-            f.write(data)
-
-
-def write_strings(root: str, path: str, values: list[str], **kwargs: Any) -> None:
-    raw = [v.encode() for v in values]
-    write_array(root, path, np.frombuffer(b"".join(raw), np.uint8), **kwargs)
-    write_array(root, f"{path}_offsets", np.cumsum([0, *map(len, raw)]).astype(np.int64), **kwargs)
-
-
 def spark_type(dtype: np.dtype) -> str:
     """Whole numbers stay whole; those beyond 64 bits with a sign are an error when read."""
     return "boolean" if dtype.kind == "b" else "long" if dtype.kind in "iu" else "double"
 
 
+def _unit(m: Meta) -> tuple[int, ...]:
+    """Shape of what is decoded at a time: an inner chunk of a shard, else a chunk."""
+    sharded = [c["configuration"]["chunk_shape"] for c in m.codecs if c["name"] == "sharding_indexed"]
+    return tuple(sharded[0]) if sharded else m.chunks
+
+
+def _entries(x: np.ndarray, lo: list[int], kind: str, only: list[set[int] | None]) -> Iterator[pa.RecordBatch]:
+    """Positions and values of a region that begins at lo."""
+    n = x.ndim
+    where = np.indices(x.shape).reshape(n, -1) + np.array(lo, np.int64).reshape(n, 1)
+    x = x.ravel()
+    for d, some in enumerate(only):
+        if some is not None:
+            keep = np.isin(where[d], np.fromiter(some, np.int64))
+            where, x = where[:, keep], x[keep]
+    to = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}[kind]
+    for first in range(0, x.size, 1 << 20):
+        cut = slice(first, first + (1 << 20))
+        yield pa.RecordBatch.from_arrays([*(pa.array(w[cut].astype(np.int64)) for w in where), pa.array(x[cut]).cast(to)], names=[*"ijk"[:n], "v"])
+
+
 class ArrayReader(DataSourceReader):
+    """Positions and values under ``i``, ``j`` and ``k``: "lo:hi" (hi excluded) or positions set apart by commas. A partition has
+    chunks of about ``bytes`` of rows."""
+
     def __init__(self, options: dict[str, str]):
         self.root, self.path = options["path"], options.get("array", "")
         self.meta = meta(self.root, self.path)
+        self.least = int(options.get("bytes", 8 << 20))
+        n = len(self.meta.shape)
+        self.lo, self.hi, self.only = [0] * n, list(self.meta.shape), [None] * n
+        for d, k in enumerate("ijk"[:n]):
+            given = options.get(k)
+            if given is not None and ":" in given:
+                lo, hi = given.split(":")
+                self.lo[d], self.hi[d] = max(0, int(lo or 0)), min(self.hi[d], int(hi or self.hi[d]))
+            elif given is not None:
+                self.only[d] = {int(v) for v in given.split(",") if v.strip()}
+
+    def units(self) -> list[range | list[int]]:
+        """In each dimension the units to read."""
+        out = []
+        for a, b, c, only, n in zip(self.lo, self.hi, _unit(self.meta), self.only, self.meta.shape):
+            out.append(sorted({v // c for v in only if 0 <= v < n}) if only is not None else range(a // c, -(-b // c)) if a < b else [])
+        return out
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(at) for at in itertools.product(*map(range, self.meta.grid))]
+        unit = _unit(self.meta)
+        total = math.prod(map(len, self.units()))
+        per = max(1, self.least // max(1, math.prod(unit) * 8 * (len(unit) + 1)))
+        return [InputPartition((lo, min(lo + per, total))) for lo in range(0, total, per)] or [InputPartition((0, 0))]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        at = partition.value
-        x = chunk(self.root, self.path, self.meta, at)
-        n = len(self.meta.shape)
-        where = np.indices(x.shape).reshape(n, -1) + np.array([i * c for i, c in zip(at, self.meta.chunks)]).reshape(n, 1)
-        kind = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}[spark_type(self.meta.dtype)]
-        for lo in range(0, x.size, 1 << 20):
-            cut = slice(lo, lo + (1 << 20))
-            yield pa.RecordBatch.from_arrays([*(pa.array(w[cut].astype(np.int64)) for w in where), pa.array(x.ravel()[cut]).cast(kind)], names=[*"ijk"[:n], "v"])
+        units = self.units()
+        for at in range(*partition.value):
+            place = np.unravel_index(at, [len(u) for u in units]) if units else ()
+            corner = [int(u[k]) * c for u, k, c in zip(units, place, _unit(self.meta))]
+            lo = [max(a, o) for a, o in zip(self.lo, corner)]
+            hi = [min(b, o + c) for b, o, c in zip(self.hi, corner, _unit(self.meta))]
+            yield from _entries(read_region(self.root, self.path, lo, hi, self.meta), lo, spark_type(self.meta.dtype), self.only)
 
 
 class ArraySource(DataSource):
-    """spark.read.format("zarr-array").option("array", path in the store).load(store): positions and values, a partition per chunk."""
+    """spark.read.format("zarr-array").option("array", path in the store).option("j", "500:540").load(store): positions and values."""
 
     @classmethod
     def name(cls) -> str:
         return "zarr-array"
 
     def schema(self) -> str:
-        m = meta(self.options["path"], self.options.get("array", ""))
-        return ", ".join([*(f"{k} long" for k in "ijk"[: len(m.shape)]), f"v {spark_type(m.dtype)}"])
+        return _schema(meta(self.options["path"], self.options.get("array", "")))
 
     def reader(self, schema: Any) -> DataSourceReader:
         return ArrayReader(self.options)
 
 
-def array_frame(spark: SparkSession, root: str, path: str) -> DataFrame:
-    """Positions and values of an array, a task per chunk."""
+def _schema(m: Meta) -> str:
+    return ", ".join([*(f"{k} long" for k in "ijk"[: len(m.shape)]), f"v {spark_type(m.dtype)}"])
+
+
+def array_frame(spark: SparkSession, root: str, path: str, **where: tuple[int | None, int | None] | list[int]) -> DataFrame:
+    """Positions and values of an array. where: by dimension (i, j, k) a range (lo, hi), hi excluded, or a list of
+    positions; only the chunks these touch are read."""
     spark.dataSource.register(ArraySource)
-    return spark.read.format("zarr-array").option("array", path).load(root)
+    reader = spark.read.format("zarr-array").option("array", path)
+    for k, given in where.items():
+        reader = reader.option(k, ":".join("" if v is None else str(v) for v in given) if isinstance(given, tuple) else ",".join(map(str, given)))
+    return reader.load(root)
+
+
+def array_at(wanted: DataFrame, root: str, path: str, key: str = "i") -> DataFrame:
+    """The entries at the positions that ``wanted`` (key) holds, however many: chunks are chosen by its distinct chunk
+    numbers, dealt to tasks, and entries beside the wanted ones are dropped by a join. Positions outside the array have none."""
+    m = meta(root, path)
+    unit, d = _unit(m), "ijk".index(key)
+    n, grid = len(m.shape), _grid(m.shape, unit)
+    touched = wanted.where(F.col(key).between(0, m.shape[d] - 1)).select(F.floor(F.col(key) / unit[d]).cast("long").alias("u0")).distinct()
+    others = [e for e in range(n) if e != d]
+    for k, e in enumerate(others, 1):
+        touched = touched.withColumn(f"u{k}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid[e] - 1).cast("long"))))
+    order = [0 if e == d else 1 + others.index(e) for e in range(n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in zip(*(batch.column(k).to_pylist() for k in order)):
+                lo = [k * c for k, c in zip(at, unit)]
+                yield from _entries(read_region(root, path, lo, [o + c for o, c in zip(lo, unit)], m), lo, spark_type(m.dtype), [None] * n)
+
+    out = touched.repartition(*touched.columns).mapInArrow(run, _schema(m))
+    return out.join(wanted.select(key).distinct(), key, "left_semi").select(*"ijk"[:n], "v")
 
 
 def string_frame(spark: SparkSession, root: str, path: str, block: int = 1 << 16) -> DataFrame:
     """(i, v) of concatenated strings; a task reads the offsets and bytes of ``block`` of them by range."""
-    n = meta(root, f"{path}_offsets").shape[0] - 1
+    offsets, letters = meta(root, f"{path}_offsets"), meta(root, path)
+    n = offsets.shape[0] - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in batch.column("id").to_pylist():
-                off = read_range(root, f"{path}_offsets", lo, min(lo + block, n) + 1).astype(np.int64)
-                raw = read_range(root, path, int(off[0]), int(off[-1])).tobytes() if len(off) else b""
+                off = read_range(root, f"{path}_offsets", lo, min(lo + block, n) + 1, offsets).astype(np.int64)
+                raw = read_range(root, path, int(off[0]), int(off[-1]), letters).tobytes() if len(off) else b""
                 values = [raw[x:y].decode("utf-8") for x, y in zip((off[:-1] - off[0]).tolist(), (off[1:] - off[0]).tolist())] if len(off) else []
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(values))), pa.array(values, pa.string())], names=["i", "v"])
 
@@ -311,13 +406,17 @@ def string_frame(spark: SparkSession, root: str, path: str, block: int = 1 << 16
 def sparse_frame(spark: SparkSession, root: str, path: str, by_column: bool, block: int = 1 << 20) -> DataFrame:
     """(i, j, v) of compressed sparse arrays data, indices, indptr. Tasks read the pointers by range and cut the entries
     into runs of at most ``block``, which other tasks read by range, so neither a long row nor many rows meet in one."""
-    n = meta(root, f"{path}/indptr").shape[0] - 1
+    m = {k: meta(root, f"{path}/{k}") for k in ("indptr", "indices", "data")}
+    n = m["indptr"].shape[0] - 1
     many = 1 << 16
 
+    def part(k: str, lo: int, hi: int) -> np.ndarray:
+        return read_range(root, f"{path}/{k}", lo, hi, m[k])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in batch.column("id").to_pylist():
-                ptr = read_range(root, f"{path}/indptr", lo, min(lo + many, n) + 1).astype(np.int64)
+                ptr = part("indptr", lo, min(lo + many, n) + 1).astype(np.int64)
                 a = np.arange(ptr[0], ptr[-1], block)
                 b = np.minimum(a + block, ptr[-1])
                 first, stop = np.searchsorted(ptr, a, side="right") - 1, np.searchsorted(ptr, b, side="left")
@@ -326,11 +425,11 @@ def sparse_frame(spark: SparkSession, root: str, path: str, by_column: bool, blo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, first, stop in zip(*(c.to_pylist() for c in batch.columns)):
-                ptr = read_range(root, f"{path}/indptr", first, stop + 1).astype(np.int64)
-                inner = read_range(root, f"{path}/indices", a, b).astype(np.int64)
+                ptr = part("indptr", first, stop + 1).astype(np.int64)
+                inner = part("indices", a, b).astype(np.int64)
                 outer = first + np.searchsorted(ptr, np.arange(a, b), side="right") - 1
                 i, j = (inner, outer) if by_column else (outer, inner)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j.astype(np.int64)), pa.array(read_range(root, f"{path}/data", a, b).astype(np.float64))], names=["i", "j", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j.astype(np.int64)), pa.array(part("data", a, b).astype(np.float64))], names=["i", "j", "v"])
 
     starts = spark.range(0, max(n, 0), many, max(1, -(-n // many)))
     cuts = starts.mapInArrow(cut, "a long, b long, first long, stop long").repartition("a")
