@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 ROLES = ("measure", "embedding", "loading", "relation", "label", "sequence", "design", "transform", "vector", "probability", "coordinate", "factor")
 STATES = ("raw", "lognorm", "scaled", "clr", "permutation")
 KEYS = ("i", "j", "k")
+# A label with more categories than both this share of its rows and this number induces no axis.
+ID_SHARE, ID_LEAST = 0.5, 100
 
 
 @dataclass
@@ -109,8 +111,8 @@ class Dataset:
         self.fields[name] = f
         if induce and f.categories is not None and len(span) == 1:
             n, k = self.axes[span[0]].length, len(f.categories)
-            # Near-unique categories are identifiers, not a grouping. A clash of names is left to validation.
-            if not (k > 0.5 * n and k > 100) and (name not in self.axes or self._same_labels(name, f.categories)):
+            # Categories for more than half of the rows, and many of them, name rows rather than group them. A clash of names is left to validation.
+            if not (k > ID_SHARE * n and k > ID_LEAST) and (name not in self.axes or self._same_labels(name, f.categories)):
                 self.induce(name)
         return f
 
@@ -126,6 +128,7 @@ class Dataset:
         if field in self.axes:
             if not self._same_labels(field, f.categories):
                 raise ValueError(f"axis '{field}' exists with other labels")
+            self.axes[field].induced_by = self.axes[field].induced_by or field
             return self.axes[field]
         return self.add_axis(field, list(f.categories), origin="derived", role="factor", induced_by=field)
 

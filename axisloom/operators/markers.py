@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .measure import view
@@ -10,15 +10,19 @@ from .measure import view
 
 def markers(stats: DataFrame, sizes: DataFrame, n: int | None = None) -> DataFrame:
     """One group against the rest: (g, j, lfc, padj). stats: (g, j, sum, n_expr) on the full grid; n: all rows, ungrouped ones too."""
-    s = stats.join(sizes.withColumnRenamed("n", "n_g"), "g")
-    rows = F.lit(n).cast("double") if n is not None else F.lit(None)
+    s = stats.join(sizes, "g")
     if n is None:
         s = s.crossJoin(F.broadcast(sizes.agg(F.sum("n").cast("double").alias("_all"))))
-        rows = F.col("_all")
-    everything = F.sum("sum").over(Window.partitionBy("j"))
-    lfc = F.col("sum") / F.greatest(F.col("n_g"), F.lit(1)) - (everything - F.col("sum")) / F.greatest(rows - F.col("n_g"), F.lit(1.0))
+    return one_against_rest(s, F.col("_all") if n is None else n, ["j"]).select("g", "j", "lfc", "padj")
+
+
+def one_against_rest(s: DataFrame, rows: int | Column, column: list[str]) -> DataFrame:
+    """s, (sum, n_expr, n: rows of the group) by group and column, with lfc and padj; column: the keys within which groups make up the whole."""
+    rows = F.lit(rows).cast("double") if isinstance(rows, int) else rows
+    everything = F.sum("sum").over(Window.partitionBy(*column))
+    lfc = F.col("sum") / F.greatest("n", F.lit(1)) - (everything - F.col("sum")) / F.greatest(rows - F.col("n"), F.lit(1.0))
     padj = F.least(F.lit(1.0), F.greatest(F.lit(1e-12), F.exp(-F.abs(F.col("lfc") * F.sqrt(F.col("n_expr") + 1)))))
-    return s.withColumn("lfc", lfc).select("g", "j", "lfc", padj.alias("padj"))
+    return s.withColumn("lfc", lfc).withColumn("padj", padj)
 
 
 def top_markers(table: DataFrame, stat: str = "lfc", top: int = 10, ascending: bool = False) -> DataFrame:

@@ -29,8 +29,13 @@ def col_stats(m: DataFrame, n: int | Column, columns: DataFrame | None = None, l
     Moments of the entries are merged with those of the n - nnz zeros, which avoids the cancellation of
     sums of squares and needs only one partial aggregate.
     """
-    n = F.lit(n).cast("double") if isinstance(n, int) else n.cast("double")
     g = _viewed(m, depth, scale, lognorm).groupBy("j").agg(F.count("x").alias("nnz"), F.avg("x").alias("a"), F.var_pop("x").alias("p"))
+    return with_zeros(g, n, columns, population)
+
+
+def with_zeros(g: DataFrame, n: int | Column, columns: DataFrame | None = None, population: bool = False) -> DataFrame:
+    """(j, nnz, a, p), count, mean and population variance of the entries, as moments over n rows."""
+    n = F.lit(n).cast("double") if isinstance(n, int) else n.cast("double")
     if columns is not None:
         g = columns.select("j").join(g, "j", "left")
     c, a, p = F.coalesce("nnz", F.lit(0)).cast("double"), F.coalesce("a", F.lit(0.0)), F.coalesce("p", F.lit(0.0))
@@ -39,6 +44,16 @@ def col_stats(m: DataFrame, n: int | Column, columns: DataFrame | None = None, l
     return g.select("j", (a * c / n).alias("mean"), F.when(below > 0, spread / below).otherwise(F.lit(0.0)).alias("var"), F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"))
 
 
+def all_group_stats(m: DataFrame, groups: DataFrame, lognorm: bool = False, depth: DataFrame | None = None, scale: float = 1e4) -> DataFrame:
+    """(of, g, j, sum, sumsq, n_expr, p) for any number of groupings in one pass; groups: (of, i, g), null groups are left out.
+    All rows together are the group 0 of the grouping ''. p: population variance of the entries."""
+    own = groups.where("g is not null").groupBy("i").agg(F.collect_list(F.struct("of", "g")).alias("own"))  # one a grouping
+    kind = groups.schema["g"].dataType.simpleString()
+    every = F.array(F.struct(F.lit("").alias("of"), F.lit(0).cast(kind).alias("g")))
+    x = _viewed(m, depth, scale, lognorm).join(own, "i", "left").select("j", "x", F.explode(F.when(F.col("own").isNull(), every).otherwise(F.concat(every, "own"))).alias("e"))
+    return x.groupBy(F.col("e.of").alias("of"), F.col("e.g").alias("g"), "j").agg(F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("sumsq"), F.count("x").alias("n_expr"), F.var_pop("x").alias("p"))
+
+
 def group_stats(m: DataFrame, groups: DataFrame, lognorm: bool = False, depth: DataFrame | None = None, scale: float = 1e4, columns: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
     """(g, j, sum, sumsq, n_expr); groups: (i, g), null groups are left out. With columns and levels the full grid, empty cells 0."""
     x = _viewed(m, depth, scale, lognorm)

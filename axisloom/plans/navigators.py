@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Dataset, Field
+from ..model import Dataset, Field, as_categorical
 from ..operators import dispersion, markers, order, stats
 from ..operators.validate import NAVIGATOR_PROFILE
+from ..sources.shared import saved
 
 # Fixed values of the policy.
 PREFERRED_GROUPINGS = ("leiden", "cluster", "clusters", "cell_type", "celltype", "cell_types", "louvain", "seurat_clusters", "annotation", "cluster_label")
@@ -29,23 +32,50 @@ def counts_basis(ds: Dataset, name: str | None = None) -> Field:
     raise ValueError("no raw or log-normalised measure to start from")
 
 
+def _preference(name: str, preferred: tuple[str, ...]) -> int:
+    """Place of the first preferred word that the name has in it, in any case; last without one."""
+    return next((i for i, p in enumerate(preferred) if p in name.lower()), len(preferred))
+
+
 def groupings(ds: Dataset, axis: str) -> list[str]:
-    """Label fields over the row axis with 2 to 60 levels that occur, preferred names first."""
+    """Label fields over the row axis with 2 to 60 levels that occur, preferred words in their names first, then by name."""
     found = []
     for f in ds.fields_over(axis, "label"):
         if f.span == (axis,) and f.name != "active_ident":
             n = f.df.where("v is not null").agg(F.count_distinct("v")).first()[0]
             if MIN_GROUPS <= n <= MAX_GROUPS:
                 found.append(f.name)
-    rank = {n: i for i, n in enumerate(PREFERRED_GROUPINGS)}
-    return sorted(found, key=lambda n: rank.get(n.lower(), len(rank)))
+    return sorted(found, key=lambda n: (_preference(n, PREFERRED_GROUPINGS), n))
 
 
 def embedding(ds: Dataset, axis: str) -> str | None:
-    """An embedding over the row axis of two or more dimensions; preferred names first."""
+    """An embedding over the row axis of two or more dimensions, chosen as groupings are."""
     found = [f.name for f in ds.fields_over(axis, "embedding") if f.span[0] == axis and (len(f.span) < 2 or ds.axes[f.span[1]].length >= 2)]
-    best = [n for n in found if any(p in n.lower() for p in PREFERRED_EMBEDDINGS)]
-    return (best or found or [None])[0]
+    return min(found, key=lambda n: (_preference(n, PREFERRED_EMBEDDINGS), n), default=None)
+
+
+def _coded(ds: Dataset, name: str) -> DataFrame:
+    """(i, g): a grouping by the codes of its factor axis, which is made if there is none; null without a group."""
+    f = ds.fields[name]
+    labels = f.df.select("i", F.col("v").alias("g"))
+    if f.categories is not None:
+        if name not in ds.axes:
+            ds.induce(name)
+        return labels.select("i", F.when(F.col("g") >= 0, F.col("g")).cast("int").alias("g"))
+    coded, levels = as_categorical(f.df)
+    if name not in ds.axes:
+        ds.add_axis(name, list(levels), origin="derived", role="factor")
+    return coded.select("i", F.col("v").cast("int").alias("g"))
+
+
+def _statistics(m: DataFrame, groups: DataFrame, levels: DataFrame, columns: DataFrame, n: int, lognorm: bool) -> tuple[DataFrame, DataFrame]:
+    """The sums by grouping, group and column, and from these the whole grid with its markers: each computed once and saved, whatever
+    the number of groupings. levels: (of, g)."""
+    s = saved(stats.all_group_stats(m, groups, lognorm), "sums")
+    sizes = levels.join(groups.where("g is not null").groupBy("of", "g").agg(F.count(F.lit(1)).alias("n")), ["of", "g"], "left").select("of", "g", F.coalesce("n", F.lit(0)).alias("n"))
+    grid = columns.crossJoin(sizes).join(s.drop("p"), ["of", "g", "j"], "left")  # a row for each cell, as the fields are dense
+    grid = grid.select("of", "g", "j", "n", *(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in (("sum", "double"), ("sumsq", "double"), ("n_expr", "long"))))
+    return s, saved(markers.one_against_rest(grid, n, ["of", "j"]), "grid")
 
 
 def extend(ds: Dataset, basis: str | None = None, groups: list[str] | None = None) -> Dataset:
@@ -59,29 +89,19 @@ def extend(ds: Dataset, basis: str | None = None, groups: list[str] | None = Non
     chosen = groups if groups is not None else groupings(ds, rows)
     if not chosen:
         raise ValueError("no grouping has between 2 and 60 levels")
+    groups, levels = [], []
     for g in chosen:
-        own = ds.fields[g]
-        labels = own.df.select("i", F.col("v").alias("g"))
-        if own.categories is None:
-            from ..model import as_categorical
-
-            coded, levels = as_categorical(own.df)
-            labels = coded.select("i", F.col("v").alias("g"))
-            if g not in ds.axes:
-                ds.add_axis(g, list(levels), origin="derived", role="factor")
-        else:
-            labels = labels.withColumn("g", F.when(F.col("g") >= 0, F.col("g")))
-            if g not in ds.axes:
-                ds.induce(g)
-        level = ds.axes[g].df.select(F.col("pos").cast("int").alias("g"))
-        s = stats.group_stats(f.df, labels, lognorm=lognorm, columns=axis_cols, levels=level)
-        sizes = stats.group_sizes(labels, level)
+        groups.append(_coded(ds, g).select(F.lit(g).alias("of"), "i", "g"))
+        levels.append(ds.axes[g].df.select(F.lit(g).alias("of"), F.col("pos").cast("int").alias("g")))
+    s, grid = _statistics(f.df, reduce(DataFrame.unionAll, groups), reduce(DataFrame.unionAll, levels), axis_cols, n, lognorm)
+    for g in chosen:
+        own = grid.where(F.col("of") == g)
         for part, column in (("sum", "sum"), ("sumsq", "sumsq"), ("nexpr", "n_expr")):
-            ds.add_field(f"stats_{g}_{part}", s.select(F.col("g").cast("long").alias("i"), "j", F.col(column).alias("v")), span=(g, cols), role="measure", state="raw", encoding="dense", **tag)
-        mk = markers.markers(s, sizes, n)
+            ds.add_field(f"stats_{g}_{part}", own.select(F.col("g").cast("long").alias("i"), "j", F.col(column).alias("v")), span=(g, cols), role="measure", state="raw", encoding="dense", **tag)
         for part in ("lfc", "padj"):
-            ds.add_field(f"markers_{g}_{part}", mk.select(F.col("j").alias("i"), F.col("g").cast("long").alias("j"), F.col(part).alias("v")), span=(cols, g), role="measure", state="scaled", encoding="dense", subtype="de", **tag)
-    cs = stats.col_stats(f.df, n, axis_cols, lognorm=lognorm, population=True)
+            ds.add_field(f"markers_{g}_{part}", own.select(F.col("j").alias("i"), F.col("g").cast("long").alias("j"), F.col(part).alias("v")), span=(cols, g), role="measure", state="scaled", encoding="dense", subtype="de", **tag)
+    all_rows = s.where("of = ''").select("j", F.col("n_expr").alias("nnz"), F.try_divide("sum", "n_expr").alias("a"), "p")
+    cs = stats.with_zeros(all_rows, n, axis_cols, population=True)
     ds.add_field("od_score", dispersion.overdispersion(cs).select(F.col("j").alias("i"), F.col("od_score").alias("v")), span=(cols,), role="measure", state="scaled", encoding="dense", **tag)
     first = ds.fields[chosen[0]]
     labels = first.df.select("i", F.col("v").alias("g"))
@@ -106,6 +126,20 @@ def drop_cache(ds: Dataset) -> Dataset:
     return ds
 
 
+def de_field_name(factor: str, stat: str) -> str:
+    return f"de.{factor}.{stat}"
+
+
+def de_factors(ds: Dataset) -> list[str]:
+    """Factors with differential results, in the order of their fields."""
+    return list(dict.fromkeys(f.provenance["de_factor"] for f in ds.fields.values() if f.subtype == "de" and f.provenance.get("de_factor")))
+
+
+def de_bundle(ds: Dataset, factor: str) -> dict[str, Field]:
+    """statistic -> field of a factor's differential results."""
+    return {f.provenance["de_stat"]: f for f in ds.fields.values() if f.subtype == "de" and f.provenance.get("de_factor") == factor and f.provenance.get("de_stat")}
+
+
 def de_fields(ds: Dataset) -> DataFrame:
     """The registry of differential results: fields of subtype 'de' with their factor."""
     return ds.manifest().where("subtype = 'de'").select("field", F.element_at("span", -1).alias("factor"))

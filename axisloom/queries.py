@@ -12,6 +12,7 @@ from .functions import scalar
 from .operators import access, collection, dispersion, markers, measure, order, stats, validate
 from .model import Dataset, as_categorical, state_columns
 from .plans import navigators
+from .sources import promote
 from .streaming import additive
 
 SQL_M = "m as (select o_custkey as i, l_partkey as j, sum(l_quantity) as v from lineitem join orders on l_orderkey = o_orderkey group by 1, 2 having sum(l_quantity) <> 0)"
@@ -360,6 +361,47 @@ def navigators_built(spark, sf):
     return out
 
 
+def navigators_two_groupings(spark, sf):
+    """(field, i, j, v): statistics and markers by segment and by nation, from one pass over the measure."""
+    ds, out = _dataset(spark, sf), None
+    coded, levels = as_categorical(_t(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("v")))
+    ds.add_field("nation", coded, span=("cells",), categories=levels, role="label")
+    navigators.extend(ds)
+    for name in [f"{x}_{g}_{y}" for g in ("segment", "nation") for x, y in (("stats", "sum"), ("stats", "nexpr"), ("markers", "lfc"))]:
+        one = ds.fields[name].df.select(F.lit(name).alias("field"), "i", "j", F.round(F.col("v").cast("double"), 5).alias("v"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def props_promoted(spark, sf):
+    """(event_id, k, rest): the scalar keys of every event's documents as columns, and what is left of each."""
+    docs = _t(spark, sf, "events").select("event_id", promote.as_variant(F.col("props")).alias("props"))
+    out = promote.promoted_columns(docs, "props")
+    return out.withColumn("rest", F.to_json("rest"))
+
+
+def tail_promoted(spark, sf):
+    """(field, i, j, v): typed fields from documents of a segment's twenty most bought parts and a palette, bound to their axes, and the
+    keys left in the tail (as fields of no position)."""
+    ds = Dataset(spark)
+    ds.add_axis("genes", _t(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("part "), "p_partkey").alias("label")))
+    ds.add_axis("segment", list(as_categorical(_g(spark, sf).withColumnRenamed("g", "v"))[1]), role="factor")
+    s = stats.group_stats(_m(spark, sf), _g(spark, sf))
+    top = markers.top_markers(s, "sum", 20)
+    records = top.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("part "), "j").alias("name"), F.col("sum").cast("double").alias("score")))).alias("e"))
+    lists = [F.map_from_entries(F.collect_list(F.struct("g", F.col(f"e.{c}")))).alias(k) for k, c in (("names", "name"), ("scores", "score"))]
+    records = records.agg(F.struct(F.struct(F.lit("segment").alias("groupby")).alias("params"), *lists).alias("d")).select(F.lit("rank_genes_groups").alias("key"), F.to_variant_object("d").alias("doc"))
+    palette = ds.axes["segment"].df.agg(F.transform(F.array_sort(F.collect_list("label")), lambda x: F.concat(F.lit("#"), F.substring(F.md5(x), 1, 6))).alias("d"))
+    tail = records.unionByName(palette.select(F.lit("segment_colors").alias("key"), F.to_variant_object("d").alias("doc")))
+    tail = tail.unionByName(spark.range(1).select(F.lit("note").alias("key"), F.parse_json(F.lit('{"a": 1}')).alias("doc")))
+    left = promote.promote(ds, tail)
+    out = left.select(F.concat(F.lit("tail "), "key").alias("field"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.to_json("doc").alias("v"))
+    for name, f in ds.fields.items():
+        j = F.col("j") if "j" in f.df.columns else F.lit(None).cast("long").alias("j")
+        out = out.unionByName(f.df.select(F.lit(name).alias("field"), "i", j, (F.col("v").cast("long").cast("string") if "j" in f.df.columns else F.col("v")).alias("v")))
+    return out
+
+
 def validate_rules(spark, sf):
     """What validation finds in a dataset with faults of each kind of content."""
     ds = _dataset(spark, sf)
@@ -454,6 +496,17 @@ o as (select i, row_number() over (order by k, i) - 1 as p from g join c using (
 select 'stats_segment_sum' as field, k as i, j, round(s, 5) as v from f union all select 'stats_segment_sumsq', k, j, round(q, 5) from f union all select 'stats_segment_nexpr', k, j, e::double from f
 union all select 'markers_segment_lfc', j, k, round(lfc, 5) from l union all select 'markers_segment_padj', j, k, round(least(1.0, greatest(1e-12, exp(-abs(lfc * sqrt(e + 1))))), 5) from l
 union all select 'counts_cellmajor_order', i, null, p::double from o union all select 'counts_cellmajor', p, j, round(v, 5) from m join o using (i)""",
+    "navigators_two_groupings": f"""{_W}, {SQL_N}, y as (select c_custkey as i, 'segment' as o, c_mktsegment as g from customer union all select c_custkey, 'nation', lpad(c_nationkey::varchar, 2, '0') from customer),
+c as (select o, g, row_number() over (partition by o order by g) - 1 as k from (select distinct o, g from y)), z as (select o, k, count(*)::double as n_g from y join c using (o, g) group by 1, 2),
+s as (select o, k, j, sum(ln(1 + v)) as s, count(*) as e from m join y using (i) join c using (o, g) group by 1, 2, 3),
+f as (select o, z.k, p_partkey as j, n_g, coalesce(s, 0) as s, coalesce(e, 0) as e, n from z cross join part cross join n left join s using (o, k) where coalesce(s.j, p_partkey) = p_partkey
+  union all select z.o, z.k, p_partkey, n_g, 0, 0, n from z cross join part cross join n where exists (select 1 from s where s.o = z.o and s.k = z.k) and not exists (select 1 from s where s.o = z.o and s.k = z.k and s.j = p_partkey))
+select 'stats_' || o || '_sum' as field, k as i, j, round(s, 5) as v from f union all select 'stats_' || o || '_nexpr', k, j, e::double from f
+union all select 'markers_' || o || '_lfc', j, k, round(s / greatest(n_g, 1) - (sum(s) over (partition by o, j) - s) / greatest(n - n_g, 1), 5) from f""",
+    "props_promoted": "select event_id, (props ->> '$.k')::bigint as k, null::varchar as rest from events",
+    "tail_promoted": f"""{_W}, {SQL_G}, c as (select g, row_number() over (order by g) - 1 as k from (select distinct g from g)), s as (select g, j, sum(v) as s from m join g using (i) group by 1, 2),
+t as (select k, j, s, row_number() over (partition by g order by s desc, j) as r from s join c using (g))
+select 'de.segment.score' as field, k as i, j, s::bigint::varchar as v from t where r <= 20 union all select 'segment_colors', k, null, '#' || md5(g)[1:6] from c union all select 'tail note', null, null, '{{"a":1}}'""",
     "validate_rules": f"""{_W}, {SQL_G}, c as (select g, row_number() over (order by g) - 1 as k from (select distinct g from g)), t as (
 select 'far' as field, 'position' as rule, 'ERROR' as severity, count(*) as n from m where j + 10 >= (select count(*) from part)
 union all select 'fewer', 'length', 'ERROR', (select count(*) from customer) - count(*) from g where g = 'BUILDING'
@@ -475,7 +528,7 @@ QUERIES = {
     + (gene_column, cell_row, gene_range, row_block, gene_gather_with_duplicates, cell_gather, gene_expression_zero_filled, gene_expression_max, crossfilter_cat_range)
     + (partial_coverage_left, partial_coverage_inner, nullable_mask, factor_axis_induce, utf8_first_seen_codes, collection_union_axis, collection_pseudobulk, collection_flatten, collection_sizes)
     + (set_union, set_intersect, set_except, state_inference, stride_sample, window_sample, capped_groups, dense_posexplode, embedding_extent, cell_order_cluster_only, cell_order_hilbert)
-    + (grid_cells, row_reorder, transposed, flat_positions, validate_issues, validate_rules, navigators_built, scalar_to_rgba, overdispersion, overdispersion_inputs, overdispersion_trend, graph_degree, passthrough_json, additive_stats, uniqueness)
+    + (grid_cells, row_reorder, transposed, flat_positions, validate_issues, validate_rules, navigators_built, navigators_two_groupings, props_promoted, tail_promoted, scalar_to_rgba, overdispersion, overdispersion_inputs, overdispersion_trend, graph_degree, passthrough_json, additive_stats, uniqueness)
 } | {
     "col_stats_raw": _col_stats(),
     "col_stats_lognorm": _col_stats(lognorm=True),
