@@ -116,6 +116,14 @@ class Dataset:
                 self.induce(name)
         return f
 
+    def add_labels(self, name: str, df: DataFrame, span: str, **meta: Any) -> Field:
+        """A label (i, v) as codes of a factor axis of its own, which is its dictionary: for any number of labels, none on the driver."""
+        from .operators.access import encoded
+
+        codes, levels = encoded(df)
+        self.add_axis(name, levels, origin="derived", role="factor", induced_by=name)
+        return self.add_field(name, codes, span=(span,), role="label", encoding="categorical", induce=False, **meta)
+
     def _same_labels(self, axis: str, labels: tuple[str, ...]) -> bool:
         a = self.axes[axis]
         return a.length == len(labels) and [r[0] for r in a.df.orderBy("pos").select("label").collect()] == list(labels)

@@ -85,14 +85,22 @@ class Crossfilter:
 def first_seen_codes(labels: DataFrame) -> DataFrame:
     """(i, v) -> (i, code): labels numbered in the order of their first position; missing ones -1."""
     first = labels.where("v is not null").groupBy("v").agg(F.min("i").alias("first"))
-    codes = numbered(first, ["first"], "code", (F.floor(F.col("first") / 4096),)).select("v", F.col("code").cast("int").alias("code"))
+    codes = numbered(first, ["first"], "code").select("v", F.col("code").cast("int").alias("code"))
     return labels.join(codes, "v", "left").select("i", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
 def factor_levels(labels: DataFrame) -> DataFrame:
     """(pos, label): distinct labels in code-point order."""
     levels = labels.where("v is not null").select(F.col("v").cast("string").alias("label")).distinct()
-    return numbered(levels, ["label"], "pos", (F.substring("label", 1, 3),)).select("pos", "label")
+    return numbered(levels, ["label"], "pos").select("pos", "label")
+
+
+def encoded(labels: DataFrame, levels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(i, v) -> (i, v: code) and the dictionary (pos, label) as a frame: the distinct labels in code-point order unless given.
+    Null and unlisted labels have a null code. Nothing of it reaches the driver, however many labels there are."""
+    levels = factor_levels(labels) if levels is None else levels
+    table = levels.select(F.col("label").alias("_c"), F.col("pos").alias("_at"))
+    return labels.select("i", F.col("v").cast("string").alias("_c")).join(table, "_c", "left").select("i", F.col("_at").alias("v")), levels
 
 
 def stride_sample(rows: DataFrame, stride: int, offset: int = 0, pos: str = "pos") -> DataFrame:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import Dataset, Field
 from .order import numbered
 
 
@@ -23,7 +24,7 @@ def stacked(frames: dict[str, DataFrame]) -> DataFrame:
 def union_axis(axes: DataFrame) -> DataFrame:
     """(sample_ord, pos, label) -> (pos, label): the union of labels in the order they are first seen."""
     first = axes.groupBy("label").agg(F.min(F.struct("sample_ord", "pos")).alias("at"))
-    return numbered(first.select("label", "at.sample_ord", "at.pos"), ["sample_ord", "pos"], "new", bucket=(F.col("sample_ord"), F.floor(F.col("pos") / 4096))).select(F.col("new").alias("pos"), "label")
+    return numbered(first.select("label", "at.sample_ord", "at.pos"), ["sample_ord", "pos"], "new").select(F.col("new").alias("pos"), "label")
 
 
 def union_rows(axes: DataFrame, prefix: bool = True) -> DataFrame:
@@ -94,6 +95,28 @@ def subset_of(a: DataFrame, b: DataFrame) -> bool:
     return except_labels(a, b).isEmpty()
 
 
+def place(ds: Dataset, name: str, rows: DataFrame, shared: str = "cells") -> tuple[str, str, DataFrame]:
+    """(axis, coverage, positions) of a modality's rows (pos, label): the shared axis in full, if its labels and their places are the
+    same; in part, if all are among its labels; else an axis of the modality's own. positions: (i, at), where each row lies on the axis.
+    One outer join counts what decides."""
+    axis = ds.axes[shared]
+    at = rows.select(F.col("pos").alias("i"), "label").join(axis.df.select(F.col("pos").alias("at"), "label"), "label", "left").select("i", "at")
+    n, known, same = at.agg(F.count(F.lit(1)), F.count("at"), F.count_if(F.col("i") == F.col("at"))).first()
+    if known == n:
+        return shared, "full" if same == n == axis.length else "partial", at
+    own = next(a for a in (f"{shared}.{name}", *(f"{shared}.{name}.{k}" for k in range(2, len(ds.axes) + 3))) if a not in ds.axes)
+    ds.add_axis(own, rows, length=n)
+    return own, "full", rows.select(F.col("pos").alias("i"), F.col("pos").alias("at"))
+
+
+def add_modality(ds: Dataset, name: str, m: DataFrame, rows: DataFrame, columns: DataFrame, shared: str = "cells", **meta) -> Field:
+    """A modality's measure (i, j, v) over the shared rows, all or some of them, or over rows of its own; its columns are an axis of its own."""
+    axis, coverage, at = place(ds, name, rows, shared)
+    ds.add_axis(f"{name}_features", columns, role="feature")
+    index = {"coverage": coverage, "index_axis": axis if coverage == "partial" else None}
+    return ds.add_field(name, m.join(at, "i").select(F.col("at").alias("i"), "j", "v"), span=(axis, f"{name}_features"), role="measure", encoding="coo", **index, **meta)
+
+
 def degree(edges: DataFrame, weight: Column | None = None) -> DataFrame:
     """(src, degree, weight) of a relation (src, dst, weight)."""
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"), F.sum(weight if weight is not None else F.col("weight")).alias("weight"))

@@ -2,7 +2,7 @@
 
 The trend is a local linear fit at ``ANCHORS`` values of the log mean, evenly spaced over its range, and
 straight lines between them. Each fit sees the columns next in rank to its anchor, with tricube weights. Ranks come from
-counts by bucket, the sums of a fit are partial aggregates of all columns in its window, and only the anchors reach the driver.
+a range exchange, the sums of a fit are partial aggregates of all columns in its window, and only the anchors reach the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import log_beta_inc
+from ..sources.shared import saved
 from .order import numbered
 
 #: Anchors of the trend, the share of columns that a fit sees, and the columns that a trend needs.
@@ -33,12 +34,12 @@ def points(stats: DataFrame) -> DataFrame:
 
 def trend(found: DataFrame, anchors: int = ANCHORS, span: float = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """(x, fit) of the anchors over points (j, x, y); none for fewer than LEAST points."""
-    n, low, high, cuts = found.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.percentile_approx("x", [k / 256 for k in range(1, 256)])).first()
+    n, low, high = found.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
     if n < LEAST:
         return np.zeros(0), np.zeros(0)
     at = low + (high - low) * np.arange(anchors) / (anchors - 1)
     above = lambda values, x: F.size(F.filter(F.array(*[F.lit(float(v)) for v in values]), lambda v: v <= x))
-    ranked = numbered(found.select("j", "x", "y"), ["x", "j"], "rank", (above(sorted(set(cuts)), F.col("x")),))
+    ranked = numbered(found.select("j", "x", "y"), ["x", "j"], "rank")
     counts = {r[0]: r[1] for r in found.groupBy(above(at, F.col("x")).alias("a")).agg(F.count(F.lit(1))).collect()}
     below = np.cumsum([counts.get(a, 0) for a in range(anchors)])  # points under each anchor
     width = max(2, int(span * n))
@@ -74,7 +75,7 @@ def scores(x: np.ndarray, y: np.ndarray, nnz: np.ndarray, at: np.ndarray, fit: n
 def overdispersion(stats: DataFrame) -> DataFrame:
     """stats: (j, mean, var, nnz), a row per column, var over the population. (j, od_score): 0 for columns
     with fewer than 3 entries or no spread, and for all if there are fewer than LEAST others."""
-    stats = stats.select("j", "mean", "var", "nnz").persist()  # read by each pass of the trend; a row per column
+    stats = saved(stats.select("j", "mean", "var", "nnz"), "columns")  # read by each pass of the trend; a row per column
     at, fit = trend(points(stats))
     if not len(at):
         return stats.select("j", F.lit(0.0).alias("od_score"))

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import grid_cell, hilbert
+from ..sources.shared import saved
 
 
-def numbered(df: DataFrame, order: list[str], name: str, bucket: tuple[Column, ...]) -> DataFrame:
-    """Adds the dense position under ``order``. bucket: columns that rise with the order; rows are numbered
-    within a bucket, and sums over the small table of buckets shift them, so no task sorts everything."""
-    keys = [f"_b{i}" for i in range(len(bucket))]
-    df = df.withColumns(dict(zip(keys, bucket)))
-    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*[F.col(k).alias(f"{k}_") for k in keys], before.alias("_before"))
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"{k}_"))
-        on = same if on is None else on & same
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order]))
-    return df.withColumn("_nth", nth).join(sums, on).withColumn(name, (F.col("_before") + F.col("_nth") - 1).cast("long")).drop(*keys, *(f"{k}_" for k in keys), "_nth", "_before")
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the dense position under ``order``, nulls last; of rows that are equal in all of it either may come first.
+
+    A range exchange by sampled splitters sorts, counts of its partitions shift the numbers within each. What is sorted is saved
+    first, so that both see the same partitions. Partitions are as even as the order is fine: end it with a unique column.
+    """
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    a = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    a = saved(a.withColumns({"_part": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()}), "ordered")
+    runs = a.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_nth").alias("_first"))  # a row for each partition
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    runs = runs.select("_part", "_first", before.alias("_before"))
+    return a.join(runs, "_part").withColumn(name, F.col("_nth") - F.col("_first") + F.col("_before")).drop("_part", "_nth", "_first", "_before")
 
 
 def hilbert_index(points: DataFrame, grid: int = 1024) -> DataFrame:
@@ -34,12 +34,12 @@ def hilbert_index(points: DataFrame, grid: int = 1024) -> DataFrame:
 def cell_order(points: DataFrame, groups: DataFrame, grid: int = 1024) -> DataFrame:
     """(i, new_pos): rows of a group together (no group last), neighbours on the curve near each other."""
     p = hilbert_index(points, grid).join(groups.select("i", "g"), "i", "left").select("i", "g", "h")
-    return numbered(p, ["g", "h", "i"], "new_pos", (F.col("g"), F.floor(F.col("h") / max(1, grid * grid // 1024)))).select("i", "new_pos")
+    return numbered(p, ["g", "h", "i"], "new_pos").select("i", "new_pos")
 
 
 def group_order(groups: DataFrame) -> DataFrame:
     """(i, new_pos) by group code and row alone."""
-    return numbered(groups.select("i", "g"), ["g", "i"], "new_pos", (F.col("g"), F.floor(F.col("i") / 4096))).select("i", "new_pos")
+    return numbered(groups.select("i", "g"), ["g", "i"], "new_pos").select("i", "new_pos")
 
 
 def reordered(m: DataFrame, order: DataFrame) -> DataFrame:

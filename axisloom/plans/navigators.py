@@ -58,7 +58,7 @@ def _coded(ds: Dataset, name: str) -> DataFrame:
     """(i, g): a grouping by the codes of its factor axis, which is made if there is none; null without a group."""
     f = ds.fields[name]
     labels = f.df.select("i", F.col("v").alias("g"))
-    if f.categories is not None:
+    if f.encoding == "categorical":
         if name not in ds.axes:
             ds.induce(name)
         return labels.select("i", F.when(F.col("g") >= 0, F.col("g")).cast("int").alias("g"))

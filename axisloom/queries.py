@@ -402,6 +402,28 @@ def tail_promoted(spark, sf):
     return out
 
 
+def modality_placement(spark, sf):
+    """(modality, axis, coverage, i, j, v): what Asian customers bought lies on some of the shared customers, what suppliers sold on rows of their own."""
+    ds = Dataset(spark)
+    customers, line = _t(spark, sf, "customer"), _t(spark, sf, "lineitem")
+    ds.add_axis("cells", customers.select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("label")))
+    nations = _t(spark, sf, "nation").join(_t(spark, sf, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    some = order.numbered(customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", F.col("c_name").alias("label")), ["label"], "pos")
+    bought = _m(spark, sf).join(some.select(F.col("c_custkey").alias("i"), "pos"), "i").select(F.col("pos").alias("i"), "j", "v")
+    parts = _t(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("label"))
+    collection.add_modality(ds, "asia", bought, some, parts)
+    sellers = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("label"))
+    collection.add_modality(ds, "suppliers", measure.measure(line, "l_suppkey", "l_partkey", "l_quantity"), sellers, parts)
+    frames = [f.df.select(F.lit(n).alias("modality"), F.lit(f.span[0]).alias("axis"), F.lit(f.coverage).alias("coverage"), "i", "j", "v") for n, f in ds.fields.items()]
+    return frames[0].unionByName(frames[1])
+
+
+def label_dictionary(spark, sf):
+    """(i, code, label): every order's priority and customer by the dictionary of all of these."""
+    codes, levels = access.encoded(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), F.concat_ws(" ", F.col("o_orderpriority"), F.col("o_custkey").cast("string")).alias("v")))
+    return codes.join(levels, codes["v"] == levels["pos"]).select("i", F.col("v").alias("code"), "label")
+
+
 def validate_rules(spark, sf):
     """What validation finds in a dataset with faults of each kind of content."""
     ds = _dataset(spark, sf)
@@ -503,6 +525,9 @@ f as (select o, z.k, p_partkey as j, n_g, coalesce(s, 0) as s, coalesce(e, 0) as
   union all select z.o, z.k, p_partkey, n_g, 0, 0, n from z cross join part cross join n where exists (select 1 from s where s.o = z.o and s.k = z.k) and not exists (select 1 from s where s.o = z.o and s.k = z.k and s.j = p_partkey))
 select 'stats_' || o || '_sum' as field, k as i, j, round(s, 5) as v from f union all select 'stats_' || o || '_nexpr', k, j, e::double from f
 union all select 'markers_' || o || '_lfc', j, k, round(s / greatest(n_g, 1) - (sum(s) over (partition by o, j) - s) / greatest(n - n_g, 1), 5) from f""",
+    "modality_placement": f"""{_W} select 'asia' as modality, 'cells' as axis, 'partial' as coverage, i, j, v from m join customer on c_custkey = i join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey where r_name = 'ASIA'
+union all select 'suppliers', 'cells.suppliers', 'full', l_suppkey, l_partkey, sum(l_quantity) from lineitem group by l_suppkey, l_partkey having sum(l_quantity) <> 0""",
+    "label_dictionary": "with l as (select o_orderkey as i, o_orderpriority || ' ' || o_custkey as label from orders), d as (select label, row_number() over (order by label) - 1 as code from (select distinct label from l)) select i, code, label from l join d using (label)",
     "props_promoted": "select event_id, (props ->> '$.k')::bigint as k, null::varchar as rest from events",
     "tail_promoted": f"""{_W}, {SQL_G}, c as (select g, row_number() over (order by g) - 1 as k from (select distinct g from g)), s as (select g, j, sum(v) as s from m join g using (i) group by 1, 2),
 t as (select k, j, s, row_number() over (partition by g order by s desc, j) as r from s join c using (g))
@@ -528,7 +553,7 @@ QUERIES = {
     + (gene_column, cell_row, gene_range, row_block, gene_gather_with_duplicates, cell_gather, gene_expression_zero_filled, gene_expression_max, crossfilter_cat_range)
     + (partial_coverage_left, partial_coverage_inner, nullable_mask, factor_axis_induce, utf8_first_seen_codes, collection_union_axis, collection_pseudobulk, collection_flatten, collection_sizes)
     + (set_union, set_intersect, set_except, state_inference, stride_sample, window_sample, capped_groups, dense_posexplode, embedding_extent, cell_order_cluster_only, cell_order_hilbert)
-    + (grid_cells, row_reorder, transposed, flat_positions, validate_issues, validate_rules, navigators_built, navigators_two_groupings, props_promoted, tail_promoted, scalar_to_rgba, overdispersion, overdispersion_inputs, overdispersion_trend, graph_degree, passthrough_json, additive_stats, uniqueness)
+    + (grid_cells, row_reorder, transposed, flat_positions, validate_issues, validate_rules, navigators_built, navigators_two_groupings, props_promoted, tail_promoted, modality_placement, label_dictionary, scalar_to_rgba, overdispersion, overdispersion_inputs, overdispersion_trend, graph_degree, passthrough_json, additive_stats, uniqueness)
 } | {
     "col_stats_raw": _col_stats(),
     "col_stats_lognorm": _col_stats(lognorm=True),
