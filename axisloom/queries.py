@@ -5,6 +5,8 @@ Customers are the row axis (i), parts the column axis (j), and the measure is th
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from .functions import scalar
 from .operators import access, collection, dispersion, markers, measure, order, stats, validate
 from .model import Dataset, as_categorical, state_columns
 from .plans import navigators
-from .sources import promote
+from .sources import measures, promote
+from .sources.shared import saved, shared_dir
 from .streaming import additive
 
 SQL_M = "m as (select o_custkey as i, l_partkey as j, sum(l_quantity) as v from lineitem join orders on l_orderkey = o_orderkey group by 1, 2 having sum(l_quantity) <> 0)"
@@ -424,6 +427,35 @@ def label_dictionary(spark, sf):
     return codes.join(levels, codes["v"] == levels["pos"]).select("i", F.col("v").alias("code"), "label")
 
 
+_STORED: dict[tuple[str, str], measures.StoredMeasure] = {}
+
+
+def stored_measure(spark, sf):
+    """The measure in both clusterings, written once for a session and folder of tables."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _STORED:
+        path = f"{shared_dir(spark).rstrip('/')}/axisloom-measure-{uuid.uuid4().hex}"
+        _STORED[at] = measures.write(saved(_m(spark, sf), "measure"), path, buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return _STORED[at]
+
+
+def stored_gene_expression(spark, sf):
+    """One part's quantities over all customers, from the stored measure: one bucket is read."""
+    return _r(access.expression(stored_measure(spark, sf).by_column, _rows(spark, sf), 7, lognorm=True), "x")
+
+
+def stored_col_stats(spark, sf):
+    return _r(stats.col_stats(stored_measure(spark, sf).by_column, _n(spark, sf), _parts(spark, sf), lognorm=True), "mean", "var")
+
+
+def stored_row_depth(spark, sf):
+    return stats.depth_of(stored_measure(spark, sf).by_row)
+
+
+def stored_gene_range(spark, sf):
+    return access.column_range(stored_measure(spark, sf).by_column, 10, 20)
+
+
 def validate_rules(spark, sf):
     """What validation finds in a dataset with faults of each kind of content."""
     ds = _dataset(spark, sf)
@@ -547,13 +579,15 @@ select i, row_number() over (order by g nulls last, d, i) - 1 as new_pos from h
     "uniqueness": "select l_orderkey || '-' || l_linenumber as key, count(*) as n from lineitem group by 1 having count(*) > 1",
 }
 
+ORACLE |= {"stored_gene_expression": ORACLE["gene_expression_zero_filled"], "stored_col_stats": ORACLE["col_stats_lognorm"], "stored_row_depth": ORACLE["row_depth"], "stored_gene_range": ORACLE["gene_range"]}
+
 QUERIES = {
     f.__name__: f
     for f in (group_stats, group_stats_grid, group_stats_depth, total_sum, row_depth, group_sizes, pseudobulk_mean_frac, markers_1vs_rest, markers_top_n, rank_by_score, de_a_vs_b, hvg_top_k)
     + (gene_column, cell_row, gene_range, row_block, gene_gather_with_duplicates, cell_gather, gene_expression_zero_filled, gene_expression_max, crossfilter_cat_range)
     + (partial_coverage_left, partial_coverage_inner, nullable_mask, factor_axis_induce, utf8_first_seen_codes, collection_union_axis, collection_pseudobulk, collection_flatten, collection_sizes)
     + (set_union, set_intersect, set_except, state_inference, stride_sample, window_sample, capped_groups, dense_posexplode, embedding_extent, cell_order_cluster_only, cell_order_hilbert)
-    + (grid_cells, row_reorder, transposed, flat_positions, validate_issues, validate_rules, navigators_built, navigators_two_groupings, props_promoted, tail_promoted, modality_placement, label_dictionary, scalar_to_rgba, overdispersion, overdispersion_inputs, overdispersion_trend, graph_degree, passthrough_json, additive_stats, uniqueness)
+    + (grid_cells, row_reorder, transposed, flat_positions, validate_issues, validate_rules, navigators_built, navigators_two_groupings, props_promoted, tail_promoted, modality_placement, label_dictionary, stored_gene_expression, stored_col_stats, stored_row_depth, stored_gene_range, scalar_to_rgba, overdispersion, overdispersion_inputs, overdispersion_trend, graph_degree, passthrough_json, additive_stats, uniqueness)
 } | {
     "col_stats_raw": _col_stats(),
     "col_stats_lognorm": _col_stats(lognorm=True),
