@@ -82,6 +82,7 @@ class Dataset:
         self.profiles: list[str] = []
         self.dropped: list[str] = []
         self.aux: dict[str, Any] = {}
+        self.leaves: DataFrame | None = None  # chunks of the array leaves that aux refers to
 
     def add_axis(self, name: str, labels: DataFrame | list[str], length: int | None = None, **meta: Any) -> Axis:
         df = axis_frame(self.spark, labels) if isinstance(labels, list) else labels.select(F.col("pos").cast("long"), F.col("label").cast("string"))

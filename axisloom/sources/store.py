@@ -4,6 +4,7 @@
 
     <path>/axes/<name>/*.parquet      (pos, label), sorted by pos
     <path>/fields/<name>/<version>/   the field's frame, clustered by its layout
+    <path>/leaves/<version>/          chunks of the untyped tail's arrays
     <path>/manifest/<version>/        one JSON row: the dataset's metadata, with the version of each field
 
 Readers take the newest manifest, so fields may be appended while others read. Opening is lazy: only
@@ -14,9 +15,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Axis, Dataset, Field
@@ -63,22 +65,29 @@ def _meta(spark: SparkSession, path: str) -> dict[str, Any]:
     return json.loads(df.orderBy(F.desc("written")).first()["meta"])
 
 
-def write(ds: Dataset, path: str, compressor: str | None = "zstd", layouts: dict[str, dict] | None = None, rows_per_file: int | None = None) -> str:
-    """layouts: per field {compressor, rows_per_file}, before the defaults."""
+def write(ds: Dataset, path: str, compressor: str | None = "zstd", layouts: dict[str, dict] | None = None, rows_per_file: int | None = None, progress: Callable[[str, int], None] | None = None) -> str:
+    """layouts: per field {compressor, rows_per_file}, before the defaults. progress: called with the name and rows of each field when it is written."""
     meta: dict[str, Any] = {"spec_version": SPEC_VERSION, "kind": ds.kind, "profiles": ds.profiles, "dropped": ds.dropped, "aux": ds.aux, "axes": {}, "fields": {}}
     for a in ds.axes.values():
         _write(a.df.repartitionByRange("pos").sortWithinPartitions("pos"), f"{path}/axes/{a.name}", compressor, rows_per_file)
         meta["axes"][a.name] = _axis_meta(a)
     for f in ds.fields.values():
-        meta["fields"][f.name] = _put(f, path, compressor, layouts, rows_per_file)
+        meta["fields"][f.name] = _put(f, path, compressor, layouts, rows_per_file, progress)
+    if ds.leaves is not None:
+        meta["leaves"] = uuid.uuid4().hex
+        _write(ds.leaves.repartition("leaf", "part").sortWithinPartitions("leaf", "part"), f"{path}/leaves/{meta['leaves']}", compressor, None)
     _commit(ds.spark, path, meta)
     return path
 
 
-def _put(f: Field, path: str, compressor: str | None, layouts: dict[str, dict] | None, rows_per_file: int | None) -> dict[str, Any]:
+def _put(f: Field, path: str, compressor: str | None, layouts: dict[str, dict] | None, rows_per_file: int | None, progress: Callable[[str, int], None] | None = None) -> dict[str, Any]:
     own = (layouts or {}).get(f.name, {})
     version = uuid.uuid4().hex
-    _write(_laid_out(f), f"{path}/fields/{f.name}/{version}", own.get("compressor", compressor), own.get("rows_per_file", rows_per_file))
+    seen = Observation(f"rows-{version}")
+    df = _laid_out(f)
+    _write(df.observe(seen, F.count(F.lit(1)).alias("rows")) if progress else df, f"{path}/fields/{f.name}/{version}", own.get("compressor", compressor), own.get("rows_per_file", rows_per_file))
+    if progress:
+        progress(f.name, seen.get["rows"])
     return _field_meta(f, version)
 
 
@@ -102,6 +111,8 @@ def read(spark: SparkSession, path: str, lazy: bool = True) -> Dataset:
         raise ValueError(f"store has spec_version {meta['spec_version']}, this reads {SPEC_VERSION}")
     ds = Dataset(spark, meta["kind"])
     ds.profiles, ds.dropped, ds.aux = meta["profiles"], meta["dropped"], meta["aux"]
+    if meta.get("leaves"):
+        ds.leaves = spark.read.parquet(f"{path}/leaves/{meta['leaves']}")
     for name, a in meta["axes"].items():
         ds.axes[name] = Axis(name, spark.read.schema("pos long, label string").parquet(f"{path}/axes/{name}"), a["length"], a["origin"], a["role"], a["induced_by"], a["provenance"])
     for name, f in meta["fields"].items():

@@ -20,7 +20,7 @@ import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import Any
 
 import numpy as np
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import Dataset
+from .passthrough import leaf_chunks
 
 _MISSING = (1 << 64) - 1
 _open = open
@@ -473,6 +474,24 @@ def _values(spark: SparkSession, root: str, path: str, m: dict, index: DataFrame
     return _placed(x, index)
 
 
+def _tail(ds: Dataset, root: str, key: str, names: list[str]) -> None:
+    """The untyped tail: trees as they are, and the arrays they refer to as chunks that tasks read, named by namespace and id."""
+    frames = []
+    for ns in names:
+        a = attributes(root, f"passthrough/{ns}")[key]
+        ds.aux[ns] = json.loads(a["tree"]) if isinstance(a["tree"], str) else a["tree"]
+        for leaf in a.get("arrays", []):
+            path = f"passthrough/{ns}/{leaf['id']}"
+            if leaf["kind"] == "utf8":
+                n = meta(root, f"{path}_offsets").shape[0] - 1
+                frames.append(leaf_chunks(string_frame(ds.spark, root, path), f"{ns}/{leaf['id']}", "<U1", (n,)))
+            else:
+                m = meta(root, path)
+                frames.append(leaf_chunks(array_frame(ds.spark, root, path), f"{ns}/{leaf['id']}", m.dtype.str, m.shape))
+    if frames:
+        ds.leaves = reduce(DataFrame.unionByName, frames)
+
+
 def read_store(spark: SparkSession, root: str) -> Dataset:
     """An axis-and-field store as a Dataset. Arrays stay on disk until a plan reads them, each chunk or range in a task of
     its own; only metadata and the categories of a field are read here."""
@@ -492,4 +511,5 @@ def read_store(spark: SparkSession, root: str) -> Dataset:
         categories = tuple(read_strings(root, f"{path}/categories")) if m["encoding"] == "categorical" else None
         meta_ = {k: m.get(k) for k in ("state", "subtype", "directed", "weighted", "uncertainty", "index_axis") if m.get(k) is not None}
         ds.add_field(name, _values(spark, root, path, m, index), span=tuple(m["span"]), induce=False, role=m.get("role"), encoding=m["encoding"], coverage=m.get("coverage") or "full", nullable=bool(m.get("nullable")), categories=categories, ordered=bool(m.get("ordered")), provenance=m.get("provenance") or {}, **meta_)
+    _tail(ds, root, key, top.get("passthrough", []))
     return ds
