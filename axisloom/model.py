@@ -16,6 +16,7 @@ null (masked), and absence under partial coverage (``coverage="partial"``, absen
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field as _field
 from typing import Any
 
@@ -117,6 +118,28 @@ class Dataset:
                 self.induce(name)
         return f
 
+    def add_columns(self, df: DataFrame, axis: str, pos: str = "pos") -> list[Field]:
+        """A field for each column of a table over an axis, typed by the schema: numbers are measures, strings, booleans and dates labels.
+        A column that holds a null (not a NaN) is nullable. One aggregate looks at all columns."""
+        columns = [f for f in df.schema.fields if f.name != pos]
+        plain = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+        odd = [f.name for f in columns if not isinstance(f.dataType, plain)]
+        if odd:
+            raise ValueError(f"columns {odd} are of no type that a field of one axis may have")
+        seen = df.agg(F.count(F.lit(1)).alias("_rows"), *(F.count_if(F.col(f"`{f.name}`").isNull()).alias(f.name) for f in columns)).first().asDict() if columns else {}
+        out = []
+        for f in columns:
+            number = isinstance(f.dataType, T.NumericType)
+            value = F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.col(f"`{f.name}`")
+            frame = df.select(F.col(pos).cast("long").alias("i"), value.alias("v"))
+            out.append(self.add_field(f.name, frame, span=(axis,), role="measure" if number else "label", nullable=bool(seen[f.name])))
+        return out
+
+    def provenance(self, path: str | None = None) -> DataFrame:
+        """(field, provenance) as JSON; with a JSON path such as $.de_factor what stands there, for the fields that have it."""
+        df = self.spark.createDataFrame([(n, json.dumps(f.provenance, sort_keys=True)) for n, f in self.fields.items()], "field string, provenance string")
+        return df if path is None else df.select("field", F.get_json_object("provenance", path).alias("value")).where("value is not null")
+
     def add_labels(self, name: str, df: DataFrame, span: str, **meta: Any) -> Field:
         """A label (i, v) as codes of a factor axis of its own, which is its dictionary: for any number of labels, none on the driver."""
         from .operators.access import encoded

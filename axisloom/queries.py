@@ -456,6 +456,27 @@ def stored_gene_range(spark, sf):
     return access.column_range(stored_measure(spark, sf).by_column, 10, 20)
 
 
+def columns_typed(spark, sf):
+    """(field, role, encoding, state, nullable, n): the columns of orders as fields, and their values that aren't null."""
+    ds = Dataset(spark)
+    orders = _t(spark, sf, "orders")
+    ds.add_axis("orders", orders.select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("label")))
+    ds.add_columns(orders.withColumn("o_priority", F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority"))), "orders", "o_orderkey")
+    counts = None
+    for name, f in ds.fields.items():
+        one = f.df.agg(F.count("v").alias("n")).select(F.lit(name).alias("field"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return ds.manifest().select("field", "role", "encoding", "state", "nullable").join(counts, "field")
+
+
+def ranked_records(spark, sf):
+    """(g, j, score): the twenty parts most bought in each segment as ranked records, brought back onto the axis of parts."""
+    s = stats.group_stats(_m(spark, sf), _g(spark, sf))
+    parts = _t(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("part "), "p_partkey").alias("label"))
+    top = markers.top_markers(s, "sum", 20).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("part "), "j").alias("name"), "sum"))).alias("e"))
+    return markers.ranked_bundle(top.select("g", F.array_append("e.name", F.lit("no such part")).alias("names"), F.array_append("e.sum", F.lit(0.0)).alias("scores")), parts)
+
+
 def validate_rules(spark, sf):
     """What validation finds in a dataset with faults of each kind of content."""
     ds = _dataset(spark, sf)
@@ -474,7 +495,8 @@ def graph_degree(spark, sf):
 
 
 def passthrough_json(spark, sf):
-    return _t(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    docs = _t(spark, sf, "events").select("event_id", promote.as_variant(F.col("props")).alias("props"))
+    return promote.promoted_columns(docs, "props", {"k": "string"}).select("event_id", "k")
 
 
 def additive_stats(spark, sf):
@@ -560,6 +582,12 @@ union all select 'markers_' || o || '_lfc', j, k, round(s / greatest(n_g, 1) - (
     "modality_placement": f"""{_W} select 'asia' as modality, 'cells' as axis, 'partial' as coverage, i, j, v from m join customer on c_custkey = i join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey where r_name = 'ASIA'
 union all select 'suppliers', 'cells.suppliers', 'full', l_suppkey, l_partkey, sum(l_quantity) from lineitem group by l_suppkey, l_partkey having sum(l_quantity) <> 0""",
     "label_dictionary": "with l as (select o_orderkey as i, o_orderpriority || ' ' || o_custkey as label from orders), d as (select label, row_number() over (order by label) - 1 as code from (select distinct label from l)) select i, code, label from l join d using (label)",
+    "columns_typed": """with o as (select *, case when o_orderpriority <> '1-URGENT' then o_orderpriority end as o_priority from orders)
+select 'o_custkey' as field, 'measure' as role, 'dense' as encoding, 'raw' as state, false as nullable, count(o_custkey) as n from o
+union all select 'o_totalprice', 'measure', 'dense', case when bool_and(abs(o_totalprice - round(o_totalprice)) <= 1e-6 + 1e-5 * abs(round(o_totalprice))) then 'raw' else 'lognorm' end, false, count(o_totalprice) from o
+union all select 'o_orderstatus', 'label', 'utf8', null, false, count(o_orderstatus) from o union all select 'o_orderdate', 'label', 'utf8', null, false, count(o_orderdate) from o
+union all select 'o_orderpriority', 'label', 'utf8', null, false, count(o_orderpriority) from o union all select 'o_priority', 'label', 'utf8', null, count(o_priority) < count(*), count(o_priority) from o""",
+    "ranked_records": f"{_W}, {SQL_G}, s as (select g, j, sum(v) as score from m join g using (i) group by 1, 2) select g, j, score from s qualify row_number() over (partition by g order by score desc, j) <= 20",
     "props_promoted": "select event_id, (props ->> '$.k')::bigint as k, null::varchar as rest from events",
     "tail_promoted": f"""{_W}, {SQL_G}, c as (select g, row_number() over (order by g) - 1 as k from (select distinct g from g)), s as (select g, j, sum(v) as s from m join g using (i) group by 1, 2),
 t as (select k, j, s, row_number() over (partition by g order by s desc, j) as r from s join c using (g))
@@ -587,7 +615,7 @@ QUERIES = {
     + (gene_column, cell_row, gene_range, row_block, gene_gather_with_duplicates, cell_gather, gene_expression_zero_filled, gene_expression_max, crossfilter_cat_range)
     + (partial_coverage_left, partial_coverage_inner, nullable_mask, factor_axis_induce, utf8_first_seen_codes, collection_union_axis, collection_pseudobulk, collection_flatten, collection_sizes)
     + (set_union, set_intersect, set_except, state_inference, stride_sample, window_sample, capped_groups, dense_posexplode, embedding_extent, cell_order_cluster_only, cell_order_hilbert)
-    + (grid_cells, row_reorder, transposed, flat_positions, validate_issues, validate_rules, navigators_built, navigators_two_groupings, props_promoted, tail_promoted, modality_placement, label_dictionary, stored_gene_expression, stored_col_stats, stored_row_depth, stored_gene_range, scalar_to_rgba, overdispersion, overdispersion_inputs, overdispersion_trend, graph_degree, passthrough_json, additive_stats, uniqueness)
+    + (grid_cells, row_reorder, transposed, flat_positions, validate_issues, validate_rules, navigators_built, navigators_two_groupings, props_promoted, tail_promoted, modality_placement, label_dictionary, columns_typed, ranked_records, stored_gene_expression, stored_col_stats, stored_row_depth, stored_gene_range, scalar_to_rgba, overdispersion, overdispersion_inputs, overdispersion_trend, graph_degree, passthrough_json, additive_stats, uniqueness)
 } | {
     "col_stats_raw": _col_stats(),
     "col_stats_lognorm": _col_stats(lognorm=True),

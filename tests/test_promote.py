@@ -138,3 +138,35 @@ def test_navigators_scan_the_measure_once(spark, tmp_path, monkeypatch):
         alone = stats.group_stats(m, groups[name].withColumnRenamed("v", "g"), lognorm=True).select("g", "j", "sum", "n_expr")
         made = d.fields[f"stats_{name}_sum"].df.join(d.axes[name].df.withColumnRenamed("pos", "i"), "i").select("label", "j", "v")
         assert {(r[0], r[1]): round(r[2], 9) for r in made.collect() if r[2]} == {(r[0], r[1]): round(r[2], 9) for r in alone.collect()}
+
+
+def test_columns_of_a_table(spark):
+    d = Dataset(spark)
+    d.add_axis("cells", ["a", "b", "c"])
+    df = spark.sql("select * from values (0l, 1, 1.5d, 'x', true, date'2020-01-02', 'q'), (1l, null, double('nan'), null, false, date'2020-01-03', 'q'), (2l, 3, 2.0d, 'y', null, null, 'r') t(pos, n, x, s, b, d, `a.b`)")
+    made = {f.name: (f.role, f.encoding, f.nullable) for f in d.add_columns(df, "cells")}
+    assert made == {"n": ("measure", "dense", True), "x": ("measure", "dense", False), "s": ("label", "utf8", True), "b": ("label", "dense", True), "d": ("label", "utf8", True), "a.b": ("label", "utf8", False)}
+    assert values(d.fields["d"].df.where("v is not null")) == [(0, "2020-01-02"), (1, "2020-01-03")] and d.fields["n"].df.where("v is null").count() == 1
+    assert d.add_columns(df.select("pos"), "cells") == []
+    with pytest.raises(ValueError):
+        d.add_columns(df.withColumn("l", F.array(F.lit(1))), "cells")
+
+
+def test_provenance_is_looked_up_by_path(spark, ds):
+    d = Dataset(spark)
+    d.add_axis("cells", ["a"])
+    v = spark.createDataFrame([(0, 1.0)], "i long, v double")
+    d.add_field("x", v, span=("cells",), provenance={"de_factor": "kind", "deep": {"k": [1, 2]}})
+    d.add_field("y", v, span=("cells",))
+    assert values(d.provenance("$.de_factor")) == [("x", "kind")] and values(d.provenance("$.deep.k[1]")) == [("x", "2")]
+    assert values(d.provenance()) == [("x", '{"de_factor": "kind", "deep": {"k": [1, 2]}}'), ("y", "{}")]
+
+
+def test_ranked_records_and_sides(spark):
+    from axisloom.operators import markers
+
+    axis = spark.createDataFrame([(7, "p"), (9, "q")], "pos long, label string")
+    records = spark.createDataFrame([("a", ["q", "zz", "p"], [3.0, 2.0, 1.0]), ("b", [], []), ("c", None, None)], "g string, names array<string>, scores array<double>")
+    assert values(markers.ranked_bundle(records, axis)) == [("a", 7, 1.0), ("a", 9, 3.0)]
+    sides = spark.createDataFrame([(0, "a"), (1, "b"), (1, "b")], "i long, side string")
+    assert markers.disjoint(sides) and not markers.disjoint(sides.unionByName(spark.createDataFrame([(0, "b")], "i long, side string")))
