@@ -8,8 +8,8 @@ Rows are independent; nothing is shuffled.
 Defined results: identifiers follow from the source record's identifier, so reruns agree and
 repeated rows give repeated records; a null block counts as an empty one (status 0, no title,
 empty text); a null URI or date stays null and its header is left out; blocks are whole, and any page takes time linear
-in its length; a payload that is larger than ``MAX_PAYLOAD`` decoded stays as it is, like one of a broken coding; other columns are
-not read; an empty table gives no rows.
+in its length; where a payload's coding breaks off, or it is larger than ``MAX_PAYLOAD`` decoded, the metadata record says so under
+``decoding-error`` and the text is empty; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -183,43 +183,92 @@ def split_http(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:
     return int(first[1]), pairs, payload
 
 
-def decode_payload(headers: list[tuple[str, str]], payload: bytes) -> tuple[str, str]:
-    """(text, charset). Undecodable bytes become replacement characters; a broken content coding is left as it is."""
-    h = {k.lower(): v for k, v in headers}
-    try:
-        if h.get("transfer-encoding", "").lower() == "chunked":
-            out, rest = [], payload
-            while rest:
-                n, _, rest = rest.partition(b"\r\n")
-                n = int(n.split(b";")[0], 16)
-                out.append(rest[:n])
-                rest = rest[n + 2 :] if n else b""
-            payload = b"".join(out)
-        coding = h.get("content-encoding", "").lower()
-        if coding in ("gzip", "x-gzip", "deflate"):
-            coded = zlib.decompressobj(47 if coding != "deflate" else 15)
-            plain = coded.decompress(payload, MAX_PAYLOAD)
-            if not coded.eof:
-                raise ValueError("cut off, or larger than MAX_PAYLOAD")
-            payload = plain
-    except (ValueError, zlib.error):
-        pass
-    found = _CHARSET.search(h.get("content-type", "").encode("latin-1", "replace")) or _CHARSET.search(payload[:2048])
+def dechunked(payload: bytes) -> bytes:
+    """The body of a chunked transfer, read by position; ValueError where it breaks off or a size isn't one."""
+    out, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at, at + 4096)
+        if end < 0:
+            raise ValueError("chunks break off")
+        n = int(payload[at:end].split(b";")[0], 16)
+        if n <= 0:
+            return b"".join(out)
+        at = end + 2 + n + 2
+        if n > len(payload) - end - 2:
+            raise ValueError("chunks break off")
+        out.append(payload[end + 2 : end + 2 + n])
+
+
+def inflated(payload: bytes, wbits: int) -> bytes:
+    """All members of a compressed body, decoded in pieces; what follows the last one is left out. ValueError if it breaks off or is too large."""
+    out, held, rest = [], 0, payload
+    while rest:
+        coded = zlib.decompressobj(wbits)
+        try:
+            plain = coded.decompress(rest, MAX_PAYLOAD - held + 1)
+        except zlib.error:
+            if not out:
+                raise
+            break  # padding after a member
+        held += len(plain)
+        out.append(plain)
+        if held > MAX_PAYLOAD:
+            raise ValueError(f"more than {MAX_PAYLOAD} bytes")
+        if not coded.eof:
+            raise ValueError("cut off")
+        rest = coded.unused_data if wbits == 47 else b""
+    return b"".join(out)
+
+
+def decode_body(headers: list[tuple[str, str]], payload: bytes) -> tuple[bytes, str | None]:
+    """(body without its transfer and content coding, what was wrong with these). A body that never had the coding its header names is
+    left as it is; one that breaks off within it, or is larger than MAX_PAYLOAD decoded, is empty."""
+    h = {k.lower(): v.lower() for k, v in headers}
+    problem = None
+    if h.get("transfer-encoding", "") == "chunked":
+        try:
+            payload = dechunked(payload)
+        except ValueError as e:
+            problem = f"transfer-encoding: {e}"
+    coding = h.get("content-encoding", "")
+    if coding not in ("gzip", "x-gzip", "deflate") or not payload:
+        return payload, problem
+    for wbits in (47,) if coding != "deflate" else (15, -15):
+        try:
+            return inflated(payload, wbits), problem
+        except zlib.error:
+            continue
+        except ValueError as e:
+            return b"", f"content-encoding: {e}"
+    return payload, "content-encoding: not the coding that the header names"
+
+
+def decode_text(headers: list[tuple[str, str]], body: bytes) -> tuple[str, str]:
+    """(text, charset). Undecodable bytes become replacement characters; a charset that Python has no text decoder for counts as UTF-8."""
+    kind = next((v for k, v in reversed(headers) if k.lower() == "content-type"), "")
+    found = _CHARSET.search(kind.encode("latin-1", "replace")) or _CHARSET.search(body[:2048])
     name = found[1].decode().lower() if found else "utf-8"
     try:
-        return payload.decode(name, "replace"), name
-    except LookupError:
-        return payload.decode("utf-8", "replace"), "utf-8"
+        return body.decode(name, "replace"), name
+    except (LookupError, ValueError):  # unknown, or a codec that refuses whole texts
+        return body.decode("utf-8", "replace"), "utf-8"
+
+
+def decode_payload(headers: list[tuple[str, str]], payload: bytes) -> tuple[str, str]:
+    return decode_text(headers, decode_body(headers, payload)[0])
 
 
 def derive(record_id: str, uri: str | None, date: str | None, block: bytes | None) -> list[dict]:
     """The metadata and the conversion record of one response."""
     block = block or b""
     status, headers, payload = split_http(block)
-    page, charset = decode_payload(headers, payload)
+    body, problem = decode_body(headers, payload)
+    page, charset = decode_text(headers, body)
     text, title, links = read_html(page)
     source = [("source-block-digest", digest(block)), ("source-payload-digest", digest(payload)), ("http-status", str(status))]
     fields = [*source, *((f"source-header-{k.lower()}", v) for k, v in headers), ("charset", charset)]
+    if problem:
+        fields.append(("decoding-error", problem))
     if title is not None:
         fields.append(("title", title))
     for link in links:

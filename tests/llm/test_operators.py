@@ -122,10 +122,41 @@ def test_warc_of_an_empty_table(pages):
 
 
 def test_warc_payload_codings():
-    assert warc.decode_payload([("Content-Encoding", "gzip")], gzip.compress(b"x" * 1000)[:-9])[0] != "x" * 1000  # cut off: left as it is
+    assert warc.decode_payload([("Content-Encoding", "gzip")], gzip.compress(b"x" * 1000)[:-9])[0] == ""  # cut off
     assert warc.decode_payload([("Transfer-Encoding", "chunked")], b"3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n")[0] == "abcde"
     assert warc.decode_payload([("Content-Encoding", "gzip"), ("Content-Type", "text/html; charset=latin-1")], gzip.compress("é".encode("latin-1"))) == ("é", "latin-1")
     assert warc.decode_payload([("Content-Type", "text/html; charset=nonsense")], b"x") == ("x", "utf-8")
+    for name in ("idna", "undefined", "base64", "hex", "x" * 300, "utf-16", "unicode_escape", "punycode"):
+        for headers, body in (([("Content-Type", f"text/html; charset={name}")], b"a\xffb\x00..\\x"), ([], f"<meta charset={name}>\xff..".encode("latin-1"))):
+            assert isinstance(warc.decode_payload(headers, body)[0], str)
+    rows = warc.derive("<urn:uuid:1>", "http://h/", None, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=idna\r\n\r\n<p>caf\xc3\xa9..x")
+    assert rows[1]["block"] == "café..x".encode()
+
+
+def test_warc_transfer_and_content_codings(monkeypatch):
+    gz, chunked = [("Content-Encoding", "gzip")], [("transfer-encoding", "Chunked")]
+    assert warc.decode_body(gz, gzip.compress(b"one ") + gzip.compress(b"two") + gzip.compress(b"")) == (b"one two", None)
+    assert warc.decode_body(gz, gzip.compress(b"one") + b"\0\0padding") == (b"one", None)
+    raw = zlib.compressobj(wbits=-15)
+    for body in (zlib.compress(b"plain"), raw.compress(b"plain") + raw.flush()):
+        assert warc.decode_body([("Content-Encoding", "deflate")], body) == (b"plain", None)
+    assert warc.decode_body(gz, b"<p>never coded") == (b"<p>never coded", "content-encoding: not the coding that the header names")
+    assert warc.decode_body(gz, b"") == (b"", None)
+    assert warc.decode_body(gz + chunked, b"%x\r\n" % len(gzip.compress(b"both")) + gzip.compress(b"both") + b"\r\n0\r\n\r\n") == (b"both", None)
+    for body in (b"5\r\nab", b"zz\r\n", b"", b"3;x=1\r\nabc\r\n"):
+        assert warc.decode_body(chunked, body) == (body, "transfer-encoding: " + ("chunks break off" if body != b"zz\r\n" else "invalid literal for int() with base 16: b'zz'"))
+    monkeypatch.setattr(warc, "MAX_PAYLOAD", 1000)
+    assert warc.decode_body(gz, gzip.compress(b"x" * 600) + gzip.compress(b"x" * 400)) == (b"x" * 1000, None)
+    assert warc.decode_body(gz, gzip.compress(b"x" * 600) + gzip.compress(b"x" * 401)) == (b"", "content-encoding: more than 1000 bytes")
+    record = warc.derive("<urn:uuid:1>", None, None, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"x" * 5000))
+    assert b"decoding-error: content-encoding: more than 1000 bytes\r\n" in record[0]["block"] and record[1]["block"] == b""
+
+
+def test_warc_chunks_in_linear_time():
+    body = b"1\r\na\r\n" * 1_500_000 + b"0\r\n\r\n"  # 9 MB
+    began = time.perf_counter()
+    assert warc.decode_body([("Transfer-Encoding", "chunked")], body) == (b"a" * 1_500_000, None)
+    assert time.perf_counter() - began < 8
     assert warc.split_http(b"garbage") == (0, [], b"garbage")
 
 
