@@ -2,13 +2,14 @@
 
 A word is the bag of its character n-grams (with marks at its ends) and itself, hashed into
 buckets with a vector each; misspellings share most n-grams with the word. The vectors of a
-passage of ``span`` words are averaged and go through a softmax; passages overlap by half, and
-a document's score is that of its most toxic passage, calibrated on labelled documents that
-the vectors have not seen. Since the softmax is linear, scoring needs one number per bucket.
+passage of ``span`` words are averaged and go through a softmax; passages overlap by half, and a document's score is the mean of
+its ``top`` most toxic passages (one that a text is too short to have counts 0), calibrated on labelled documents that the vectors have
+not seen. Since the softmax is linear, scoring needs one number per bucket. Buckets that fewer than ``least`` documents of the sample
+have count for nothing: invented and rare words would else tell the sample's documents apart.
 
 Training sees a bounded sample of labelled documents (``FIT_TOXIC`` and ``FIT_CLEAN`` ids, by
 their hash, with one text each, of at most ``FIT_CHARS`` characters). Labels belong to documents, not passages: the
-passages of a document to train on are picked by log odds of the buckets; ``rounds`` over 1 repeats picking, by the model, and training.
+passages of a document to train on are picked by log odds of the buckets; each round after the first picks them by the model so far, and trains anew.
 
 Defined results: null and empty texts, and texts without letters or digits, score the share of
 toxic documents in the sample, at most 0.49; without any labels the same with share 0. Ids may
@@ -41,7 +42,8 @@ class Model:
     slope: float
     shift: float
     prior: float
-    span: int = 6
+    span: int = 2
+    top: int = 2
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +118,7 @@ def chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, list[s
 
 
 def logits(texts: list[str], model: Model) -> np.ndarray:
-    """The largest logit of each text's passages; nan without words."""
+    """The mean of the ``top`` largest logits of each text's passages; nan without words."""
     out = np.full(len(texts), np.nan)
     for at, part in chunks(texts):
         c, begin = codes(part)
@@ -125,8 +127,11 @@ def logits(texts: list[str], model: Model) -> np.ndarray:
         if len(doc):
             t, k = np.concatenate([[0], np.cumsum(total)]), np.concatenate([[0], np.cumsum(count)])
             z = (t[hi] - t[lo]) / (k[hi] - k[lo]) + model.bias
+            order = np.lexsort((-z, doc))
+            doc, z = doc[order], z[order]
             first = np.flatnonzero(np.diff(doc, prepend=-1))
-            out[at + doc[first]] = np.maximum.reduceat(z, first)
+            some = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc)))) < model.top
+            out[at + doc[first]] = np.add.reduceat(z * some, first) / model.top
     return out
 
 
@@ -210,24 +215,24 @@ def _train(bags: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, dim:
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit with softened targets."""
-    pos, neg = y.sum(), (1 - y).sum()
-    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    w = np.where(y == 1, 0.5 / max(pos, 1), 0.5 / max(neg, 1)) * len(y)
+    """Slope and shift of a logistic fit with softened targets; labels weigh as they occur."""
+    centre, width = z.mean(), z.std() + 1e-9
+    x = (z - centre) / width
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        g = w * (p - t)
-        h = w * p * (1 - p) + 1e-6
-        H = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
-        step = np.linalg.solve(H, np.array([(g * z).sum() + 1e-3 * a, g.sum()]))
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -5, 5)
-        if np.abs(step).max() < 1e-6:
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
+        g, h = p - t, p * (1 - p) + 1e-6
+        H = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-3]])
+        step = np.clip(np.linalg.solve(H, np.array([(g * x).sum() + 1e-3 * a, g.sum()])), -1, 1)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-8:
             break
-    return float(max(a, 1e-3)), float(b)
+    a = max(a, 1e-3)
+    return float(a / width), float(b - a * centre / width)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7, span: int = 6, rounds: int = 1) -> Model:
+def fit(texts: list[str], labels: list[int], seed: int = 7, span: int = 2, rounds: int = 2, least: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.int64)
     flat = Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, -40.0, float(y.mean()) if len(y) else 0.0, span)
@@ -247,16 +252,22 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, span: int = 6, round
             pair = np.unique(doc.astype(np.int64) << BITS | b)
             for label in (0, 1):
                 seen[label] += np.bincount((pair & ((1 << BITS) - 1))[of[at + (pair >> BITS)] == label], minlength=1 << BITS)
-    value = np.log((seen[1] + 0.5) / (seen[1].sum() + 1) * (seen[0].sum() + 1) / (seen[0] + 0.5))
+    known = seen.sum(0) >= least
+    value = np.log((seen[1] + 0.5) / (seen[1].sum() + 1) * (seen[0].sum() + 1) / (seen[0] + 0.5)) * known
     bias = 0.0
     for _ in range(rounds):
-        tops = [_pick([t], value, span, *((2, 0) if label else (3, 4)), rng)[0] for t, label in zip(own, of)]
-        bags = _bags(own, tops)
-        value, bias = _train(bags, np.repeat(of, [len(p) for p in tops]), rng)
+        tops = [_pick([t], value, span, *((5, 0) if label else (5, 8)), rng)[0] for t, label in zip(own, of)]
+        bags = [b[known[b]] for b in _bags(own, tops)]
+        some = np.flatnonzero([len(b) > 0 for b in bags])
+        if not len(some):
+            break
+        value, bias = _train([bags[i] for i in some], np.repeat(of, [len(p) for p in tops])[some], rng)
     model = Model(value, bias, 1.0, 0.0, flat.prior, span)
     check = np.flatnonzero(apart) if apart.any() else np.arange(len(y))
     z = logits([texts[i] for i in check], model)
     good = ~np.isnan(z)
+    if not good.any():
+        return flat
     model.slope, model.shift = _calibrate(z[good], y[check][good])
     return model
 

@@ -619,6 +619,18 @@ def test_toxicity_on_held_out_rows(labelled):
     assert (toxicity.scores(["a"], toxicity.fit([], [])) <= 0.49).all()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_toxicity_on_real_rows():
+    import duckdb
+
+    rows = duckdb.sql("select doc_id, text, toxic from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id) where text is not null order by doc_id").fetchall()
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    seen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and len(r[1]) <= toxicity.FIT_CHARS]
+    model = toxicity.fit([r[1] for r in seen], [r[2] for r in seen])
+    p, y = toxicity.scores([r[1] for r in held], model) >= 0.5, np.array([r[2] for r in held])
+    assert p[y == 1].mean() >= 0.75 and p[y == 0].mean() <= 0.02
+
+
 def test_toxicity_scores_do_not_depend_on_batches(labelled):
     model = toxicity.fit([t for t, _ in labelled[:200]], [y for _, y in labelled[:200]])
     texts = [t for t, _ in labelled[:50]] + ["", "É" * 3000]
