@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, shared_dir
@@ -390,6 +390,14 @@ def audit_recall(reps: DataFrame, found: DataFrame, reach: float) -> float:
     return float(np.mean(shares)) if shares else 1.0
 
 
+def _scaled(vec: str) -> Column:
+    """The vector by a power of two, so that its largest component is near 1 and no norm over- or underflows; cosines stay as they are to the
+    last bit. The power is taken in two halves, since one alone may be no number."""
+    power = F.floor(F.log2(F.array_max(F.transform(vec, F.abs))))
+    half = F.floor(power / 2)
+    return F.transform(vec, lambda v: v * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power) + F.lit(0.0))
+
+
 def near_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", reach: float = 0.93, min_recall: float = 0.98, tries: int = 3) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     df = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("vec"))
@@ -397,7 +405,7 @@ def near_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     usable = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda v: v != 0)
     df = df.withColumn("ok", F.coalesce(usable, F.lit(False)))
     # Vectors of one label and length are of a kind; -0.0 and 0.0 are one value.
-    rows = df.select("vec_id", "ok", F.when(F.col("ok"), F.concat(F.size("vec").cast("string"), F.lit(" "), "label")).alias("label"), F.when(F.col("ok"), F.transform("vec", lambda v: v + F.lit(0.0))).alias("vec"))
+    rows = df.select("vec_id", "ok", F.when(F.col("ok"), F.concat(F.size("vec").cast("string"), F.lit(" "), "label")).alias("label"), F.when(F.col("ok"), _scaled("vec")).alias("vec"))
     rows = saved(rows, "vectors")
     lone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     copies = rows.where("ok").groupBy("label", "vec").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))

@@ -189,6 +189,24 @@ def test_near_dedup(spark):
     assert {r["n_links"] for r in neardup.near_dedup(df.where("vec_id between 920 and 924")).collect()} == {0}
 
 
+def test_near_dedup_of_very_small_and_very_large_components(spark):
+    """Squares of these components are no normal numbers; what links must not depend on that."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8), 0) for i in range(120)]
+    base = rng.normal(size=(4, 8))
+    for k, scale in enumerate((1e-200, 1e200, 4e-320, 1e308 / np.abs(base[3]).max())):
+        rows += [(200 + 10 * k, base[k] * scale, 0), (201 + 10 * k, (base[k] + 0.01 * rng.normal(size=8)) * scale * 0.9, 0), (202 + 10 * k, rng.normal(size=8) * scale * 0.3, 0)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], y) for i, v, y in rows], "vec_id long, embedding array<double>, label int")
+    exact = [(i, [int(x) for x in np.ldexp(v / np.abs(v).max(), 40)]) for i, v, _ in rows]  # whole numbers of 40 bits
+    links = collections.Counter()
+    for i, a in exact:
+        for j, b in exact:
+            dot, aa, bb = (sum(x * y for x, y in zip(p, q)) for p, q in ((a, b), (a, a), (b, b)))
+            links[i] += i != j and dot / math.sqrt(aa) / math.sqrt(bb) >= 0.93
+    got = {r["vec_id"]: r["n_links"] for r in neardup.near_dedup(df).collect()}
+    assert got == {i: links[i] for i, _ in exact} and all(got[i] >= 1 for i in (200, 201, 210, 211, 230, 231))
+
+
 def test_large_shards_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHARD_ROWS", 64)
     rng = np.random.default_rng(8)
