@@ -13,6 +13,7 @@ SPACE = " \t\n\x0b\f\r"
 #: Java and RE2 pattern of runs of separators.
 GAP = r"[\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_HASHED = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +58,18 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that has one row a key and grows with the input.
+
+    It gets no strategy by hint: the session lets adaptive execution build hashes of it where every partition has been
+    measured to be under 64 MB (unless the user has set that bound), and sorts both sides, which can spill, where one is not.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_HASHED) in ("0", "0b"):
+        conf.set(_HASHED, "64m")
+    return df
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BUCKET_BYTES, MIN_BUCKETS, buckets_for, exchange, runs
-from .common import discard, saved
+from .common import dealt, discard, saved
 from .components import components
 from .words import batch_rows, grams, mix, utf8, words
 
@@ -298,19 +298,14 @@ def _shared(sets: DataFrame, num: int, den: int) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, sid long")
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    """A side with one row a key that grows with the input: joined by a shuffle at every size, rather than broadcast as long as it is small."""
-    return df.hint("shuffle_hash")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_copy: int = 500) -> DataFrame:
     """Of pairs (u, v), those that are similar. A set with many partners is copied, so that its pairs are dealt to several tasks."""
     sizes = sets.select("sid", "n", "h")
     often = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / per_copy).cast("int").alias("copies"))
-    left = sizes.join(_dealt(often), sizes.sid == often.u).select("u", "copies", F.col("n").alias("nu"), F.col("h").alias("hu"))
+    left = sizes.join(dealt(often), sizes.sid == often.u).select("u", "copies", F.col("n").alias("nu"), F.col("h").alias("hu"))
     left = left.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    dealt = pairs.join(_dealt(often), "u").withColumn("copy", F.pmod(F.xxhash64("v"), F.col("copies")).cast("int")).select("u", "v", "copy")
-    right = sizes.join(dealt.hint("merge"), dealt.v == sizes.sid).select("u", "copy", "v", F.col("n").alias("nv"), F.col("h").alias("hv"))
+    spread = pairs.join(dealt(often), "u").withColumn("copy", F.pmod(F.xxhash64("v"), F.col("copies")).cast("int")).select("u", "v", "copy")
+    right = sizes.join(spread.hint("merge"), spread.v == sizes.sid).select("u", "copy", "v", F.col("n").alias("nv"), F.col("h").alias("hv"))
     both = right.join(left.drop("copies").hint("merge"), ["u", "copy"]).where(F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,13 +324,13 @@ def _named(signed: DataFrame, comps: DataFrame | None) -> DataFrame:
     """(sig, sid, c): with the component so far."""
     if comps is None:
         return signed.select("sig", "sid", F.col("sid").alias("c"))
-    return signed.join(_dealt(comps.withColumnRenamed("node", "sid")), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("c"))
+    return signed.join(dealt(comps.withColumnRenamed("node", "sid")), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("c"))
 
 
 def _mixed(named: DataFrame) -> DataFrame:
     """The rows of signatures whose members are of several components."""
     groups = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    return named.join(_dealt(groups.where("lo < hi").select("sig")), "sig", "left_semi")
+    return named.join(dealt(groups.where("lo < hi").select("sig")), "sig", "left_semi")
 
 
 def _stars(named: DataFrame, seed: int, most: int = 2) -> DataFrame:
@@ -343,7 +338,7 @@ def _stars(named: DataFrame, seed: int, most: int = 2) -> DataFrame:
     connected yet; of each member the ``most`` pairs that stand in the most groups."""
     first = F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("r"), "c", "sid"))
     center = named.groupBy("sig").agg(first.alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", F.col("first.sid").alias("u"), F.col("first.c").alias("cu"))
-    pairs = named.join(_dealt(center), "sig").where("c <> cu").groupBy("u", F.col("sid").alias("v")).agg(F.count(F.lit(1)).alias("groups"))
+    pairs = named.join(dealt(center), "sig").where("c <> cu").groupBy("u", F.col("sid").alias("v")).agg(F.count(F.lit(1)).alias("groups"))
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("groups")).alias("g"), "u"))), 1, most)
     return pairs.groupBy("v").agg(best.alias("best")).select(F.explode("best.u").alias("u"), "v")
 
@@ -385,12 +380,12 @@ def _cells(rows: DataFrame, sets: DataFrame, asked: int, num: int, den: int) ->
     """
     by = rows.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
     groups = by.groupBy("sig").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("main")).select("sig", "m", F.col("main.c").alias("main"), (F.col("m") - F.col("main.k")).alias("minors"))
-    rows = rows.join(_dealt(groups), "sig").select("sig", "sid", "c", (F.col("c") != F.col("main")).alias("minor"), F.ceil(F.col("m") / CELL).cast("int").alias("cells"), F.ceil(F.col("minors") / VISITORS).cast("int").alias("lots"))
+    rows = rows.join(dealt(groups), "sig").select("sig", "sid", "c", (F.col("c") != F.col("main")).alias("minor"), F.ceil(F.col("m") / CELL).cast("int").alias("cells"), F.ceil(F.col("minors") / VISITORS).cast("int").alias("lots"))
     rows = rows.withColumns({"cell": F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int"), "lot": F.pmod(F.xxhash64("sid", F.lit(1)), F.col("lots")).cast("int")})
     home = rows.withColumns({"lot": F.explode(F.sequence(F.lit(0), F.col("lots") - 1)), "home": F.lit(True)})
     visits = rows.where("minor and cells > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).where("to <> cell").withColumns({"cell": F.col("to"), "home": F.lit(False)})
     both = home.unionByName(visits.drop("to")).select("sig", "cell", "lot", "sid", "c", "minor", "home")
-    both = both.join(_dealt(sets.select("sid", "n", "bits")), "sid")
+    both = both.join(dealt(sets.select("sid", "n", "bits")), "sid")
     kinds = pa.schema([("sig", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def work(t: pa.Table) -> pa.RecordBatch:
@@ -435,8 +430,8 @@ def _cells(rows: DataFrame, sets: DataFrame, asked: int, num: int, den: int) ->
         if rows:
             yield work(pa.Table.from_batches(held))
 
-    dealt = both.repartition("sig", "cell", "lot").sortWithinPartitions("sig", "cell", "lot")
-    return dealt.mapInArrow(run, "sig long, u long, v long")
+    cells = both.repartition("sig", "cell", "lot").sortWithinPartitions("sig", "cell", "lot")
+    return cells.mapInArrow(run, "sig long, u long, v long")
 
 
 def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -463,7 +458,7 @@ def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
         if more.isEmpty():
             discard(out, open_)
             return comps
-        was, open_ = open_, saved(open_.join(_dealt(more), "sig", "left_semi"), "mixed")
+        was, open_ = open_, saved(open_.join(dealt(more), "sig", "left_semi"), "mixed")
         discard(out, was)
         asked *= 4
 
@@ -480,19 +475,19 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     reps = info.where("maybe").groupBy("sa", "sb", "n").agg(first)
     reps = saved(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
     chosen = reps.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), "rep")
-    sets = saved(_sets(docs.select("k1", "k2", "text").join(_dealt(chosen), ["k1", "k2"]), k), "shingles")
+    sets = saved(_sets(docs.select("k1", "k2", "text").join(dealt(chosen), ["k1", "k2"]), k), "shingles")
     if not sets.groupBy("sid").count().where("count > 1").isEmpty():  # rows that repeat with their id
         was, sets = sets, saved(sets.dropDuplicates(["sid"]), "shingles")
         discard(was)
     comps = _linked(sets, num, den)
     discard(sets)
     # A component is named by its least id; rows of equal sets share their representative.
-    nodes = saved(reps.join(_dealt(comps.withColumnRenamed("node", "rep")), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component", "rep"), "nodes")
+    nodes = saved(reps.join(dealt(comps.withColumnRenamed("node", "rep")), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component", "rep"), "nodes")
     least = saved(nodes.groupBy("c").agg(F.min("first").alias("least")), "least")
     discard(comps, reps)
-    named = saved(nodes.join(_dealt(least), "c").select("sa", "sb", "n", "least"), "named")
+    named = saved(nodes.join(dealt(least), "c").select("sa", "sb", "n", "least"), "named")
     discard(nodes, least)
-    maybe = info.where("maybe").join(_dealt(named), ["sa", "sb", "n"])
+    maybe = info.where("maybe").join(dealt(named), ["sa", "sb", "n"])
     maybe = maybe.select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "k1", "k2", ((F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))).alias("stays"))
     alone = info.where("not maybe").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k1", "k2", F.lit(True).alias("stays"))
     return maybe.unionByName(alone)

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir
+from .common import dealt, saved, shared_dir
 from .components import components
 
 MAX_PIVOTS, PIVOT_SAMPLE, SHARD_ROWS, DEGREE, POOL, ALPHA = 65_536, 5, 4096, 24, 64, 1.2
@@ -225,7 +225,7 @@ def _links(reps: DataFrame, reach: float, overlap: int, beam: int, shard_rows: i
     rate = PIVOT_SAMPLE * shrink / shard_rows
     draw = F.pmod(F.xxhash64("rep", "label"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1
     drawn: dict = {}
-    for r in reps.where(draw).join(counts.hint("shuffle_hash"), "label").orderBy(F.xxhash64("rep", "label"), "rep").limit(MAX_PIVOTS).select("label", "n", "vec").collect():
+    for r in reps.where(draw).join(dealt(counts), "label").orderBy(F.xxhash64("rep", "label"), "rep").limit(MAX_PIVOTS).select("label", "n", "vec").collect():
         drawn.setdefault((r[0], r[1]), []).append(np.array(r[2], np.float32))
     pivots = {k: pivots_of(unit(np.stack(v)), max(1, round(n / shard_rows * shrink)), reach - 0.1) for (k, n), v in sorted(drawn.items())}
     shared = reps.sparkSession.sparkContext.broadcast(pivots)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import gathered, runs
-from .common import discard, saved
+from .common import dealt, discard, saved
 from .words import grams, mix, pieces, power_table, utf8, words
 
 _U = np.uint64
@@ -121,9 +121,9 @@ def _spread(paths: DataFrame) -> DataFrame:
     paths = paths.withColumn("r", F.xxhash64("places"))
     own = paths.groupBy("anchor", "path").agg(F.sum("c").alias("own"), F.min("r").alias("first"))
     tot = own.groupBy("anchor").agg(F.sum("own").alias("tot"))
-    told = own.join(tot.hint("shuffle_hash"), "anchor").where("own > 1 or tot > own").select("anchor", "path", (F.col("own") > 1).alias("twice"), (F.col("tot") > F.col("own")).alias("parts"), "first")
+    told = own.join(dealt(tot), "anchor").where("own > 1 or tot > own").select("anchor", "path", (F.col("own") > 1).alias("twice"), (F.col("tot") > F.col("own")).alias("parts"), "first")
     # Rows of one hash are equal, so a path that has several is repeated anyway.
-    rows = paths.join(told.hint("shuffle_hash"), ["anchor", "path"]).select("places", "twice", F.xxhash64("anchor", "path").alias("path"), (F.col("parts") & (F.col("r") == F.col("first"))).alias("open"))
+    rows = paths.join(dealt(told), ["anchor", "path"]).select("places", "twice", F.xxhash64("anchor", "path").alias("path"), (F.col("parts") & (F.col("r") == F.col("first"))).alias("open"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +160,7 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 def _read(docs: DataFrame, todo: DataFrame, window: int) -> DataFrame:
     """(run, d1, d2, key, a, n, out): digest of the words of each compacted path (run) and of each edge written out, at its coordinates."""
-    rows = docs.select("key", "text").join(todo.hint("shuffle_hash"), F.col("key") == F.col("_k")).select("key", "text", "a", "n", "kind")
+    rows = docs.select("key", "text").join(dealt(todo), F.col("key") == F.col("_k")).select("key", "text", "a", "n", "kind")
     names = ["run", "d1", "d2", "key", "a", "n", "out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     # Rows of one key have equal spans; as a set, a key has no more of them than one of its rows has.
     cover = repeated_spans(docs, window, k).groupBy("key").agg(F.collect_set(F.struct("a", "n")).alias("s"))
     cover = cover.select(F.col("key").alias("_k"), F.col("s.a").alias("a"), F.col("s.n").alias("n"))
-    rows = docs.join(cover.hint("shuffle_hash"), F.col("key") == F.col("_k"), "left").select("doc_id", "text", "a", "n")
+    rows = docs.join(dealt(cover), F.col("key") == F.col("_k"), "left").select("doc_id", "text", "a", "n")
     kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.list_(pa.int64())))] + [("kept_text", pa.string())] * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

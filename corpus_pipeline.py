@@ -50,7 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays = found.where("stays").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
     stays = common.saved(stays.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), ((F.col("rows") > 1) & (F.col("n") > 0)).alias("_repeats")), "stays")
     keyed = jaccard.row_keys(docs.withColumns({"_id": F.col("doc_id").cast("long"), "_t": F.coalesce("text", F.lit(""))}), "_id", "_t")
-    rows = lambda which: keyed.join(stays.where(which).hint("shuffle_hash"), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    rows = lambda which: keyed.join(common.dealt(stays.where(which)), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     out = rows("not _repeats").select(*docs.columns)
     if not stays.where("_repeats").isEmpty():
         one = rows("_repeats").groupBy("k1", "k2").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("one"))
