@@ -2,10 +2,11 @@
 
 A word is the bag of its character n-grams (with marks at its ends) and itself, hashed into
 buckets with a vector each; misspellings share most n-grams with the word. The vectors of a
-passage of ``span`` words are averaged and go through a softmax; passages overlap by half, and a document's score is the mean of
-its ``top`` most toxic passages (one that a text is too short to have counts 0), calibrated on labelled documents that the vectors have
-not seen. Since the softmax is linear, scoring needs one number per bucket. Buckets that fewer than ``least`` documents of the sample
-have count for nothing: invented and rare words would else tell the sample's documents apart.
+passage of ``span`` words are averaged and go through a softmax. Passages don't overlap, so that a single word never counts
+twice, and a document's score is the mean of its ``top`` most toxic passages, calibrated on labelled documents that the vectors
+have not seen. One passage decides over a text of less than ``short`` words, where a word that is like a toxic one by chance is rare. Since the softmax is linear, scoring needs one number per
+bucket. Buckets that less than one in ``rare`` documents of the sample has, or fewer than ``LEAST``, count for nothing:
+invented and rare words would else tell the sample's documents apart.
 
 Training sees a bounded sample of labelled documents (``FIT_TOXIC`` and ``FIT_CLEAN`` ids, by
 their hash, with one text each, of at most ``FIT_CHARS`` characters). Labels belong to documents, not passages: the
@@ -29,6 +30,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Bounds of the training sample, and so of what the driver holds: ids of either label, and characters of a text.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2000, 4000, 50_000
+#: Documents of the sample that a bucket must be in, at least.
+LEAST = 3
 BITS, SIZES = 20, (3, 4, 5, 6)
 _KEEP = np.zeros(128, bool)
 _KEEP[[*range(48, 58), *range(97, 123)]] = True
@@ -42,8 +45,9 @@ class Model:
     slope: float
     shift: float
     prior: float
-    span: int = 2
+    span: int = 1
     top: int = 2
+    short: int = 50
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +103,9 @@ def word_sums(c: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def passages(first: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """first: where the words of each text begin, and the last end. (text, first word, end) of each passage."""
     n = np.diff(first)
-    step = span // 2
-    per = np.where(n > 0, np.maximum(1, -(-(n - span) // step) + 1), 0)
+    per = -(-n // span)
     doc = np.repeat(np.arange(len(n)), per)
-    lo = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * step
+    lo = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * span
     return doc, lo, np.minimum(lo + span, first[doc + 1])
 
 
@@ -118,20 +121,23 @@ def chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, list[s
 
 
 def logits(texts: list[str], model: Model) -> np.ndarray:
-    """The mean of the ``top`` largest logits of each text's passages; nan without words."""
+    """The mean of the ``top`` largest logits of each text's passages, of a short text the largest; nan without words."""
     out = np.full(len(texts), np.nan)
     for at, part in chunks(texts):
         c, begin = codes(part)
         start, total, count = word_sums(c, model.value)
-        doc, lo, hi = passages(np.searchsorted(start, begin), model.span)
+        words = np.searchsorted(start, begin)
+        doc, lo, hi = passages(words, model.span)
         if len(doc):
             t, k = np.concatenate([[0], np.cumsum(total)]), np.concatenate([[0], np.cumsum(count)])
             z = (t[hi] - t[lo]) / (k[hi] - k[lo]) + model.bias
             order = np.lexsort((-z, doc))
             doc, z = doc[order], z[order]
             first = np.flatnonzero(np.diff(doc, prepend=-1))
-            some = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc)))) < model.top
-            out[at + doc[first]] = np.add.reduceat(z * some, first) / model.top
+            size = np.diff(np.append(first, len(doc)))
+            top = np.where(np.diff(words)[doc[first]] < model.short, 1, model.top)
+            some = np.arange(len(doc)) - np.repeat(first, size) < np.repeat(top, size)
+            out[at + doc[first]] = np.add.reduceat(z * some, first) / top
     return out
 
 
@@ -232,7 +238,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a / width), float(b - a * centre / width)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7, span: int = 2, rounds: int = 2, least: int = 3) -> Model:
+def fit(texts: list[str], labels: list[int], seed: int = 7, span: int = 1, rounds: int = 3, rare: int = 400) -> Model:
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.int64)
     flat = Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, -40.0, float(y.mean()) if len(y) else 0.0, span)
@@ -252,7 +258,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, span: int = 2, round
             pair = np.unique(doc.astype(np.int64) << BITS | b)
             for label in (0, 1):
                 seen[label] += np.bincount((pair & ((1 << BITS) - 1))[of[at + (pair >> BITS)] == label], minlength=1 << BITS)
-    known = seen.sum(0) >= least
+    known = seen.sum(0) >= max(LEAST, len(own) / rare)
     value = np.log((seen[1] + 0.5) / (seen[1].sum() + 1) * (seen[0].sum() + 1) / (seen[0] + 0.5)) * known
     bias = 0.0
     for _ in range(rounds):
