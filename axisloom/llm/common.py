@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -70,6 +71,21 @@ def dealt(df: DataFrame) -> DataFrame:
     return df
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns that begin with ``_`` under names that no other column has, and those names by the old ones.
+
+    Operators keep such names for themselves meanwhile, and ``returned`` gives them back.
+    """
+    has = {c.lower() for c in df.columns}
+    free = (c for c in map("aside{}".format, itertools.count()) if c not in has)
+    names = {c: next(free) for c in df.columns if c.startswith("_")}
+    return df.withColumnsRenamed(names), names
+
+
+def returned(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.withColumnsRenamed({new: old for old, new in names.items()})
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
 

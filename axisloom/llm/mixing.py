@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import aside, returned, saved, small
 
 #: Ranges of keys hold about so many rows; a source has at most MAX_RANGES of them.
 RANGE_ROWS, MAX_RANGES = 256, 100_000
@@ -70,6 +70,8 @@ def plan_mix(
     most: float = 2.0,
 ) -> DataFrame:
     """One row per source: its size, target, complete epochs, and where its fractional epoch ends. df should be narrow: it is read three times."""
+    df, names = aside(df)
+    doc_id, source, size, weight = (names.get(c, c) for c in (doc_id, source, size, weight))
     rows = with_keys(df.withColumn("_source", F.col(source)), doc_id, size, weight, seed).select("_source", "_size", "_key", "_id", F.col(weight).cast("double").alias("_weight"))
     sources = targets(rows.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_n")), shares, budget, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -96,13 +98,18 @@ def plan_mix(
 
 
 def apply_mix(df: DataFrame, cuts: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weight: str = "weight", seed: str = "mix") -> DataFrame:
-    """Adds source_size, target and taken (words that the mix takes of the row, repeats counted). Nothing is shuffled while sources are few."""
+    """Adds source_size, target and taken (words that the mix takes of the row, repeats counted). Nothing is shuffled while sources are few.
+
+    Columns of these three names are replaced; all others pass through under any name."""
+    df, names = aside(df)
+    doc_id, source, size, weight = (names.get(c, c) for c in (doc_id, source, size, weight))
     df = with_keys(df.drop("source_size", "target", "taken"), doc_id, size, weight, seed)
     side = F.broadcast(cuts) if small(cuts, BROADCAST_SOURCES) else cuts
     df = df.join(side, F.col(source).eqNullSafe(F.col("_of")))
     own = F.struct("_key", "_id", "_size")
     part = F.when(F.col("_cut").isNull(), 0).when(own < F.col("_cut"), F.col("_size")).when(own == F.col("_cut"), F.col("_part")).otherwise(0)
-    return df.withColumn("taken", (F.col("_epochs") * F.col("_size") + part).cast("long")).drop("_size", "_key", "_id", "_of", "_epochs", "_cut", "_part")
+    df = df.withColumn("taken", (F.col("_epochs") * F.col("_size") + part).cast("long"))
+    return returned(df.drop("_size", "_key", "_id", "_of", "_epochs", "_cut", "_part"), names)
 
 
 ORACLE = r"""

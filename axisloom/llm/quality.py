@@ -3,7 +3,8 @@
 Each line with a word is judged by itself; failing lines go, and a document that loses
 more than ``max_lost`` of its words is rejected. Null and empty texts have no words and
 fail the base rule. Rows are independent: nothing is shuffled, ties and repeated rows
-do not matter, and other columns pass through; columns of the same name are replaced.
+do not matter, and other columns pass through under any name; columns of the same name as
+one that is added are replaced.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, word_array
+from .common import SPACE, aside, returned, word_array
 
 #: Phrases of page furniture, matched in lower case.
 BOILERPLATE = [
@@ -56,6 +57,8 @@ def quality_rules(
     same text. A document is kept if the base rule passes and at most ``max_lost_percent`` of its words
     stand in failing lines.
     """
+    df, names = aside(df)
+    text = names.get(text, text)
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumns({"_w": word_array(F.col(text)), "_lines": F.split(t, "\n")})
     df = df.withColumns(
@@ -91,7 +94,7 @@ def quality_rules(
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     df = df.withColumn("base_failed", failed)
     df = df.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") - F.col("n_words_kept")) * 100 <= F.col("n_words") * max_lost_percent))
-    return df.drop("_w", "_lines", "_full", "_h", "_bad", "_g", "_s", "_p")
+    return returned(df.drop("_w", "_lines", "_full", "_h", "_bad", "_g", "_s", "_p"), names)
 
 
 def oracle(short_line: int = 4) -> str:

@@ -532,6 +532,21 @@ def test_quality_rules(docs, none):
     assert quality.quality_rules(none).count() == 0
 
 
+def test_columns_named_as_the_inner_ones_pass_through(docs):
+    names = ["_w", "_Lines", "_full", "_bad", "_size", "_key", "_id", "_of", "_cut", "_part", "aside0"]
+    clash = docs.withColumns({c: F.concat(F.lit(c), F.lit(":"), F.coalesce("source", F.lit("none"))) for c in names})
+    sized = clash.withColumns({"_words": common.word_count(F.col("text")), "_weight": F.lit(1.0)})
+    made = mixing.apply_mix(sized, mixing.plan_mix(sized, size="_words", weight="_weight"), size="_words", weight="_weight")
+    for out in (quality.quality_rules(clash), made):
+        assert set(out.columns) >= {*clash.columns} and len(out.columns) == len(set(out.columns))
+        assert out.where(" or ".join(f"not {c} <=> concat('{c}:', coalesce(source, 'none'))" for c in names)).isEmpty() and out.count() == docs.count()
+    plain = docs.select("*", common.word_count(F.col("text")).alias("size"), F.lit(1.0).alias("weight"))
+    want = mixing.apply_mix(plain, mixing.plan_mix(plain)).select("doc_id", "text", "taken")
+    assert made.select("doc_id", "text", "taken").exceptAll(want).isEmpty()
+    renamed = quality.quality_rules(clash.withColumnRenamed("text", "_text"), text="_text")
+    assert renamed.select("doc_id", "kept").exceptAll(quality.quality_rules(docs).select("doc_id", "kept")).isEmpty()
+
+
 def test_line_rules(spark):
     good = "This line says something that a reader may want to know, and ends well. " * 4
     menu = "Home | News | Sport | Weather | Contact us about the things we sell here today\n" * 5
