@@ -10,8 +10,8 @@ and a spanning forest of the matches, never with all pairs. At last the recall o
 vectors is audited against brute force, each vector with links counting once, and logged; below
 ``min_recall`` overlap and beam are doubled, and after the last try brute force gives the links.
 
-Bounds: pivots are chosen from a sample of at most ``MAX_PIVOTS`` vectors in all, ``PIVOT_SAMPLE`` for each one wanted (broadcast, 64 MB at 128
-dimensions). Kinds without one are a shard of their own, so nothing crosses kinds. Shards of more than ``SHARD_ROWS`` vectors are indexed in blocks, and their
+Bounds: pivots are chosen from a sample of at most ``MAX_PIVOTS`` vectors and ``PIVOT_VALUES`` components in all, ``PIVOT_SAMPLE`` for each one wanted
+(fetched by Arrow, at most 64 MB; broadcast). The audit has no bound: where links are rare it goes on to all vectors, a block at a time. Kinds without one are a shard of their own, so nothing crosses kinds. Shards of more than ``SHARD_ROWS`` vectors are indexed in blocks, and their
 queries visit each block: past about 6.5 million vectors, and within a group of near copies, time grows with the rows of a shard.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import logging
 import uuid
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +32,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, saved, shared_dir
+from .common import dealt, discard, saved, shared_dir
 from .components import components
 
-MAX_PIVOTS, PIVOT_SAMPLE, SHARD_ROWS, DEGREE, POOL, ALPHA = 65_536, 5, 4096, 24, 64, 1.2
+MAX_PIVOTS, PIVOT_VALUES, PIVOT_SAMPLE, SHARD_ROWS, DEGREE, POOL, ALPHA = 65_536, 1 << 23, 5, 4096, 24, 64, 1.2
 _log = logging.getLogger(__name__)
 #: Vectors of an audit's sample at first and at most, those with links that are enough, and components of a block that goes over all vectors.
-AUDIT, AUDIT_MOST, AUDIT_LINKED, BLOCK_VALUES = 1024, 65_536, 400, 1 << 20
+AUDIT, AUDIT_LINKED, BLOCK_VALUES = 1024, 400, 1 << 20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -218,16 +217,20 @@ def _kinds(column: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
 
 def _links(reps: DataFrame, reach: float, overlap: int, beam: int, shard_rows: int = 500) -> tuple[DataFrame, DataFrame]:
     """reps: rep, label, vec, copies. (rep, found): links of each representative that has some, copies counted; (u, v): a forest of the links."""
-    total = reps.count()
-    shrink = min(1.0, MAX_PIVOTS * shard_rows / (PIVOT_SAMPLE * max(1, total)))
+    total, widest = reps.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    most = min(MAX_PIVOTS, max(1, PIVOT_VALUES // max(1, widest or 1)))
+    shrink = min(1.0, most * shard_rows / (PIVOT_SAMPLE * max(1, total)))
     # Kinds of a shard or less want no pivots; the others have a sample in proportion to their rows.
     counts = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
     rate = PIVOT_SAMPLE * shrink / shard_rows
     draw = F.pmod(F.xxhash64("rep", "label"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1
     drawn: dict = {}
-    for r in reps.where(draw).join(dealt(counts), "label").orderBy(F.xxhash64("rep", "label"), "rep").limit(MAX_PIVOTS).select("label", "n", "vec").collect():
-        drawn.setdefault((r[0], r[1]), []).append(np.array(r[2], np.float32))
-    pivots = {k: pivots_of(unit(np.stack(v)), max(1, round(n / shard_rows * shrink)), reach - 0.1) for (k, n), v in sorted(drawn.items())}
+    some = reps.where(draw).join(dealt(counts), "label").orderBy(F.xxhash64("rep", "label"), "rep").limit(most).select("label", "n", "vec").toArrow()
+    for batch in some.to_batches():
+        for kind, own in _kinds(batch.column("label")):
+            x = _vectors(batch.column("vec").take(pa.array(own))).astype(np.float32)
+            drawn.setdefault((kind, batch.column("n")[int(own[0])].as_py()), []).append(x)
+    pivots = {k: pivots_of(unit(np.concatenate(v)), max(1, round(n / shard_rows * shrink)), reach - 0.1) for (k, n), v in sorted(drawn.items())}
     shared = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,6 +304,7 @@ def _links(reps: DataFrame, reach: float, overlap: int, beam: int, shard_rows: i
         return pa.table({"rep": pa.array(rep[keep]), "found": pa.array(found[keep]), "root": pa.array(rep[root[keep]])})
 
     answers = saved(both.groupBy("label", "shard", "block").applyInArrow(search, "rep long, found long, root long"), "answers")
+    discard(placed, united)
     return _united(answers)
 
 
@@ -375,18 +379,16 @@ def _exact(reps: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
 def audit_recall(reps: DataFrame, found: DataFrame, reach: float) -> float:
     """Mean share of its links that ``found`` has, over the vectors of a sample of all vectors that have any by brute force.
 
-    The sample grows until AUDIT_LINKED vectors with links are in it, to all vectors or AUDIT_MOST.
+    The sample grows until AUDIT_LINKED vectors with links are in it, to all vectors where links are that rare; the share is then exact.
     """
     every, at, step, shares, most = reps.count(), 0, AUDIT, [], _block(reps)
-    while at < min(every, AUDIT_MOST) and len(shares) < AUDIT_LINKED:
+    while at < every and len(shares) < AUDIT_LINKED:
         step = min(step, most)
         truth, shared = _brute(reps, _drawn(reps, at / every, (at + step) / every), reach)
         truth = truth.groupBy("rep").agg(F.sum("found").alias("links")).where("links > 0")
         shares += [r[0] for r in truth.join(found, "rep", "left").select(F.least("links", F.coalesce("found", F.lit(0))) / F.col("links")).collect()]
         shared.destroy()
         at, step = at + step, 2 * step
-    if at < every and len(shares) < AUDIT_LINKED:
-        warnings.warn(f"the audit of vectors met {len(shares)} with links in a sample of {at} out of {every}")
     return float(np.mean(shares)) if shares else 1.0
 
 

@@ -234,6 +234,16 @@ def test_audit_counts_vectors_whose_links_were_all_missed(spark):
     assert neardup.audit_recall(reps, found, 0.93) == pytest.approx(0.6, abs=0.01)
 
 
+def test_audit_goes_on_to_all_vectors_where_links_are_rare(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "AUDIT", 8)
+    rng = np.random.default_rng(21)
+    vectors = np.concatenate([rng.normal(size=(600, 24)), pairs_of(rng, 2, 24, 0.05)])
+    reps = spark.createDataFrame([(i, "a", [float(x) for x in v], 1) for i, v in enumerate(vectors)], "rep long, label string, vec array<double>, copies long")
+    found = spark.createDataFrame([(600, 1), (601, 1)], "rep long, found long")  # one pair of the two
+    assert neardup.audit_recall(reps, found, 0.93) == pytest.approx(0.5)
+    assert neardup.audit_recall(reps.where("rep < 600"), found.limit(0), 0.93) == 1.0
+
+
 def test_links_missed_by_all_tries_are_found(spark, monkeypatch):
     links = neardup._links
     monkeypatch.setattr(neardup, "_links", lambda reps, reach, overlap, beam: links(reps, reach, 1, beam, shard_rows=20))  # many pivots, small groups
@@ -780,7 +790,7 @@ def test_queries_match_sql(spark, name):
     if not os.path.isdir(sf):
         pytest.skip("no tables")
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, sf).toPandas(), c.sql(queries.ORACLE[name]).df()
     cols = sorted(want.columns)
