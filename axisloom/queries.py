@@ -18,6 +18,9 @@ from .sources import measures, promote
 from .sources.shared import saved, shared_dir
 from .streaming import additive
 
+#: Fixed value: lines that a task is to have at most where a query deals them out.
+TASK_ROWS = 1 << 19
+
 SQL_M = "m as (select o_custkey as i, l_partkey as j, sum(l_quantity) as v from lineitem join orders on l_orderkey = o_orderkey group by 1, 2 having sum(l_quantity) <> 0)"
 SQL_G = "g as (select c_custkey as i, c_mktsegment as g from customer)"
 SQL_N = "n as (select count(*)::double as n from customer)"
@@ -27,9 +30,24 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _m(spark: SparkSession, sf: str, value: str = "l_quantity") -> DataFrame:
+def _dealt(spark: SparkSession, rows: int) -> int:
+    """Partitions in which a task has some TASK_ROWS rows at most, whatever the size of the tables."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def _sold(spark: SparkSession, sf: str, value: str = "l_quantity") -> DataFrame:
+    """(i, j, v) of every line. Adaptive execution merges partitions by their compressed bytes, so that the sort and the sums of a task would
+    grow with the tables up to hundreds of MB; larger tables are dealt out by number of rows instead, which is in the files' footers."""
     line, orders = _t(spark, sf, "lineitem"), _t(spark, sf, "orders")
-    return measure.measure(line.join(orders, line.l_orderkey == orders.o_orderkey), "o_custkey", "l_partkey", value)
+    line, orders = line.select("l_orderkey", "l_partkey", value), orders.select("o_orderkey", "o_custkey")
+    n = line.count()
+    if n > 8 * TASK_ROWS:
+        line, orders = line.repartition(_dealt(spark, n), "l_orderkey"), orders.repartition(_dealt(spark, n), "o_orderkey")
+    return line.join(orders, line.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("i"), F.col("l_partkey").alias("j"), F.col(value).alias("v"))
+
+
+def _m(spark: SparkSession, sf: str, value: str = "l_quantity") -> DataFrame:
+    return measure.measure(_sold(spark, sf, value), "i", "j", "v")
 
 
 def _g(spark: SparkSession, sf: str) -> DataFrame:
@@ -435,7 +453,8 @@ def stored_measure(spark, sf):
     at = (spark.sparkContext.applicationId, sf)
     if at not in _STORED:
         path = f"{shared_dir(spark).rstrip('/')}/axisloom-measure-{uuid.uuid4().hex}"
-        _STORED[at] = measures.write(saved(_m(spark, sf), "measure"), path, buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        sold = saved(_sold(spark, sf), "sold")
+        _STORED[at] = measures.write(sold, path, buckets=_dealt(spark, sold.count()), summed=False)
     return _STORED[at]
 
 

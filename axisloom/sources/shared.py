@@ -26,5 +26,5 @@ def saved(df: DataFrame, name: str = "t") -> DataFrame:
     """df written as Parquet and read again, so that it is computed once and its lineage ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/axisloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from axisloom import queries
 from axisloom.operators import access, stats
 from axisloom.sources import measures
 
@@ -93,3 +94,48 @@ def test_stores_open_again(spark, stored, tmp_path):
     assert none.by_column.count() == 0 and measures.read(spark, none.path).by_row.count() == 0
     with pytest.raises(Exception):
         measures.read(spark, str(tmp_path / "missing"))
+
+
+def stages(spark):
+    """Spark's record of each stage so far, by its number."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none, flat = sc._jvm.java.util.ArrayList(), sc._gateway.new_array(sc._jvm.double, 0)
+    found = sc._jsc.sc().statusStore().stageList(none, False, False, flat, none)
+    return {found.apply(k).stageId(): found.apply(k) for k in range(found.size())}
+
+
+def moved(spark, run):
+    """Rows that the shuffles of what it runs write."""
+    before = stages(spark)
+    run()
+    return sum(s.shuffleWriteRecords() for k, s in stages(spark).items() if k not in before)
+
+
+def test_entries_in_parts_are_summed_as_they_are_laid_out(spark, tmp_path):
+    parts = spark.range(60_000).select((F.col("id") * 7 % 401).alias("i"), (F.col("id") % 50).alias("j"), (F.col("id") % 5 - 2).cast("double").alias("v"))
+    want = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0")
+    for buckets in (None, 4):
+        s = measures.write(parts, str(tmp_path / f"s{buckets}"), buckets=buckets, summed=False)
+        assert s.layout == dict.fromkeys("ij", "bucket" if buckets else "range")
+        for df in (s.by_column, s.by_row):
+            assert df.exceptAll(want).isEmpty() and df.count() == want.count()
+    hot = parts.withColumn("i", F.when(F.col("j") % 3 == 0, 5).otherwise(F.col("i")))
+    s = measures.write(hot, str(tmp_path / "hot"), buckets=16, summed=False)
+    want = hot.groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0")
+    assert s.layout["i"] == "range" and s.by_row.exceptAll(want).isEmpty() and s.by_row.count() == s.by_column.count() == want.count()
+
+
+def test_hot_keys_are_those_over_their_share(spark):
+    m = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("j"))
+    assert measures.hot_keys(m, "j", 16) == [5] and measures.hot_keys(m, "j", 4) == [] and measures.hot_keys(m.where("j <> 5"), "j", 16) == []
+    assert moved(spark, lambda: measures.hot_keys(m, "j", 4)) <= 4 * m.rdd.getNumPartitions()
+
+
+def test_a_stored_measure_moves_each_line_twice(spark):
+    """Once to sum it where its row lies, once to its column: neither the layouts nor a copy of the sums cost another exchange."""
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    queries._STORED.clear()
+    assert moved(spark, lambda: queries.stored_measure(spark, sf)) < 2.2 * lines
+    assert moved(spark, lambda: queries.stored_row_depth(spark, sf).collect()) == 0
