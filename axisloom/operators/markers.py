@@ -21,8 +21,12 @@ def one_against_rest(s: DataFrame, rows: int | Column, column: list[str]) -> Dat
     rows = F.lit(rows).cast("double") if isinstance(rows, int) else rows
     everything = F.sum("sum").over(Window.partitionBy(*column))
     lfc = F.col("sum") / F.greatest("n", F.lit(1)) - (everything - F.col("sum")) / F.greatest(rows - F.col("n"), F.lit(1.0))
-    padj = F.least(F.lit(1.0), F.greatest(F.lit(1e-12), F.exp(-F.abs(F.col("lfc") * F.sqrt(F.col("n_expr") + 1)))))
-    return s.withColumn("lfc", lfc).withColumn("padj", padj)
+    return s.withColumn("lfc", lfc).withColumn("padj", padj())
+
+
+def padj() -> Column:
+    """From lfc and n_expr of the same row."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(1e-12), F.exp(-F.abs(F.col("lfc") * F.sqrt(F.col("n_expr") + 1)))))
 
 
 def top_markers(table: DataFrame, stat: str = "lfc", top: int = 10, ascending: bool = False) -> DataFrame:

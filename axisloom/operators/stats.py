@@ -44,14 +44,23 @@ def with_zeros(g: DataFrame, n: int | Column, columns: DataFrame | None = None,
     return g.select("j", (a * c / n).alias("mean"), F.when(below > 0, spread / below).otherwise(F.lit(0.0)).alias("var"), F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"))
 
 
-def all_group_stats(m: DataFrame, groups: DataFrame, lognorm: bool = False, depth: DataFrame | None = None, scale: float = 1e4) -> DataFrame:
-    """(of, g, j, sum, sumsq, n_expr, p) for any number of groupings in one pass; groups: (of, i, g), null groups are left out.
-    All rows together are the group 0 of the grouping ''. p: population variance of the entries."""
-    own = groups.where("g is not null").groupBy("i").agg(F.collect_list(F.struct("of", "g")).alias("own"))  # one a grouping
-    kind = groups.schema["g"].dataType.simpleString()
-    every = F.array(F.struct(F.lit("").alias("of"), F.lit(0).cast(kind).alias("g")))
-    x = _viewed(m, depth, scale, lognorm).join(own, "i", "left").select("j", "x", F.explode(F.when(F.col("own").isNull(), every).otherwise(F.concat(every, "own"))).alias("e"))
-    return x.groupBy(F.col("e.of").alias("of"), F.col("e.g").alias("g"), "j").agg(F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("sumsq"), F.count("x").alias("n_expr"), F.var_pop("x").alias("p"))
+def all_group_stats(m: DataFrame, own: DataFrame, cells: DataFrame, columns: DataFrame, lognorm: bool = False, parts: int | None = None) -> DataFrame:
+    """(c, j, n, sum, sumsq, n_expr, p): the whole grid of cells and columns, for any number of groupings in one pass.
+
+    own: (i, own: array<int>), the cells of a row; cells: (c, n), for each its rows; columns: (j). All rows together are the cell -1, which
+    is not in ``own``; it stands in ``cells`` if it is wanted. p: population variance of the entries; empty cells have sums 0 and a null p.
+    parts: entries go by column to as many tasks, once, and there meet their cells, so that an entry moves once however many groupings
+    there are; what follows by column moves nothing. Leave it out for columns too large for a task: partial sums move then.
+    """
+    entries = _viewed(m, None, 1.0, lognorm).join(own, "i", "left").select("j", "x", "own", F.lit(False).alias("blank"))
+    x = entries.unionAll(columns.select("j", F.lit(None).cast("double"), F.lit(None).cast("array<int>"), F.lit(True)))  # a blank a column, for cells without entries
+    if parts:
+        x = x.repartition(parts, "j")
+    every = cells.agg(F.collect_list(F.struct("c", "n")).alias("every"))  # one row: the cells of a column
+    mine = F.transform(F.concat(F.array(F.lit(-1)), F.coalesce("own", F.array().cast("array<int>"))), lambda c: F.struct(c.alias("c"), F.lit(None).cast("long").alias("n")))
+    x = x.crossJoin(F.broadcast(every)).select("j", "x", F.explode(F.when(F.col("blank"), F.col("every")).otherwise(mine)).alias("e"))
+    s = x.groupBy(F.col("e.c").alias("c"), "j").agg(F.max("e.n").alias("n"), F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("sumsq"), F.count("x").alias("n_expr"), F.var_pop("x").alias("p"))
+    return s.where("n is not null").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("sum", "sumsq")})  # cells and columns that there are
 
 
 def group_stats(m: DataFrame, groups: DataFrame, lognorm: bool = False, depth: DataFrame | None = None, scale: float = 1e4, columns: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:

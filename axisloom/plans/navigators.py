@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..model import Dataset, Field, as_categorical
 from ..operators import dispersion, markers, order, stats
 from ..operators.validate import NAVIGATOR_PROFILE
-from ..sources.shared import saved
+from ..sources.measures import hot_keys
+from ..sources.shared import dealt, saved
 
 # Fixed values of the policy.
 PREFERRED_GROUPINGS = ("leiden", "cluster", "clusters", "cell_type", "celltype", "cell_types", "louvain", "seurat_clusters", "annotation", "cluster_label")
@@ -68,18 +69,33 @@ def _coded(ds: Dataset, name: str) -> DataFrame:
     return coded.select("i", F.col("v").cast("int").alias("g"))
 
 
-def _statistics(m: DataFrame, groups: DataFrame, levels: DataFrame, columns: DataFrame, n: int, lognorm: bool) -> tuple[DataFrame, DataFrame]:
-    """The sums by grouping, group and column, and from these the whole grid with its markers: each computed once and saved, whatever
-    the number of groupings. levels: (of, g)."""
-    s = saved(stats.all_group_stats(m, groups, lognorm), "sums")
-    sizes = levels.join(groups.where("g is not null").groupBy("of", "g").agg(F.count(F.lit(1)).alias("n")), ["of", "g"], "left").select("of", "g", F.coalesce("n", F.lit(0)).alias("n"))
-    grid = columns.crossJoin(sizes).join(s.drop("p"), ["of", "g", "j"], "left")  # a row for each cell, as the fields are dense
-    grid = grid.select("of", "g", "j", "n", *(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in (("sum", "double"), ("sumsq", "double"), ("n_expr", "long"))))
-    return s, saved(markers.one_against_rest(grid, n, ["of", "j"]), "grid")
+def _statistics(m: DataFrame, groups: DataFrame, levels: DataFrame, columns: DataFrame, names: dict[str, int], n: int, cells: int, lognorm: bool) -> DataFrame:
+    """(of, g, j, sum, sumsq, n_expr, lfc, p): the whole grid, computed once and saved, whatever the number of groupings; all rows together are
+    the group 0 of the grouping ''. groups: (i, c) and levels: (c), groups as numbers from names[of] on; cells: how many rows the grid has.
+
+    Entries meet by column in tasks bounded by the grid. A column that alone is far over a task's share is summed by parts instead."""
+    parts = dealt(m.sparkSession, cells)
+    sizes = levels.join(groups.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c", "left").select("c", F.coalesce("n", F.lit(0)).alias("n"))
+    sizes = sizes.unionAll(m.sparkSession.range(1).select(F.lit(-1), F.lit(n).cast("long")))
+    own = groups.groupBy("i").agg(F.collect_list("c").alias("own"))  # one a grouping
+    hot = [j for j in hot_keys(m, "j", parts) if j is not None]
+    of, g = F.lit(""), F.lit(0)
+    for name, at in names.items():
+        of, g = F.when(F.col("c") >= at, F.lit(name)).otherwise(of), F.when(F.col("c") >= at, F.col("c") - at).otherwise(g)
+
+    def grid(m: DataFrame, columns: DataFrame, parts: int | None) -> DataFrame:
+        s = stats.all_group_stats(m, own, sizes, columns, lognorm, parts).withColumns({"of": of, "g": g})
+        return markers.one_against_rest(s, n, ["of", "j"]).select("of", "g", "j", "sum", "sumsq", "n_expr", "lfc", F.when(F.col("c") < 0, F.col("p")).alias("p"))
+
+    if not hot:
+        return saved(grid(m, columns, parts), "grid")
+    is_hot = F.col("j").isin(hot)
+    return saved(grid(m.where(~is_hot), columns.where(~is_hot), parts).unionAll(grid(m.where(is_hot), columns.where(is_hot), None)), "grid")
 
 
 def extend(ds: Dataset, basis: str | None = None, groups: list[str] | None = None) -> Dataset:
-    """Adds, per grouping g, stats_g_{sum,sumsq,nexpr} (g x columns), markers_g_{lfc,padj} (columns x g), and od_score, counts_cellmajor, counts_cellmajor_order."""
+    """Adds, per grouping g, stats_g_{sum,sumsq,nexpr} (g x columns), markers_g_{lfc,padj} (columns x g), and od_score, counts_cellmajor, counts_cellmajor_order.
+    The measure is read several times, so save it before if it is dear; by rows if it is large."""
     f = counts_basis(ds, basis)
     rows, cols = f.span
     lognorm = f.state == "raw"
@@ -89,18 +105,22 @@ def extend(ds: Dataset, basis: str | None = None, groups: list[str] | None = Non
     chosen = groups if groups is not None else groupings(ds, rows)
     if not chosen:
         raise ValueError("no grouping has between 2 and 60 levels")
-    groups, levels = [], []
+    groups, levels, names, at = [], [], {}, 0
     for g in chosen:
-        groups.append(_coded(ds, g).select(F.lit(g).alias("of"), "i", "g"))
-        levels.append(ds.axes[g].df.select(F.lit(g).alias("of"), F.col("pos").cast("int").alias("g")))
-    s, grid = _statistics(f.df, reduce(DataFrame.unionAll, groups), reduce(DataFrame.unionAll, levels), axis_cols, n, lognorm)
+        coded = _coded(ds, g)
+        last = ds.axes[g].df.agg(F.max("pos")).first()[0]
+        last = -1 if last is None else last
+        groups.append(coded.where(F.col("g").between(0, last)).select("i", (F.col("g") + at).cast("int").alias("c")))
+        levels.append(ds.axes[g].df.select((F.col("pos") + at).cast("int").alias("c")))
+        names[g], at = at, at + last + 1
+    grid = _statistics(f.df, reduce(DataFrame.unionAll, groups), reduce(DataFrame.unionAll, levels), axis_cols, names, n, (at + 1) * ds.axes[cols].length, lognorm)
     for g in chosen:
-        own = grid.where(F.col("of") == g)
+        own = grid.where(F.col("of") == g).withColumn("padj", markers.padj())
         for part, column in (("sum", "sum"), ("sumsq", "sumsq"), ("nexpr", "n_expr")):
             ds.add_field(f"stats_{g}_{part}", own.select(F.col("g").cast("long").alias("i"), "j", F.col(column).alias("v")), span=(g, cols), role="measure", state="raw", encoding="dense", **tag)
         for part in ("lfc", "padj"):
             ds.add_field(f"markers_{g}_{part}", own.select(F.col("j").alias("i"), F.col("g").cast("long").alias("j"), F.col(part).alias("v")), span=(cols, g), role="measure", state="scaled", encoding="dense", subtype="de", **tag)
-    all_rows = s.where("of = ''").select("j", F.col("n_expr").alias("nnz"), F.try_divide("sum", "n_expr").alias("a"), "p")
+    all_rows = grid.where("of = ''").select("j", F.col("n_expr").alias("nnz"), F.try_divide("sum", "n_expr").alias("a"), "p")
     cs = stats.with_zeros(all_rows, n, axis_cols, population=True)
     ds.add_field("od_score", dispersion.overdispersion(cs).select(F.col("j").alias("i"), F.col("od_score").alias("v")), span=(cols,), role="measure", state="scaled", encoding="dense", **tag)
     first = ds.fields[chosen[0]]

@@ -15,12 +15,9 @@ from .operators import access, collection, dispersion, markers, measure, order,
 from .model import Dataset, as_categorical, state_columns
 from .plans import navigators
 from .sources import measures, promote
-from .sources.shared import saved, shared_dir
+from .sources.shared import TASK_ROWS, dealt, saved, shared_dir
 from .streaming import additive
 
-#: Fixed value: lines that a task is to have at most where a query deals them out.
-TASK_ROWS = 1 << 19
-
 SQL_M = "m as (select o_custkey as i, l_partkey as j, sum(l_quantity) as v from lineitem join orders on l_orderkey = o_orderkey group by 1, 2 having sum(l_quantity) <> 0)"
 SQL_G = "g as (select c_custkey as i, c_mktsegment as g from customer)"
 SQL_N = "n as (select count(*)::double as n from customer)"
@@ -30,11 +27,6 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _dealt(spark: SparkSession, rows: int) -> int:
-    """Partitions in which a task has some TASK_ROWS rows at most, whatever the size of the tables."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
-
-
 def _sold(spark: SparkSession, sf: str, value: str = "l_quantity") -> DataFrame:
     """(i, j, v) of every line. Adaptive execution merges partitions by their compressed bytes, so that the sort and the sums of a task would
     grow with the tables up to hundreds of MB; larger tables are dealt out by number of rows instead, which is in the files' footers."""
@@ -42,7 +34,7 @@ def _sold(spark: SparkSession, sf: str, value: str = "l_quantity") -> DataFrame:
     line, orders = line.select("l_orderkey", "l_partkey", value), orders.select("o_orderkey", "o_custkey")
     n = line.count()
     if n > 8 * TASK_ROWS:
-        line, orders = line.repartition(_dealt(spark, n), "l_orderkey"), orders.repartition(_dealt(spark, n), "o_orderkey")
+        line, orders = line.repartition(dealt(spark, n), "l_orderkey"), orders.repartition(dealt(spark, n), "o_orderkey")
     return line.join(orders, line.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("i"), F.col("l_partkey").alias("j"), F.col(value).alias("v"))
 
 
@@ -366,7 +358,9 @@ def _dataset(spark, sf):
     ds = Dataset(spark)
     ds.add_axis("cells", _t(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("label")))
     ds.add_axis("genes", _t(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("label")))
-    ds.add_field("counts", _m(spark, sf), span=("cells", "genes"))
+    sold = saved(_sold(spark, sf), "sold")
+    path = f"{shared_dir(spark).rstrip('/')}/axisloom-measure-{uuid.uuid4().hex}"
+    ds.add_field("counts", measures.rows(sold, path, dealt(spark, sold.count()), summed=False), span=("cells", "genes"))  # read by each navigator
     coded, levels = as_categorical(_g(spark, sf).withColumnRenamed("g", "v"))
     ds.add_field("segment", coded, span=("cells",), categories=levels, role="label")
     return ds
@@ -454,7 +448,7 @@ def stored_measure(spark, sf):
     if at not in _STORED:
         path = f"{shared_dir(spark).rstrip('/')}/axisloom-measure-{uuid.uuid4().hex}"
         sold = saved(_sold(spark, sf), "sold")
-        _STORED[at] = measures.write(sold, path, buckets=_dealt(spark, sold.count()), summed=False)
+        _STORED[at] = measures.write(sold, path, buckets=dealt(spark, sold.count()), summed=False)
     return _STORED[at]
 
 

@@ -7,6 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Fixed value: rows that a task is to have at most where rows are dealt out by their number.
+TASK_ROWS = 1 << 19
+
+
+def dealt(spark: SparkSession, rows: int) -> int:
+    """Partitions in which a task has some TASK_ROWS rows at most, whatever the size of the tables."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; with a local master and none set, a folder of our own, kept for the session."""

@@ -1,9 +1,12 @@
-from axisloom import cli
+from axisloom import cli, queries
 from axisloom.plans import routing
-from axisloom.sources import store
+from axisloom.sources import measures, shared, store
 
+from .test_measures import moved, stages
 from .test_model import sample
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_routing(spark):
     ds, _ = sample(spark)
@@ -23,3 +26,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["validate", a], spark) == 0 and cli.main(["convert", a, b, "--codec", "gzip"], spark) == 0
     assert cli.main(["navigators", b], spark) == 0 and cli.main(["inspect", b], spark) == 0
     assert "od_score" in store.read(spark, b).fields and '"lossless": true' in capsys.readouterr().out
+
+
+def ran(df):
+    df.write.format("noop").mode("overwrite").save()
+
+
+def test_navigators_move_each_entry_twice(spark):
+    """Once as a line to its row and once to its column, however many groupings there are."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert moved(spark, lambda: ran(queries.navigators_two_groupings(spark, SF))) < 2.6 * lines
+
+
+def test_columns_over_their_share_are_summed_by_parts(spark, monkeypatch):
+    want = queries.navigators_two_groupings(spark, SF).localCheckpoint()
+    monkeypatch.setattr(measures, "HOT", 1e-9)  # now each column is
+    got = queries.navigators_two_groupings(spark, SF).localCheckpoint()
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
