@@ -42,6 +42,7 @@ def group_order(groups: DataFrame) -> DataFrame:
     return numbered(groups.select("i", "g"), ["g", "i"], "new_pos").select("i", "new_pos")
 
 
-def reordered(m: DataFrame, order: DataFrame) -> DataFrame:
-    """The measure with rows renumbered, clustered by row."""
-    return m.join(order, "i").select(F.col("new_pos").alias("i"), "j", "v").repartitionByRange("i").sortWithinPartitions("i", "j")
+def reordered(m: DataFrame, order: DataFrame, parts: int | None = None) -> DataFrame:
+    """The measure with rows renumbered, clustered by row; parts: as many ranges, else as adaptive execution has it."""
+    out = m.join(order, "i").select(F.col("new_pos").alias("i"), "j", "v")
+    return (out.repartitionByRange(parts, "i") if parts else out.repartitionByRange("i")).sortWithinPartitions("i", "j")

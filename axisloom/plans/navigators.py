@@ -132,7 +132,7 @@ def extend(ds: Dataset, basis: str | None = None, groups: list[str] | None = Non
     else:
         at = order.group_order(labels)
     ds.add_field("counts_cellmajor_order", at.select("i", F.col("new_pos").alias("v")), span=(rows,), role="measure", state="permutation", encoding="dense", **tag)
-    ds.add_field("counts_cellmajor", order.reordered(f.df, at), span=(rows, cols), role="measure", state=f.state, encoding="csr", **tag)
+    ds.add_field("counts_cellmajor", order.reordered(f.df, at, dealt(ds.spark, f.df.count())), span=(rows, cols), role="measure", state=f.state, encoding="csr", **tag)
     if NAVIGATOR_PROFILE not in ds.profiles:
         ds.profiles.append(NAVIGATOR_PROFILE)
     return ds

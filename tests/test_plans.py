@@ -43,3 +43,12 @@ def test_columns_over_their_share_are_summed_by_parts(spark, monkeypatch):
     monkeypatch.setattr(measures, "HOT", 1e-9)  # now each column is
     got = queries.navigators_two_groupings(spark, SF).localCheckpoint()
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_tasks_of_navigators_do_not_grow_with_the_tables(spark, monkeypatch):
+    for module in (shared, queries):
+        monkeypatch.setattr(module, "TASK_ROWS", 500)
+    before = stages(spark)
+    ran(queries.navigators_built(spark, SF))
+    large = [s for k, s in stages(spark).items() if k not in before and s.shuffleReadRecords() > 4000]
+    assert large and all(s.numTasks() >= 12 for s in large)  # 6,000 lines
