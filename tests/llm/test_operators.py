@@ -256,6 +256,36 @@ def test_links_missed_by_all_tries_are_found(spark, monkeypatch):
     assert got == {i: (int(want[i]), i - i % 2 if want[i] else i) for i in range(len(v))} and want.sum() > 600
 
 
+def test_links_are_met_wherever_two_vectors_share_a_shard(spark):
+    """With many pivots, few of a vector's links have it in the shard of their own nearest pivot; a retry with twice the overlap costs more than twice."""
+    rng = np.random.default_rng(31)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.normal(size=(2, 1500, 64)))
+    y -= (x * y).sum(1)[:, None] * x
+    y = 0.94 * x + math.sqrt(1 - 0.94**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    reps = spark.createDataFrame([(i, "a", [float(c) for c in v], 1) for i, v in enumerate(np.concatenate([x, y]))], "rep long, label string, vec array<double>, copies long")
+    found, edges = neardup._links(reps, 0.93, 4, 24, shard_rows=30)
+    assert found.count() >= 0.98 * 3000 and {r["found"] for r in found.collect()} == {1}
+    assert edges.select(F.pmod("u", F.lit(1500)) == F.pmod("v", F.lit(1500))).distinct().collect() == [(True,)]
+
+
+def test_vectors_without_near_ones_are_moved_once(spark):
+    rng = np.random.default_rng(32)
+    vectors = [(i, [float(c) for c in v], 1) for i, v in enumerate(rng.normal(size=(4000, 48)))]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty()
+        none = jvm.java.util.ArrayList()
+        made = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return {made.apply(i).stageId(): made.apply(i).shuffleWriteRecords() for i in range(made.size())}
+
+    before = moved()
+    assert {r["n_links"] for r in neardup.near_dedup(df).collect()} == {0}
+    rows = sum(n for stage, n in moved().items() if stage not in before)
+    assert rows <= 8 * len(vectors)  # four times to the shards
+
+
 def brute_vectors(rows):
     """(n_links, component_id) of each row (vec_id, vector, label)."""
     links, u = collections.Counter(), Union(len(rows))
