@@ -69,12 +69,12 @@ def _coded(ds: Dataset, name: str) -> DataFrame:
     return coded.select("i", F.col("v").cast("int").alias("g"))
 
 
-def _statistics(m: DataFrame, groups: DataFrame, levels: DataFrame, columns: DataFrame, names: dict[str, int], n: int, cells: int, lognorm: bool) -> DataFrame:
+def _statistics(m: DataFrame, groups: DataFrame, levels: DataFrame, columns: DataFrame, names: dict[str, int], n: int, rows: int, lognorm: bool) -> DataFrame:
     """(of, g, j, sum, sumsq, n_expr, lfc, p): the whole grid, computed once and saved, whatever the number of groupings; all rows together are
-    the group 0 of the grouping ''. groups: (i, c) and levels: (c), groups as numbers from names[of] on; cells: how many rows the grid has.
+    the group 0 of the grouping ''. groups: (i, c) and levels: (c), groups as numbers from names[of] on; rows: how many there are of cells, or of entries and columns, whichever are more.
 
-    Entries meet by column in tasks bounded by the grid. A column that alone is far over a task's share is summed by parts instead."""
-    parts = dealt(m.sparkSession, cells)
+    Entries meet by column in tasks bounded by both. A column that alone is far over a task's share is summed by parts instead."""
+    parts = dealt(m.sparkSession, rows)
     sizes = levels.join(groups.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c", "left").select("c", F.coalesce("n", F.lit(0)).alias("n"))
     sizes = sizes.unionAll(m.sparkSession.range(1).select(F.lit(-1), F.lit(n).cast("long")))
     own = groups.groupBy("i").agg(F.collect_list("c").alias("own"))  # one a grouping
@@ -113,7 +113,8 @@ def extend(ds: Dataset, basis: str | None = None, groups: list[str] | None = Non
         groups.append(coded.where(F.col("g").between(0, last)).select("i", (F.col("g") + at).cast("int").alias("c")))
         levels.append(ds.axes[g].df.select((F.col("pos") + at).cast("int").alias("c")))
         names[g], at = at, at + last + 1
-    grid = _statistics(f.df, reduce(DataFrame.unionAll, groups), reduce(DataFrame.unionAll, levels), axis_cols, names, n, (at + 1) * ds.axes[cols].length, lognorm)
+    entries, width = f.df.count(), ds.axes[cols].length
+    grid = _statistics(f.df, reduce(DataFrame.unionAll, groups), reduce(DataFrame.unionAll, levels), axis_cols, names, n, max(entries + width, (at + 1) * width), lognorm)
     for g in chosen:
         own = grid.where(F.col("of") == g).withColumn("padj", markers.padj())
         for part, column in (("sum", "sum"), ("sumsq", "sumsq"), ("nexpr", "n_expr")):
@@ -132,7 +133,7 @@ def extend(ds: Dataset, basis: str | None = None, groups: list[str] | None = Non
     else:
         at = order.group_order(labels)
     ds.add_field("counts_cellmajor_order", at.select("i", F.col("new_pos").alias("v")), span=(rows,), role="measure", state="permutation", encoding="dense", **tag)
-    ds.add_field("counts_cellmajor", order.reordered(f.df, at, dealt(ds.spark, f.df.count())), span=(rows, cols), role="measure", state=f.state, encoding="csr", **tag)
+    ds.add_field("counts_cellmajor", order.reordered(f.df, at, dealt(ds.spark, entries)), span=(rows, cols), role="measure", state=f.state, encoding="csr", **tag)
     if NAVIGATOR_PROFILE not in ds.profiles:
         ds.profiles.append(NAVIGATOR_PROFILE)
     return ds
