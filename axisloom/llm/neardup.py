@@ -193,9 +193,13 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], start: np.ndarray, quer
             seen[front] = seen[-1] = True
             found = [front]
             while len(front):
-                fresh = np.zeros(len(seen), bool)
-                fresh[table[front]] = True
-                front = np.flatnonzero(fresh & ~seen)
+                last, rest = np.zeros(len(seen), bool), np.flatnonzero(~seen)
+                if len(front) <= len(rest):
+                    last[table[front]] = True
+                    front = np.flatnonzero(last & ~seen)
+                else:  # in a group of near copies few are left, which look for a neighbour among the last ones
+                    last[front] = True
+                    front = rest[last[table[rest]].any(1)]
                 front = front[x[front] @ q[i] >= reach - slack]
                 seen[front] = True
                 found.append(front)
